@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.llm.mixing import mix_sources
 from weftline.llm.quality import quality_rules
 
 
@@ -11,8 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    drawn = mix_sources(docs, budget=1.0, target_entropy=0.95, max_repetition=4.0)
+    return drawn.select("doc_id", "source", "_draw.*")
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_quality_rules": op6}
+QUERIES = {"op1_mix_sources": op1, "op6_quality_rules": op6}

@@ -23,4 +23,39 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT *, NOT base_failed AND n_words - n_removed_words >= 50 AND n_words - n_removed_words >= 0.3 * n_words AS kept FROM b
 """
 
-SQL = {"op6_quality_rules": OP6}
+OP1 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}+')) AS n,
+    CAST('0x' || substr(md5('42|' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS h FROM documents),
+m AS MATERIALIZED (SELECT *, CAST(h >> 50 AS INT) AS block, CAST((h >> 40) & 1023 AS INT) AS sub, h & 1099511627775 AS low FROM d),
+s AS MATERIALIZED (SELECT source, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY source HAVING sum(n) > 0),
+g AS MATERIALIZED (SELECT sum(n) AS total, count(*) AS k FROM s),
+ent AS (SELECT 0 AS lo, 1048577 AS hi UNION ALL
+  SELECT CASE WHEN good THEN mid ELSE lo END, CASE WHEN good THEN hi ELSE mid END FROM (SELECT lo, hi, (lo + hi) // 2 AS mid,
+    (SELECT ln(sum(r)) - sum(r * ln(r)) / sum(r) >= 0.95 * ln(any_value(k)) FROM (SELECT pow(n / total, ((lo + hi) // 2) / 1048576.0) AS r, k FROM s, g)) AS good
+    FROM ent WHERE hi - lo > 1)),
+rep AS (SELECT -1 AS lo, 1048576 AS hi UNION ALL
+  SELECT CASE WHEN over THEN mid ELSE lo END, CASE WHEN over THEN hi ELSE mid END FROM (SELECT lo, hi, (lo + hi) // 2 AS mid,
+    (SELECT max(r / share) / sum(r) > 4 FROM (SELECT n / total AS share, pow(n / total, ((lo + hi) // 2) / 1048576.0) AS r FROM s, g)) AS over
+    FROM rep WHERE hi - lo > 1)),
+al AS (SELECT greatest((SELECT max(lo) FROM ent), (SELECT min(hi) FROM rep)) / 1048576.0 AS a),
+raw AS (SELECT source, n, pow(n / total, a) AS r, total FROM s, g, al),
+pl AS MATERIALIZED (SELECT source, n, b AS budget, CAST(b // n AS INT) AS epochs, b % n AS rest FROM
+  (SELECT source, n, CAST(floor(r / (SELECT sum(r) FROM raw) * total) AS BIGINT) AS b FROM raw)),
+bl AS MATERIALIZED (SELECT source, block, CAST(sum(n) AS BIGINT) AS t FROM m GROUP BY ALL),
+ps AS (SELECT bl.source, block, t, n, budget, epochs, rest, epoch, md5('42|' || coalesce(bl.source, 'null') || '|' || epoch || '|' || block) AS o
+  FROM bl JOIN pl ON bl.source IS NOT DISTINCT FROM pl.source, unnest(range(epochs + 1)) AS u(epoch)),
+rk AS MATERIALIZED (SELECT *, row_number() OVER w - 1 AS rank, sum(t) OVER (PARTITION BY source, epoch ORDER BY o, block ROWS UNBOUNDED PRECEDING) AS upto
+  FROM ps WINDOW w AS (PARTITION BY source, epoch ORDER BY o, block)),
+doc AS (SELECT m.*, epoch, epochs, rest, rank, upto - t AS before, upto, budget, rk.n AS tokens,
+    md5('42|' || coalesce(m.source, 'null') || '|' || epoch || '|' || m.block || '|' || sub) AS so
+  FROM m JOIN rk ON m.source IS NOT DISTINCT FROM rk.source AND m.block = rk.block),
+inside AS (SELECT *, before + sum(n) OVER (PARTITION BY source, epoch, block ORDER BY so, sub, low RANGE UNBOUNDED PRECEDING) AS end_
+  FROM doc WHERE epoch = epochs AND upto > rest AND before <= rest),
+subs AS (SELECT *, max(end_) OVER (PARTITION BY source, sub) AS sub_end FROM inside)
+SELECT doc_id, source, n AS n_tokens, CAST(epoch AS INT) AS epoch, block, CAST(rank AS INT) AS block_rank,
+  ((epoch * 1024 + rank) * tokens) / (budget * CAST(1024 AS DOUBLE)) AS position
+FROM (SELECT * EXCLUDE (end_, sub_end) FROM subs WHERE end_ <= rest
+  UNION ALL SELECT * FROM doc WHERE epoch < epochs OR upto <= rest)
+"""
+
+SQL = {"op1_mix_sources": OP1, "op6_quality_rules": OP6}
