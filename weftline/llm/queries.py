@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.mixing import mix_sources
 from weftline.llm.quality import quality_rules
+from weftline.llm.token_store import encode_round_trip
+
+
+#: Vocabulary files; the folder can be set, they are never copied.
+TOKENIZERS = os.environ.get("WEFTLINE_TOKENIZERS", "/opt/tokenizers")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,4 +29,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mix_sources": op1, "op6_quality_rules": op6}
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(f"{TOKENIZERS}/word_bpe_49k.json", encoding="utf-8") as f:
+        return encode_round_trip(table(spark, sf_dir, "documents"), f.read(), end_id=1, width=2)
+
+
+QUERIES = {"op1_mix_sources": op1, "op6_quality_rules": op6, "op9_token_store": op9}
