@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm.mixing import mix_sources
 from weftline.llm.quality import quality_rules
 from weftline.llm.token_store import encode_round_trip
+from weftline.llm.warc import archive_round_trip
 
 
 #: Vocabulary files; the folder can be set, they are never copied.
@@ -29,9 +30,13 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(f"{TOKENIZERS}/word_bpe_49k.json", encoding="utf-8") as f:
         return encode_round_trip(table(spark, sf_dir, "documents"), f.read(), end_id=1, width=2)
 
 
-QUERIES = {"op1_mix_sources": op1, "op6_quality_rules": op6, "op9_token_store": op9}
+QUERIES = {"op1_mix_sources": op1, "op6_quality_rules": op6, "op8_warc": op8, "op9_token_store": op9}

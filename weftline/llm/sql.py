@@ -58,4 +58,12 @@ FROM (SELECT * EXCLUDE (end_, sub_end) FROM subs WHERE end_ <= rest
   UNION ALL SELECT * FROM doc WHERE epoch < epochs OR upto <= rest)
 """
 
-SQL = {"op1_mix_sources": OP1, "op6_quality_rules": OP6}
+OP8 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+k AS (SELECT h, max(page_id) AS kept FROM p WHERE strlen(h) >= 1000 AND page_id IS NOT NULL GROUP BY h)
+SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM p LEFT JOIN k ON p.h = k.h AND page_id IS NOT NULL
+"""
+
+SQL = {"op1_mix_sources": OP1, "op6_quality_rules": OP6, "op8_warc": OP8}
