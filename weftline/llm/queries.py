@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.mixing import mix_sources
 from weftline.llm.quality import quality_rules
+from weftline.llm.sentencepiece_fst import encode_documents
 from weftline.llm.simhash import near_duplicates
 from weftline.llm.token_store import encode_round_trip
 from weftline.llm.warc import archive_round_trip
@@ -27,6 +28,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "source", "_draw.*")
 
 
+def piece_model() -> bytes:
+    with open(f"{TOKENIZERS}/piece_bpe_32k.model", "rb") as f:
+        return f.read()
+
+
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model()).drop("text")
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,4 +54,4 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         return encode_round_trip(table(spark, sf_dir, "documents"), f.read(), end_id=1, width=2)
 
 
-QUERIES = {"op1_mix_sources": op1, "op5_simhash": op5, "op6_quality_rules": op6, "op8_warc": op8, "op9_token_store": op9}
+QUERIES = {"op1_mix_sources": op1, "op2_sentencepiece": op2, "op5_simhash": op5, "op6_quality_rules": op6, "op8_warc": op8, "op9_token_store": op9}
