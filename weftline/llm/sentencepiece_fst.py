@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLANK = "▁"
 #: Fixed values of the model format: kinds of pieces and of models.
@@ -305,7 +306,7 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text") -> DataF
     keep = [c for c in docs.columns if c not in ("ids", "n_ids", "round_trip")]
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias("_text"))
-    schema = docs.select(*(F.col(f"`{c}`") for c in keep)).schema.add("ids", "array<int>").add("n_ids", "int").add("round_trip", "boolean")
+    schema = docs.select(*(F.col(f"`{c}`") for c in keep)).schema.add("ids", T.ArrayType(T.IntegerType())).add("n_ids", T.IntegerType()).add("round_trip", T.BooleanType())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _transducer(sent.value)
