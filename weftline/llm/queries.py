@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.llm.langid import fit_profiles, identify, identify_pages
 from weftline.llm.mixing import mix_sources
 from weftline.llm.quality import quality_rules
 from weftline.llm.sentencepiece_fst import encode_documents
@@ -54,4 +55,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         return encode_round_trip(table(spark, sf_dir, "documents"), f.read(), end_id=1, width=2)
 
 
-QUERIES = {"op1_mix_sources": op1, "op2_sentencepiece": op2, "op5_simhash": op5, "op6_quality_rules": op6, "op8_warc": op8, "op9_token_store": op9}
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, keep=["doc_id"]).select("doc_id", "_lang.*")
+
+
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profiles = fit_profiles(table(spark, sf_dir, "documents"), "text", "lang")
+    return identify_pages(table(spark, sf_dir, "pages"), profiles).select("page_id", "_lang.*")
+
+
+QUERIES = {"op1_mix_sources": op1, "op2_sentencepiece": op2, "op5_simhash": op5, "op6_quality_rules": op6, "op8_warc": op8, "op9_token_store": op9, "op10_language_id": op10, "pages_language": pages_language}
