@@ -186,8 +186,8 @@ def read_warc(bundles: DataFrame) -> DataFrame:
                     rows.append((int(h["x-page-id"]) if h["x-page-id"] else None, n, digest, h["warc-type"], int(h["x-refers-to-page-id"]) if "x-refers-to-page-id" in h else None, h["warc-target-uri"]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    files = bundles.select("bundle").distinct()
-    return files.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    files = cut(bundles.select("bundle").distinct(), "warc-bundles")
+    return files.repartition(max(1, files.count())).mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
