@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.llm.kneser_ney import score_held_out
 from weftline.llm.langid import fit_profiles, identify, identify_pages
 from weftline.llm.mixing import mix_sources
 from weftline.llm.quality import quality_rules
@@ -38,6 +39,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model()).drop("text")
 
 
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_held_out(table(spark, sf_dir, "documents"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -65,4 +70,4 @@ def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_pages(table(spark, sf_dir, "pages"), profiles).select("page_id", "_lang.*")
 
 
-QUERIES = {"op1_mix_sources": op1, "op2_sentencepiece": op2, "op5_simhash": op5, "op6_quality_rules": op6, "op8_warc": op8, "op9_token_store": op9, "op10_language_id": op10, "pages_language": pages_language}
+QUERIES = {"op1_mix_sources": op1, "op2_sentencepiece": op2, "op4_kneser_ney": op4, "op5_simhash": op5, "op6_quality_rules": op6, "op8_warc": op8, "op9_token_store": op9, "op10_language_id": op10, "pages_language": pages_language}
