@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.llm.embed_dedup import near_vectors
 from weftline.llm.kneser_ney import score_held_out
 from weftline.llm.langid import fit_profiles, identify, identify_pages
 from weftline.llm.mixing import mix_sources
@@ -51,6 +52,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages")).drop("url")
 
@@ -70,4 +75,4 @@ def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_pages(table(spark, sf_dir, "pages"), profiles).select("page_id", "_lang.*")
 
 
-QUERIES = {"op1_mix_sources": op1, "op2_sentencepiece": op2, "op4_kneser_ney": op4, "op5_simhash": op5, "op6_quality_rules": op6, "op8_warc": op8, "op9_token_store": op9, "op10_language_id": op10, "pages_language": pages_language}
+QUERIES = {"op1_mix_sources": op1, "op2_sentencepiece": op2, "op4_kneser_ney": op4, "op5_simhash": op5, "op6_quality_rules": op6, "op7_embedding_dedup": op7, "op8_warc": op8, "op9_token_store": op9, "op10_language_id": op10, "pages_language": pages_language}
