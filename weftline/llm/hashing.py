@@ -41,8 +41,11 @@ class _Powers:
         return cls.up, cls.down
 
 
-def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every token of all texts, number of each text's tokens): words in small letters (A-Z), then one end."""
+def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of every word, its first byte's place, number of each text's words, all texts' bytes), in small letters (A-Z).
+
+    The texts stand in the bytes one behind the other, after one blank each.
+    """
     flat = [t.encode().lower() if t else b"" for t in texts]
     b = np.frombuffer(b" " + b" ".join(flat) + b" ", np.uint8)
     up, down = _Powers.of(len(b))
@@ -51,9 +54,13 @@ def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     begin, end = edge[::2], edge[1::2]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_ENTRY[b] * up[: len(b)])])
     h = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
-    size = np.fromiter(map(len, flat), np.int64, len(flat)) + 1
-    text_end = np.cumsum(size)
-    words = np.diff(np.searchsorted(begin, text_end + 1), prepend=0) if len(texts) else np.empty(0, np.int64)
+    text_end = np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) + 1)
+    return h, begin, np.diff(np.searchsorted(begin, text_end + 1), prepend=0), b
+
+
+def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every token of all texts, number of each text's tokens): words in small letters (A-Z), then one end."""
+    h, _, words, _ = words_of(texts)
     n = words + 1
     out = np.empty(int(n.sum()), np.uint64)
     ends = np.cumsum(n) - 1

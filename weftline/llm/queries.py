@@ -5,10 +5,12 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.llm.embed_dedup import near_vectors
 from weftline.llm.kneser_ney import score_held_out
 from weftline.llm.langid import fit_profiles, identify, identify_pages
+from weftline.llm.line_dedup import dedup_lines
 from weftline.llm.mixing import mix_sources
 from weftline.llm.quality import quality_rules
 from weftline.llm.sentencepiece_fst import encode_documents
@@ -40,6 +42,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model()).drop("text")
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "_lines.*", F.length("text").alias("n_chars_left"))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_held_out(table(spark, sf_dir, "documents"))
 
@@ -75,4 +82,4 @@ def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_pages(table(spark, sf_dir, "pages"), profiles).select("page_id", "_lang.*")
 
 
-QUERIES = {"op1_mix_sources": op1, "op2_sentencepiece": op2, "op4_kneser_ney": op4, "op5_simhash": op5, "op6_quality_rules": op6, "op7_embedding_dedup": op7, "op8_warc": op8, "op9_token_store": op9, "op10_language_id": op10, "pages_language": pages_language}
+QUERIES = {"op1_mix_sources": op1, "op2_sentencepiece": op2, "op3_line_dedup": op3, "op4_kneser_ney": op4, "op5_simhash": op5, "op6_quality_rules": op6, "op7_embedding_dedup": op7, "op8_warc": op8, "op9_token_store": op9, "op10_language_id": op10, "pages_language": pages_language}
