@@ -3,10 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from weftline.llm.shared import cut
+from weftline.llm.langid import identify
+from weftline.llm.line_dedup import dedup_lines
+from weftline.llm.mixing import mix_sources
+from weftline.llm.queries import piece_model
+from weftline.llm.sentencepiece_fst import encode_documents
+from weftline.llm.shared import cut, small
+from weftline.llm.simhash import near_duplicates
 
-STAGES: list = []
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents whose text is in one of the corpus' languages, by the posterior from text, declared language and source."""
+    return identify(docs).filter("_lang.accepted").drop("_lang")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without lines that match an earlier one; documents that lose all their lines go. n_chars follows the text."""
+    out = dedup_lines(docs).filter((F.size("_lines.removed") == 0) | (F.size("_lines.removed") < F.col("_lines.n_lines")))
+    return out.drop("_lines").withColumn("n_chars", F.length("text").cast("long"))
+
+
+def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document (by doc_id) of each group of near-duplicates. Of rows with the same doc_id one stays; a null doc_id goes if it has a group."""
+    found = cut(near_duplicates(docs).select("doc_id", "component_id"), "pipeline-simhash")
+    out = docs.join(small(found.filter("doc_id <> component_id").select("doc_id").distinct()), "doc_id", "left_anti")
+    if found.filter("doc_id is null and component_id is not null").limit(1).collect():
+        out = out.filter("doc_id is not null")
+    again = cut(found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "pipeline-repeated")
+    if again.limit(1).collect():
+        repeated = out.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        out = out.join(small(again), "doc_id", "left_anti").unionByName(repeated)
+    return out.select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents as often as their source's weight asks for: all at least once, and no source over twice."""
+    return mix_sources(docs, budget=None, target_entropy=0.95, max_repetition=2.0).drop("_draw")
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' piece ids in place of their text."""
+    return encode_documents(docs, piece_model()).drop("text")
+
+
+STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("simhash", simhash), ("mixing", mixing), ("sentencepiece", sentencepiece)]
+#: No SQL: line sets, fingerprints and pieces can't be expressed in it.
 ORACLE_SQL = None
 
 
