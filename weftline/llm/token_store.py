@@ -13,9 +13,13 @@ unary as a bit vector; the position of every SELECT_STEP-th one bit is kept, so
 
 from __future__ import annotations
 
+import json
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +32,9 @@ MAGIC = b"WLTOK001"
 HEADER = struct.Struct("<8s6q")
 SELECT_STEP = 256
 #: Bytes of ids that a worker keeps before it goes on in another shard.
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 16 << 20
 #: Words whose ids a worker keeps; beyond it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 
 
 class EliasFano:
@@ -98,49 +102,108 @@ class EliasFano:
         return out
 
 
+#: A normaliser and pre-tokeniser under which a run of these small letters is one token before merging, and a run
+#: of ASCII punctuation behind it another (fixed values of the public tokenizer's definition).
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+KNOWN_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+KNOWN_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+#: A full stop or comma between an ASCII letter and white space: a token of its own.
+_STOP = re.compile(rb"[.,](?<=[a-z].)(?=[ \n])")
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer of the tokenizers library that never merges over ASCII white space, word by word.
 
-    The ids of a word are those the library gives for it; the ids of words seen are kept, up to CACHE_WORDS.
+    The ids of a word are those the library gives for it. Words seen are kept, up to CACHE_WORDS. With the pre-tokeniser known
+    above, a word of letters goes to the library's model straight away; any other through the whole of it.
     """
 
     def __init__(self, definition: str, end_id: int):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.end_id = Tokenizer.from_str(definition), end_id
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.end_id, d = Tokenizer.from_str(definition), end_id, json.loads(definition)
+        pre = (d["pre_tokenizer"] or {}).get("pretokenizers", [])
+        plain = (d["normalizer"] or {}).get("normalizers") == KNOWN_NORMALIZERS and len(pre) == 2 and pre[0].get("pattern") == {"Regex": KNOWN_SPLIT} and pre[0]["invert"] and pre[1]["type"] == "ByteLevel" and not pre[1]["use_regex"] and not pre[1]["add_prefix_space"]
+        self.word = re.compile(f"([{LETTERS}]+)([!-/:-@\\[-`{{-~]*)").fullmatch if plain else None
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x17F)} if plain else {}
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.pieces: list[np.ndarray] = []
-        self.lengths = np.empty(0, np.int64)
+        self.stems: dict[str, bytes] = {}
+        self.pool = array("I")
+        self.starts, self.lengths = array("q"), array("q")
+
+    def _stem(self, stem: str) -> bytes:
+        got = self.stems.get(stem)
+        if got is None:
+            if len(self.stems) > CACHE_WORDS // 2:
+                self.stems.clear()
+            text = stem if stem.isascii() else stem.translate(self.as_bytes)
+            got = self.stems[stem] = array("I", [x.id for x in self.tokenizer.model.tokenize(text)]).tobytes()
+        return got
+
+    def word_ids(self, word: str) -> bytes:
+        """The ids of one word, 4 bytes each."""
+        if self.word and (m := self.word(word.lower())):
+            return self._stem(m[1]) + self._stem(m[2]) if m[2] else self._stem(m[1])
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _numbers(self, text: str) -> list[int]:
+        """The places in the store of the words of a text, and of the end id."""
+        raw = text.encode()
+        if self.word and b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
+            # no special token and no combining mark: small letters, and stops cut off, give the same ids with fewer words
+            raw = _STOP.sub(rb" \g<0>", raw.lower())
+        words = raw.split()  # bytes.split() cuts at ASCII white space only
+        found, k = list(map(self.index.get, words)), -1
+        for _ in range(found.count(None)):
+            k = found.index(None, k + 1)
+            i = self.index.get(words[k])
+            found[k] = self._keep(words[k], self.word_ids(words[k].decode())) if i is None else i
+        return found
+
+    def _keep(self, word: bytes, ids: bytes) -> int:
+        i = self.index[word] = len(self.starts)
+        self.starts.append(len(self.pool))
+        self.lengths.append(len(ids) // 4)
+        self.pool.frombytes(ids)
+        return i
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by the end id; the number of each text's ids)."""
         if len(self.index) > CACHE_WORDS:
             self.clear()
-        words = [t.encode().split() if t else [] for t in texts]  # bytes.split() cuts at ASCII white space only
-        index = self.index
-        new = list({w for ws in words for w in ws if w not in index})
-        if new:
-            got = [x.ids for x in self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
-            index.update(zip(new, range(len(index), len(index) + len(new)), strict=True))
-            self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, got), np.int64, len(got))])
-            self.pieces.append(np.fromiter((i for x in got for i in x), np.uint32))
-        if len(self.pieces) > 1:
-            self.pieces = [np.concatenate(self.pieces)]
-        pool = np.append(self.pieces[0] if self.pieces else np.empty(0, np.uint32), np.uint32(self.end_id))
-        lengths = np.append(self.lengths, 1)
-        starts = np.cumsum(lengths) - lengths
-        end = len(index)
-        at = np.fromiter((i for ws in words for i in [*map(index.__getitem__, ws), end]), np.int64)
-        n = lengths[at]
+        end = self.index.get(b"\n")  # no word
+        if end is None:
+            end = self._keep(b"\n", array("I", [self.end_id]).tobytes())
+        found = [self._numbers(t) if t else [] for t in texts]
+        for x in found:
+            x.append(end)
+        at = np.fromiter(chain.from_iterable(found), np.int64)
+        n = np.frombuffer(self.lengths, np.int64)[at].copy()
         upto = np.cumsum(n)
-        ids = pool[np.repeat(starts[at] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
-        ends = np.cumsum(np.fromiter((len(ws) + 1 for ws in words), np.int64, len(words)))
+        first = np.frombuffer(self.starts, np.int64)[at] - (upto - n)
+        ids = np.frombuffer(self.pool, np.uint32)[np.repeat(first, n) + np.arange(upto[-1] if len(upto) else 0)]
+        ends = np.cumsum([len(x) for x in found])
         return ids, np.diff(upto[ends - 1], prepend=0)
 
 
+_KEPT: dict[tuple[int, int], WordEncoder] = {}
+
+
+def _encoder(definition: str, end_id: int) -> WordEncoder:
+    """The worker's encoder, kept between tasks."""
+    key = (hash(definition), end_id)
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = WordEncoder(definition, end_id)
+    return _KEPT[key]
+
+
 def shard_bytes(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, start: int, width: int = 4) -> bytes:
     """A shard file's content. Nulls come first among doc_ids, which ascend; width: bytes an id."""
     nulls = sum(d is None for d in doc_ids)
@@ -184,7 +247,7 @@ def write_tokens(docs: DataFrame, path: str, definition: str, *, doc_id: str = "
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, k = TaskContext.get().partitionId(), WordEncoder(definition, end_id), 0
+        part, encoder, k = TaskContext.get().partitionId(), _encoder(definition, end_id), 0
         numbers, lengths, ids = [], [], []
 
         def flush() -> pa.RecordBatch:
@@ -213,8 +276,6 @@ def write_tokens(docs: DataFrame, path: str, definition: str, *, doc_id: str = "
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     made = cut(ordered.mapInArrow(write, "part int, shard int, file string, n_docs long, n_tokens long"), "token-manifest")
     # a row for each file: their starts are summed here, and take as little space as a listing of the folder
-    from itertools import accumulate
-
     files = made.orderBy("part", "shard").collect()
     starts = [0, *accumulate(x["n_tokens"] for x in files)][: len(files)]
     return spark.createDataFrame([(*x, s) for x, s in zip(files, starts, strict=True)], "part int, shard int, file string, n_docs long, n_tokens long, start long")
