@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from weftline.plans import graph_queries, retrieval_queries, scoring_queries, sql_surface
+
+FLAGSHIP = "impact_reverse"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-FLAGSHIP = "impact_forward"
+for part in (graph_queries, retrieval_queries, scoring_queries, sql_surface):
+    QUERIES |= part.QUERIES
+    SQL |= part.SQL
