@@ -209,7 +209,7 @@ def nouns(name: Column) -> Column:
 
 def shared_letters(a: Column, b: Column) -> Column:
     """Letters of a that can be paired with ones of b, over the longer one's length."""
-    used = F.aggregate(F.split(a, ""), F.struct(b.alias("rest"), F.lit(0).alias("n")), lambda s, c: F.when((c != "") & (F.instr(s["rest"], c) > 0), F.struct(F.concat(F.substring_index(s["rest"], c, 1), F.substring(s["rest"], F.instr(s["rest"], c) + 1, F.length(s["rest"]))).alias("rest"), (s["n"] + 1).alias("n"))).otherwise(s))
+    used = F.aggregate(F.split(a, ""), F.struct(b.alias("rest"), F.lit(0).alias("n")), lambda s, c: F.when((c != "") & (F.instr(s["rest"], c) > 0), F.struct(F.concat(F.substring(s["rest"], F.lit(1), F.instr(s["rest"], c) - 1), F.substring(s["rest"], F.instr(s["rest"], c) + 1, F.length(s["rest"]))).alias("rest"), (s["n"] + 1).alias("n"))).otherwise(s))
     return used["n"] / F.greatest(F.length(a), F.length(b), F.lit(1))
 
 

@@ -214,7 +214,7 @@ def table_rows(files: DataFrame, section: str) -> DataFrame:
     """file, line_no, cells of the markdown table rows below a heading that contains `section`, without head and rule."""
     ln = lines(files).withColumn("_s", F.last(F.nullif(F.regexp_extract("line", r"^#{1,6}\s+(.*\S)", 1), F.lit("")), ignorenulls=True).over(_upto()))
     rows = ln.filter(F.col("_s").contains(section) & F.col("line").rlike(r"^\s*\|"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     rows = rows.withColumn("cells", cells).withColumn("_rule", F.forall("cells", lambda c: c.rlike("^:?-+:?$")))
     seen = F.max(F.col("_rule").cast("int")).over(_upto())
     return rows.withColumn("_past", seen).filter("_past = 1 and not _rule").select("file", "line_no", "cells")
@@ -378,7 +378,7 @@ def _skeleton(text: str, python: bool, keep: int) -> tuple[str, int, int]:
 
 def signatures(files: DataFrame) -> DataFrame:
     """file, line_no, name, signature (one line) of functions, methods and constructors."""
-    rx = r"^\s*(?:export\s+)?(?:default\s+)?(?:public\s+|private\s+|protected\s+|static\s+|async\s+)*(?:function\s+|def\s+)?([A-Za-z_$][\w$]*)\s*\([^)]*\)\s*(?::\s*[^{=]+)?\s*[{:;]\s*$"
+    rx = r"^\s*(?:export\s+)?(?:default\s+)?(?:public\s+|private\s+|protected\s+|static\s+|async\s+)*(?:function\s+|def\s+)?([A-Za-z_$][\w$]*)\s*\([^)]*\)(?:\s*(?::\s*[^{=;]+)?\s*[{:]|\s*:\s*[^{=;]+;)\s*$"
     return lines(files).select("file", "line_no", F.regexp_extract("line", rx, 1).alias("name"), F.trim("line").alias("signature")).filter((F.col("name") != "") & ~F.col("name").isin(KEYWORDS))
 
 

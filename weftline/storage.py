@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where it is unset, on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,9 +22,10 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="weftline-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="weftline-")
+    return _OWN[app]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:

@@ -20,8 +20,8 @@ def file_changes(spark: SparkSession, folder: str) -> DataFrame:
 
 def debounced(changes: DataFrame, quiet: str = "2 seconds", late: str = "10 seconds", by: str | None = None) -> DataFrame:
     """One row for each burst of changes that ended with a quiet time: start, end, paths, n_changes. Changes later than `late` drop out."""
-    keys = [F.session_window("ts", quiet).alias("w")] + ([F.col(by)] if by else [])
-    out = changes.withWatermark("ts", late).groupBy(*keys).agg(F.array_sort(F.collect_set("path")).alias("paths"), F.count("*").alias("n_changes"))
+    # a session window needs a key besides, and no literal; without one all changes share the empty text
+    out = changes.withWatermark("ts", late).groupBy(F.session_window("ts", quiet).alias("w"), (F.col(by) if by else F.substring("path", 1, 0)).alias(by or "_all")).agg(F.array_sort(F.collect_set("path")).alias("paths"), F.count("*").alias("n_changes"))
     return out.select(*([by] if by else []), F.col("w.start").alias("start"), F.col("w.end").alias("end"), "paths", "n_changes")
 
 
