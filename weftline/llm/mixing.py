@@ -21,6 +21,8 @@ from weftline.llm.shared import cut, small
 
 #: Blocks of a source, and sub-blocks of a block.
 BLOCKS = 1024
+#: Room for rounding, so that a share that is a whole number of tokens isn't taken for less, or for more.
+ROOM = 1e-6
 #: Steps of the exponent between 0 and 1.
 GRID = 1 << 20
 
@@ -32,7 +34,8 @@ def hash60(*parts: Column) -> Column:
 
 
 def search_exponent(totals: DataFrame, budget: float | None, target_entropy: float | None, max_repetition: float | None) -> int:
-    """The exponent times GRID, by repeated division of the interval into 32.
+    """The exponent times GRID, by repeated division of the interval into 32: the largest that meets the target entropy, but no
+    smaller than the least within the limit on repetition; 1 (shares as they are) if neither is given.
 
     totals: one row a source with its tokens n > 0. Each round is one aggregation over the sources.
     """
@@ -61,7 +64,7 @@ def search_exponent(totals: DataFrame, budget: float | None, target_entropy: flo
                 return lo
             step //= 32
 
-    alpha = GRID
+    alpha = GRID if max_repetition is None else 0
     if target_entropy is not None:
         goal = target_entropy * math.log(k)
         alpha = max(0, last(lambda x: math.log(x["z"]) - x["e"] / x["z"] >= goal))
@@ -80,7 +83,7 @@ def plan_mix(totals: DataFrame, budget: int | None, target_entropy: float | None
     total = totals.agg(F.sum("n")).first()[0] or 1
     raw = totals.withColumn("share", F.col("n") / F.lit(total)).withColumn("raw", F.pow("share", F.lit(alpha)))
     z = raw.agg(F.sum("raw"), F.min(F.col("raw") / F.col("share"))).first()
-    tokens = F.ceil(F.col("n") * (F.col("raw") / F.col("share") / F.lit(z[1] or 1.0))) if budget is None else F.floor(F.col("raw") / F.lit(z[0] or 1.0) * F.lit(float(budget)))
+    tokens = F.ceil(F.col("n") * (F.col("raw") / F.col("share") / F.lit(z[1] or 1.0)) - ROOM) if budget is None else F.floor(F.col("raw") / F.lit(z[0] or 1.0) * F.lit(float(budget)) + ROOM)
     out = raw.withColumn("weight", F.col("raw") / F.lit(z[0] or 1.0)).withColumn("budget", tokens.cast("long"))
     return out.withColumn("epochs", F.expr("budget div n").cast("int")).withColumn("rest", F.expr("budget % n")).drop("share", "raw")
 

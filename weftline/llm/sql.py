@@ -40,7 +40,7 @@ rep AS (SELECT -1 AS lo, 1048576 AS hi UNION ALL
 al AS (SELECT greatest((SELECT max(lo) FROM ent), (SELECT min(hi) FROM rep)) / 1048576.0 AS a),
 raw AS (SELECT source, n, pow(n / total, a) AS r, total FROM s, g, al),
 pl AS MATERIALIZED (SELECT source, n, b AS budget, CAST(b // n AS INT) AS epochs, b % n AS rest FROM
-  (SELECT source, n, CAST(floor(r / (SELECT sum(r) FROM raw) * total) AS BIGINT) AS b FROM raw)),
+  (SELECT source, n, CAST(floor(r / (SELECT sum(r) FROM raw) * total + CAST(0.000001 AS DOUBLE)) AS BIGINT) AS b FROM raw)),
 bl AS MATERIALIZED (SELECT source, block, CAST(sum(n) AS BIGINT) AS t FROM m GROUP BY ALL),
 ps AS (SELECT bl.source, block, t, n, budget, epochs, rest, epoch, md5('42|' || coalesce(bl.source, 'null') || '|' || epoch || '|' || block) AS o
   FROM bl JOIN pl ON bl.source IS NOT DISTINCT FROM pl.source, unnest(range(epochs + 1)) AS u(epoch)),
