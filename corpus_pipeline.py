@@ -45,7 +45,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' piece ids in place of their text."""
-    return encode_documents(docs, piece_model()).drop("text")
+    return encode_documents(docs, piece_model(), keep=[c for c in docs.columns if c != "text"])
 
 
 STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("simhash", simhash), ("mixing", mixing), ("sentencepiece", sentencepiece)]

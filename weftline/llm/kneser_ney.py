@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.hashing import BLOCKS, blocks, mix, steps, summed, token_hashes, unpacked
-from weftline.llm.shared import map_array, put_bytes, shared_dir
+from weftline.llm.shared import map_array, put_bytes, released, shared_dir, small_batches
 
 #: Text bytes a word file is for, and training tokens a pair file is for.
 WORD_FILE_BYTES, PAIR_FILE_TOKENS = 64 << 20, 2_000_000
@@ -164,6 +164,7 @@ def _one(b: int, *values: int) -> pa.Table:
 def train(docs: DataFrame, text: str = "text") -> Model:
     """Count all texts of docs into a new model in the shared folder. Null and empty texts are an end token alone."""
     path = shared_dir(docs.sparkSession, "kneser-ney")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(text).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = _bits(size / WORD_FILE_BYTES)
@@ -181,7 +182,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         put_bytes(f"{path}/words-{b}", [len(keys).to_bytes(8, "little"), keys.astype("<u8").tobytes(), n.astype("<u4").tobytes()])
         return _one(b, len(keys), int(n.sum()))
 
-    made = rows.mapInArrow(words, BLOCKS).groupBy("bucket").applyInArrow(write_words, "b int, x0 long, x1 long").collect()
+    made = rows.mapInArrow(released(words), BLOCKS).groupBy("bucket").applyInArrow(write_words, "b int, x0 long, x1 long").collect()
     size_of = {x["b"]: x["x0"] for x in made}  # a row for each file
     offsets = np.concatenate([[0], np.cumsum([size_of.get(b, 0) for b in range(1 << bits)])]).tolist()
     model = Model(path, bits, offsets, sum(x["x1"] for x in made))
@@ -233,7 +234,7 @@ def train(docs: DataFrame, text: str = "text") -> Model:
         put_bytes(f"{path}/stats-{r}", [size.to_bytes(8, "little"), columns.astype("<u4").tobytes()])
         return _one(r, *np.bincount(np.minimum(columns[4], 5), minlength=6)[1:5].tolist(), int(columns[4].sum()))
 
-    found = rows.mapInArrow(pairs, BLOCKS).groupBy("bucket").applyInArrow(write_pairs, BLOCKS).groupBy("bucket")
+    found = rows.mapInArrow(released(pairs), BLOCKS).groupBy("bucket").applyInArrow(write_pairs, BLOCKS).groupBy("bucket")
     made = found.applyInArrow(write_stats, "b int, x0 long, x1 long, x2 long, x3 long, x4 long").collect()
     model.pair_types = sum(x["x4"] for x in made)
     for order, own in ((2, [x for x in made if x["b"] < 0]), (1, [x for x in made if x["b"] >= 0])):
@@ -304,7 +305,8 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
                 columns = [part.column(0), part.column(1), pa.array(n), pa.array(np.add.reduceat((count > 0).astype(np.int64), start)), pa.array(np.full(len(n), m.tokens)), pa.array(np.add.reduceat(base, start)), pa.array(own), pa.array(10 ** np.minimum(-own / n, 300))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(released(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def score_held_out(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.shared import cut, small
+from weftline.llm.shared import cut, released, small, small_batches
 
 BUCKETS = 1 << 16
 #: Labelled rows a language is fitted on (in expectation; rows by hash of their text), and languages at most.
@@ -68,7 +68,7 @@ def fit_profiles(docs: DataFrame, text: str, label: str, sample: int = SAMPLE) -
         i, j = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["i", "j", "n"])
 
-    rows = picked.mapInArrow(count, "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()  # LANGUAGES x BUCKETS at most
+    rows = picked.mapInArrow(released(count), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()  # LANGUAGES x BUCKETS at most
     total = np.zeros((len(langs), BUCKETS))
     total[rows["i"].to_numpy(), rows["j"].to_numpy()] = rows["n"].to_numpy()
     total[:, _BLANK] = 0
@@ -96,7 +96,7 @@ def text_evidence(rows: DataFrame, text: str, profiles: np.ndarray, keep: list[s
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1, dtype=np.int32) * m.shape[0]), pa.array(ll.ravel()))
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], lists], schema.names)
 
-    return sources.mapInArrow(score, schema)
+    return sources.mapInArrow(released(score), schema)
 
 
 def _posterior(logs: Column) -> Column:
@@ -156,6 +156,7 @@ def identify(rows: DataFrame, *, text: str = "text", label: str | None = "lang",
     without any labelled row every row is. Ties go to the language first in the alphabet. One row out for each row in.
     """
     keep = [c for c in rows.columns if c != "_lang"] if keep is None else keep
+    small_batches(rows.sparkSession)
     langs, table = profiles or fit_profiles(rows, text, label)
     classes, k = [*langs, UND], len(langs) + 1
     fields = {"_declared": declared, "_suffix": suffix, **{f"_host{i}": c for i, c in enumerate(hosts)}}

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.hashing import BLOCKS, blocks, mix, steps, unpacked, words_of
-from weftline.llm.shared import cut, map_array, put_bytes, shared_dir
+from weftline.llm.shared import cut, map_array, put_bytes, released, shared_dir, small_batches
 
 #: The least Jaccard similarity, as a fraction.
 NUM, DEN = 4, 5
@@ -31,7 +31,7 @@ COUNTERS_BITS, COUNTERS_BLOCK_BITS = 20, 14
 #: Text bytes that a group of postings is for, and that a file of classes is for.
 POSTING_BYTES, CLASS_BYTES = 12 << 20, 48 << 20
 #: Words of a file of sets, classes in a word's group beyond which its earliest ones go first, and pairs of a step.
-SET_FILE_WORDS, CROWD, TILE, PAIRS = 6_000_000, 1024, 512, 2_000_000
+SET_FILE_WORDS, CROWD, TILE, PAIRS = 3_000_000, 1024, 512, 2_000_000
 LAST = np.iinfo(np.int64).max
 _TOKEN = np.uint64((1 << 40) - 1)
 
@@ -117,6 +117,8 @@ class SetFiles:
         return got
 
     def _by_file(self, places: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+        if not len(places):
+            return
         files = places >> np.uint64(24)
         order = np.argsort(files, kind="stable")
         names, first = np.unique(files[order], return_index=True)
@@ -276,7 +278,7 @@ def rarity_levels(rows: DataFrame) -> np.ndarray:
         return pa.table({"bucket": pa.array([b], pa.int32()), "levels": pa.array([levels.tobytes()], pa.binary())})
 
     out = np.zeros(size, np.uint8)
-    for row in rows.mapInArrow(count, BLOCKS).groupBy("bucket").applyInArrow(add, "bucket int, levels binary").collect():  # a byte a counter
+    for row in rows.mapInArrow(released(count), BLOCKS).groupBy("bucket").applyInArrow(add, "bucket int, levels binary").collect():  # a byte a counter
         out[row["bucket"] * per : (row["bucket"] + 1) * per] = np.frombuffer(row["levels"], np.uint8)
     return out
 
@@ -330,6 +332,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     """
     spark, names = docs.sparkSession, [c for c in docs.columns if c != "_lines"]
     path = shared_dir(spark, "line-dedup")
+    small_batches(spark)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))).alias("doc_id"), F.col(text).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     posting_bits, bits = (max(3, int(total // n).bit_length()) for n in (POSTING_BYTES, CLASS_BYTES))
@@ -387,7 +390,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
         put_bytes(f"{path}/gone-{b}", [len(cls).to_bytes(8, "little"), cls.astype("<u8").tobytes()])
         return pa.table({"n": pa.array([len(cls)], pa.int64())})
 
-    gone = cut(rows.mapInArrow(post, BLOCKS).groupBy("kind", "bucket").applyInArrow(meet, "cls long"), "line-matches")
+    gone = cut(rows.mapInArrow(released(post), BLOCKS).groupBy("kind", "bucket").applyInArrow(meet, "cls long"), "line-matches")
     gone = gone.distinct().withColumn("b", F.shiftrightunsigned("cls", 64 - bits).cast("int"))
     gone.groupBy("b").applyInArrow(write_gone, "n long").agg(F.sum("n")).collect()
 
@@ -418,4 +421,4 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
                 info = pa.StructArray.from_arrays([pa.array(n.astype(np.int32)), pa.array(removed, pa.list_(pa.int32()))], ["n_lines", "removed"])
                 yield pa.RecordBatch.from_arrays([*columns, info], schema.names)
 
-    return kept.mapInArrow(apply, schema)
+    return kept.mapInArrow(released(apply), schema)

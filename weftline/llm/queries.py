@@ -39,7 +39,7 @@ def piece_model() -> bytes:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_model()).drop("text")
+    return encode_documents(table(spark, sf_dir, "documents"), piece_model(), keep=["doc_id"])
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.llm.shared import released, small_batches
+
 BLANK = "▁"
 #: Fixed values of the model format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -34,7 +36,7 @@ UNIGRAM, BPE = 1, 2
 #: A character that no path covers weighs so much more than the worst piece (a fixed value of the library).
 UNKNOWN_PENALTY = 10.0
 #: Parts of inputs that a worker keeps with their ids, and pairs of neighbours; beyond it starts anew.
-CACHE = 600_000
+CACHE = 300_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -141,7 +143,7 @@ class Transducer:
         key = (a, b)
         got = self.neighbours.get(key)
         if got is None:
-            if len(self.neighbours) > CACHE:
+            if len(self.neighbours) > CACHE // 2:
                 self.neighbours.clear()
             got = self.neighbours[key] = self.merged(a + b) == ([a, b] if a else [b])
         return got
@@ -297,13 +299,13 @@ def _transducer(model: bytes) -> Transducer:
     return _KEPT[key]
 
 
-def encode_documents(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
-    """Add ids (array<int>), n_ids and round_trip (decoding gives the normalised text again) to every row of docs.
+def encode_documents(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Add ids (array<int>), n_ids and round_trip (decoding gives the normalised text again) to the columns `keep` (all if None).
 
     model: the content of a model file (under a MB or so, sent with the tasks). A null or empty text has no ids. Columns of these
-    names are replaced; all others stay.
+    names are replaced. One row out for each row in; an empty table gives an empty result.
     """
-    keep = [c for c in docs.columns if c not in ("ids", "n_ids", "round_trip")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "n_ids", "round_trip")]
     sent = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias("_text"))
     schema = docs.select(*(F.col(f"`{c}`") for c in keep)).schema.add("ids", T.ArrayType(T.IntegerType())).add("n_ids", T.IntegerType()).add("round_trip", T.BooleanType())
@@ -324,4 +326,5 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text") -> DataF
                 counts = pa.array(np.diff(ends, prepend=0), pa.int32())
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], lists, counts, pa.array(same)], [*keep, "ids", "n_ids", "round_trip"])
 
-    return rows.mapInArrow(encode, schema)
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(released(encode), schema)

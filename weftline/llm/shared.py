@@ -8,6 +8,7 @@ import uuid
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,16 +16,48 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset, on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="weftline-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="weftline-")
+    return _OWN[app]
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python in batches of fewer rows than the default, which would hold tens of MB; a setting of the user's own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
+def released(run):
+    """run(batches), which gives the memory that its numpy and Arrow buffers held back to the system when it ends.
+
+    Workers are used again, and what they keep counts against the executor while others work.
+    """
+
+    def held(batches):
+        import ctypes
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return held
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

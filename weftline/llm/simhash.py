@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import Forest, components
-from weftline.llm.shared import cut, map_array, put_bytes, shared_dir
+from weftline.llm.shared import cut, map_array, put_bytes, released, shared_dir, small_batches
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Least and most expected fingerprints of a tile; between, a 64th of all.
@@ -55,7 +55,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
             fps = np.array([fingerprint(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(make, "doc_id long, fp long")
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(released(make), "doc_id long, fp long")
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Forest:
