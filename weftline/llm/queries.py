@@ -74,12 +74,12 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return identify(docs, keep=["doc_id"]).select("doc_id", "_lang.*")
+    return identify(docs, keep=["doc_id"]).select("doc_id", "_lang.*").withColumnRenamed("accepted", "kept")
 
 
 def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     profiles = fit_profiles(table(spark, sf_dir, "documents"), "text", "lang")
-    return identify_pages(table(spark, sf_dir, "pages"), profiles).select("page_id", "_lang.*")
+    return identify_pages(table(spark, sf_dir, "pages"), profiles).select("page_id", "_lang.*").withColumnRenamed("accepted", "kept")
 
 
 QUERIES = {"op1_mix_sources": op1, "op2_sentencepiece": op2, "op3_line_dedup": op3, "op4_kneser_ney": op4, "op5_simhash": op5, "op6_quality_rules": op6, "op7_embedding_dedup": op7, "op8_warc": op8, "op9_token_store": op9, "op10_language_id": op10, "pages_language": pages_language}
