@@ -71,7 +71,7 @@ def symbol_index(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.unionByName(files).dropDuplicates(["id"]), edges.withColumn("id", edge_id()).dropDuplicates(["id"])
 
 
-def read_symbol_index(spark: SparkSession, path: str, descriptor: bytes | None = None, message: str = "scip.Index") -> tuple[DataFrame, DataFrame]:
+def read_symbol_index(spark: SparkSession, path: str, descriptor: bytes | None = None, message: str = "Index") -> tuple[DataFrame, DataFrame]:
     """symbol_index() of a file: JSON, or protocol buffers with the descriptor set of the message's definition."""
     if descriptor is None:
         return symbol_index(spark.read.schema(SYMBOL_INDEX).option("multiLine", True).json(path))
