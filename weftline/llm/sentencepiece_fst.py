@@ -36,7 +36,7 @@ UNIGRAM, BPE = 1, 2
 #: A character that no path covers weighs so much more than the worst piece (a fixed value of the library).
 UNKNOWN_PENALTY = 10.0
 #: Parts of inputs that a worker keeps with their ids, and pairs of neighbours; beyond it starts anew.
-CACHE = 300_000
+CACHE, NEIGHBOURS = 450_000, 400_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -143,7 +143,7 @@ class Transducer:
         key = (a, b)
         got = self.neighbours.get(key)
         if got is None:
-            if len(self.neighbours) > CACHE // 2:
+            if len(self.neighbours) > NEIGHBOURS:
                 self.neighbours.clear()
             got = self.neighbours[key] = self.merged(a + b) == ([a, b] if a else [b])
         return got
