@@ -95,7 +95,11 @@ def put_bytes(uri: str, chunks) -> int:
         for chunk in chunks:
             out.write(chunk)
             n += len(chunk)
-    fs.move(own, path)
+    try:
+        fs.move(own, path)
+    except OSError:  # some file systems don't replace
+        fs.delete_file(path)
+        fs.move(own, path)
     return n
 
 
