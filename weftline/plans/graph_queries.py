@@ -191,6 +191,14 @@ SELECT array_to_string(list_append(path, first), '>') AS cycle, CAST(length AS I
     "file_graph": f"WITH n AS ({N}), e AS ({E}) SELECT DISTINCT 'geo/' || s.file_path AS source_file, 'geo/' || x.file_path AS target_file, e.edge_type FROM e JOIN n s ON s.id = e.source_id JOIN n x ON x.id = e.target_id WHERE (edge_type = 'DEFINES' OR target_id LIKE 'N:%') AND s.file_path <> x.file_path",
     "dependency_trace": f"WITH e AS ({E}) SELECT a.source_id || '>' || a.target_id || '>' || b.target_id AS path, CAST(2 AS INT) AS length FROM e a JOIN e b ON a.target_id = b.source_id JOIN ({N}) n ON n.id = a.source_id WHERE n.file_path = 'supplier/0' AND b.target_id = 'R:2'",
     "diagram": f"WITH n AS ({N}), e AS ({E}), m AS (SELECT DISTINCT '  ' || s.kind || ' --> ' || x.kind AS line FROM e JOIN n s ON s.id = e.source_id JOIN n x ON x.id = e.target_id WHERE s.kind <> x.kind) SELECT 'graph TD' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS diagram FROM m",
+    "call_chain": f"""WITH e AS ({TR10}), a AS (SELECT target_id AS v, target_id = 'view' AS c FROM e WHERE source_id = 'view'),
+b AS (SELECT DISTINCT a.v AS u, e.target_id AS v, e.target_id IN ('view', a.v) AS c FROM a JOIN e ON e.source_id = a.v WHERE NOT a.c)
+SELECT 'callees' AS direction, CAST(1 AS INT) AS depth, 'view' AS caller, v AS callee, c AS cycle FROM a UNION ALL SELECT 'callees', CAST(2 AS INT), u, v, c FROM b
+UNION ALL SELECT * FROM (SELECT 'callers', CAST(1 AS INT), source_id, 'view', source_id = 'view' FROM e WHERE target_id = 'view' ORDER BY source_id LIMIT 5)""",
+    "last_call_path": """WITH RECURSIVE o AS (SELECT event_type AS caller, arg_max(['error', 'purchase', 'signup', 'view', 'done'][event_id % 5 + 1], event_id) AS callee FROM events GROUP BY 1),
+w(path) AS (SELECT ['click'] UNION ALL SELECT list_append(path, callee) FROM w JOIN o ON o.caller = path[-1] WHERE NOT list_contains(path, callee) AND len(path) <= 5),
+f AS (SELECT path, (SELECT callee FROM o WHERE caller = path[-1]) AS nxt FROM w ORDER BY len(path) DESC LIMIT 1)
+SELECT CAST(i - 1 AS INT) AS step, path[i] AS symbol, CASE WHEN len(path) > 5 THEN 'truncated' WHEN nxt IS NULL THEN 'end' ELSE 'cycle' END AS outcome FROM f, unnest(range(1, len(path) + 1)) AS u(i)""",
     "edge_ids": f"SELECT md5(source_id || ':' || target_id || ':' || edge_type) AS id, source_id, target_id FROM ({E}) WHERE edge_type = 'IMPORTS'",
     "upsert_edges": f"""WITH e AS (SELECT source_id, target_id, edge_type, CAST(CASE WHEN source_id = 'N:3' THEN 9 ELSE 1 END AS INT) AS line FROM ({E}) WHERE edge_type = 'DEFINES' UNION ALL SELECT 'N:3', 'R:9', 'DEFINES', CAST(5 AS INT))
 SELECT md5(source_id || ':' || target_id || ':' || edge_type) AS id, source_id, target_id, edge_type, line FROM e""",

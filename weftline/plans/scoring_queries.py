@@ -19,7 +19,12 @@ def _now(spark: SparkSession, d: str) -> int:
 
 
 def _lines(spark: SparkSession, d: str) -> DataFrame:
-    return t.commits(spark, d).select("file").distinct().select("file", (F.crc32(F.encode("file", "utf-8")) % 400 + 1).alias("lines"))
+    """Made-up line counts: the commits' files exist by name only."""
+    return t.commits(spark, d).select("file").distinct().select("file", (_number("file") * 37 % 400 + 1).alias("lines"))
+
+
+def _number(column: str):
+    return F.regexp_extract(column, "([0-9]+)", 1).cast("long")
 
 
 def churn(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +90,7 @@ def event_trend(spark: SparkSession, d: str) -> DataFrame:
 
 def fault_locations(spark: SparkSession, d: str) -> DataFrame:
     c = t.commits(spark, d)
-    named = c.select(F.col("file").alias("file_path")).distinct().select("file_path", (F.crc32(F.encode("file_path", "utf-8")) % 5).alias("depth"))
+    named = c.select(F.col("file").alias("file_path")).distinct().select("file_path", (_number("file_path") % 5).alias("depth"))
     named = named.select("file_path", scoring.chain_scores(F.col("depth")).alias("chain"), (F.col("depth") * 7 + 1).cast("int").alias("line"))
     history = scoring.commit_histogram(c).select(F.col("file").alias("file_path"), F.col("n_fix").alias("n_fixes"))
     heat = scoring.hotspots(c, _lines(spark, d), top=100).select(F.col("file").alias("file_path"), "score")
@@ -154,13 +159,22 @@ def _type_sql(column: str, value: int) -> str:
 
 
 _NOW = "(SELECT CAST(floor(epoch(max(ts))) AS BIGINT) FROM events)"
-_CRC = "(SELECT file, f, n FROM c)"
+_N = "CAST(regexp_extract({c}, '([0-9]+)', 1) AS BIGINT)"
+_HOT = f"""c AS (SELECT *, {_type_sql('subject', 0)} = 'fix' AS bug FROM ({C})), h AS (SELECT file, count(*) AS freq, count(*) FILTER (bug) AS bugs, max(ts) AS last, {_N.format(c='file')} * 37 % 400 + 1 AS lines FROM c GROUP BY file)"""
+_TOP = "ORDER BY score DESC, file LIMIT"
 _INTENT = " ".join(f"WHEN regexp_matches(lower(text), '{p}') THEN '{k}'" for k, p in scoring.INTENT_RULES)
 _BOUND = lambda i: " ".join(f"WHEN regexp_matches(path, '{x.glob_regex(g)}') THEN {(repr(k), f'CAST({c} AS DOUBLE)', repr(g))[i]}" for g, k, c in x.BOUNDARY_RULES)
 _MONTH = "CAST(date_trunc('month', ts) AS DATE)"
 SQL = {
     "churn": f"SELECT file, count(*) AS freq FROM ({C}) WHERE ts >= {_NOW} - 30 * 86400 GROUP BY 1",
     "file_age": f"SELECT file, CAST(greatest(({_NOW} - max(ts)) // 86400, 0) AS BIGINT) AS age_days FROM ({C}) GROUP BY 1",
+    "hotspots": f"WITH {_HOT} SELECT file, freq, lines, CAST(freq * lines AS DOUBLE) AS score FROM h {_TOP} 20",
+    "hotspots_bug": f"WITH {_HOT} SELECT file, freq, lines, round(freq * lines * (1 + CAST(1 AS DOUBLE) * bugs / freq), 0) AS score FROM h {_TOP} 20",
+    "hotspots_weighted": f"""WITH {_HOT}, m AS (SELECT max(freq) AS f, max(lines) AS l, max(bugs) AS b FROM h)
+SELECT file, freq, lines, round((CAST(0.4 AS DOUBLE) * (freq / f) + CAST(0.2 AS DOUBLE) * (lines / l) + CAST(0.2 AS DOUBLE) * CASE WHEN b > 0 THEN bugs / b ELSE 0 END) * CAST(CASE WHEN ({_NOW} - last) // 86400 <= 30 THEN 1.2 ELSE 1 END AS DOUBLE), 6) AS score FROM h, m {_TOP} 20""",
+    "fault_locations": f"""WITH {_HOT}, t AS (SELECT file, CAST(freq * lines AS DOUBLE) AS score FROM h {_TOP} 100), x AS (SELECT file, bugs, {_N.format(c='file')} % 5 AS depth FROM h),
+s AS (SELECT x.file AS file_path, round(CAST(0.4 AS DOUBLE) * greatest(0, 1 - CAST(0.2 AS DOUBLE) * depth) + CAST(0.3 AS DOUBLE) * (bugs / (SELECT max(bugs) FROM h)) + CAST(0.15 AS DOUBLE) * coalesce(t.score / (SELECT max(score) FROM t), 0) + CAST(0.15 AS DOUBLE) * CAST(0.5 AS DOUBLE), 4) AS score, depth FROM x LEFT JOIN t USING (file))
+SELECT file_path, score, CAST(greatest(depth * 7 + 1 - 5, 1) AS INT) AS from_line, CAST(depth * 7 + 16 AS INT) AS to_line FROM s ORDER BY score DESC, file_path LIMIT 20""",
     "commit_types": f"SELECT sha, {_type_sql('subject', 0)} AS type, {_type_sql('subject', 1)} AS confidence FROM ({C})",
     "commit_histogram": f"""WITH c AS (SELECT *, {_type_sql('subject', 0)} AS t FROM ({C})) SELECT file, count(*) AS n_commits, {', '.join(f"count(*) FILTER (t = '{k}') AS n_{k}" for k in scoring.COMMIT_TYPES)},
 round(avg(CAST(t = 'fix' AS DOUBLE)), 4) AS bug_ratio, max(ts) FILTER (t = 'fix') AS last_fix, coalesce(string_agg(DISTINCT sha, ',' ORDER BY sha) FILTER (t = 'fix'), '') AS fixes FROM c GROUP BY 1""",
