@@ -135,8 +135,12 @@ class Store:
         out = self._fs.create(self._at(f"CURRENT.{version}"), True)
         out.write(bytearray(version.encode()))
         out.close()
-        self._fs.delete(self._at("CURRENT"), False)
-        self._fs.rename(self._at(f"CURRENT.{version}"), self._at("CURRENT"))
+        # one step that replaces the pointer: readers find the old version or the new one
+        kinds = getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        how[0] = kinds.OVERWRITE
+        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at("CURRENT").toUri(), self.spark._jsc.hadoopConfiguration())
+        context.rename(self._at(f"CURRENT.{version}"), self._at("CURRENT"), how)
 
     @property
     def nodes(self) -> DataFrame:
