@@ -49,7 +49,7 @@ def test_words_equal_whole_texts(word_bpe, text):
     assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 1, 1] and n.tolist() == [len(ids) - 1, 1]
 
 
-def test_round_trip(spark, documents, word_bpe, monkeypatch):
+def test_round_trip(spark, documents, word_bpe):
     _, library = tokenizer(word_bpe)
     rows = [*ODD, (-5, "negative id"), (1 << 40, "large id")]
     got = m.encode_round_trip(documents(*rows).withColumn("start", F.lit("clash")), word_bpe).orderBy("start").collect()
