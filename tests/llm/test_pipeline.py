@@ -38,7 +38,7 @@ def test_empty_table(spark, documents):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     df = QUERIES[name](spark, sf)
     cols = sorted(df.columns)

@@ -66,4 +66,13 @@ SELECT page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha1(p.h) AS paylo
 FROM p LEFT JOIN k ON p.h = k.h AND page_id IS NOT NULL
 """
 
-SQL = {"op1_mix_sources": OP1, "op6_quality_rules": OP6, "op8_warc": OP8}
+OP7 = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT id, min(root) AS c FROM r GROUP BY id)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, c AS component_id, vec_id = c AS kept FROM v JOIN c ON c.id = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+SQL = {"op1_mix_sources": OP1, "op6_quality_rules": OP6, "op7_embedding_dedup": OP7, "op8_warc": OP8}
