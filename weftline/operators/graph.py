@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.schemas import EDGE_TYPES
-from weftline.storage import cut, is_empty, small
+from weftline.storage import cut, is_empty, small, stored
 
 
 def edge_types(edges: DataFrame, types: list[str] | None) -> DataFrame:
@@ -56,7 +56,7 @@ def neighbours(nodes: DataFrame, edges: DataFrame, node: str, upstream: bool = F
 
 def closure(edges: DataFrame, max_depth: int = 5, types: list[str] | None = None) -> DataFrame:
     """(source_id, target_id, depth) of all pairs within max_depth steps, with the least depth; (x, x) on a cycle."""
-    step = edge_types(edges, types).select("source_id", "target_id").distinct()
+    step = stored(edge_types(edges, types).select("source_id", "target_id").distinct(), "closure-edges")
     seen = cut(step.withColumn("depth", F.lit(1)), "closure")
     frontier = seen
     for depth in range(2, max_depth + 1):
@@ -80,7 +80,7 @@ def extend_closure(known: DataFrame, source: str, target: str, max_depth: int =
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, upstream: bool = False) -> DataFrame:
     """(seed, id, depth): everything within max_depth steps of each seed (a column `id`), seeds themselves at depth 0."""
     near, far = ("target_id", "source_id") if upstream else ("source_id", "target_id")
-    step = edges.select(F.col(near).alias("_near"), F.col(far).alias("_far"))
+    step = stored(edges.select(F.col(near).alias("_near"), F.col(far).alias("_far")), "reach-edges")
     frontier = cut(seeds.select(F.col("id").alias("seed"), "id", F.lit(0).alias("depth")).distinct(), "reach")
     seen = frontier
     for depth in range(1, max_depth + 1):
@@ -111,25 +111,27 @@ def file_impact(nodes: DataFrame, edges: DataFrame, path: str, **options) -> Dat
     return impact(nodes, edges, nodes.filter(F.col("file_path") == path).select("id"), upstream=True, **options)
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_depth: int = 10, types: list[str] | None = None) -> DataFrame:
-    """The shortest path from source to target: path (node ids), edge_types, length; no row if there is none within max_depth.
+def shortest_path(edges: DataFrame, source: str, target: str | list[str], max_depth: int = 10, types: list[str] | None = None) -> DataFrame:
+    """The shortest path from source to each target: path (node ids), edge_types, length; no row if there is none within max_depth.
 
     Of equally short paths the one first in order of its nodes' ids (then edge types) counts. max_depth outside 1 to 10 is 10.
+    One search serves all targets, and ends when it has found them.
     """
     max_depth = max_depth if 1 <= max_depth <= 10 else 10
-    spark, step = edges.sparkSession, edge_types(edges, types).groupBy("source_id", "target_id").agg(F.min("edge_type").alias("edge_type"))
+    targets = [target] if isinstance(target, str) else list(dict.fromkeys(target))
+    spark, step = edges.sparkSession, stored(edge_types(edges, types).select("source_id", "target_id", "edge_type"), "path-edges")
     frontier = spark.createDataFrame([(source, [source], [])], "id string, path array<string>, edge_types array<string>")
-    seen = frontier.select("id")
-    for depth in range(1, max_depth + 1):
-        if source == target:
-            break
+    seen, found, left = frontier.select("id"), frontier.filter(F.col("id").isin(targets)), len(targets) - (source in targets)
+    for _ in range(max_depth if left else 0):
         hit = small(frontier).join(step, F.col("id") == F.col("source_id")).select(F.col("target_id").alias("id"), F.concat("path", F.array("target_id")).alias("path"), F.concat("edge_types", F.array("edge_type")).alias("edge_types"))
-        best = hit.groupBy("id").agg(F.min_by(F.struct("path", "edge_types"), F.struct("path", "edge_types")).alias("b")).select("id", "b.*")
+        best = hit.groupBy("id").agg(F.min(F.struct("path", "edge_types")).alias("b")).select("id", "b.*")
         frontier = cut(best.join(seen, "id", "left_anti"), "path")
-        if is_empty(frontier) or not is_empty(frontier.filter(F.col("id") == target)):
+        n = frontier.agg(F.count("*"), F.count_if(F.col("id").isin(targets))).first()
+        found, left = found.unionByName(frontier.filter(F.col("id").isin(targets))), left - n[1]
+        if not n[0] or not left:
             break
         seen = seen.unionByName(frontier.select("id"))
-    return frontier.filter(F.col("id") == target).select("path", "edge_types", (F.size("path") - 1).alias("length"))
+    return found.select("path", "edge_types", (F.size("path") - 1).alias("length"))
 
 
 def cycles(edges: DataFrame, max_length: int = 8, whitelist: list[str] | None = None) -> DataFrame:
@@ -181,7 +183,7 @@ def call_chain(edges: DataFrame, symbol: str, direction: str = "both", depth: in
     """
     if direction not in ("callers", "callees", "both"):
         raise ValueError("direction is callers, callees or both")
-    depth, calls = min(max(depth, 1), 4), edges.select("source_id", "target_id").distinct()
+    depth, calls = min(max(depth, 1), 4), stored(edges.select("source_id", "target_id").distinct(), "call-edges")
     up = calls.filter(F.col("target_id") == symbol).orderBy("source_id").limit(callers).select(F.lit("callers").alias("direction"), F.lit(1).alias("depth"), F.col("source_id").alias("caller"), F.col("target_id").alias("callee"), (F.col("source_id") == symbol).alias("cycle"))
     rank = F.row_number().over(Window.partitionBy("path").orderBy("target_id"))
     frontier, down = edges.sparkSession.createDataFrame([([symbol],)], "path array<string>"), None
@@ -241,7 +243,7 @@ def subgraph(candidates: DataFrame) -> DataFrame:
 
 def dependency_trace(edges: DataFrame, roots: DataFrame, package: str, max_depth: int = 8) -> DataFrame:
     """All simple paths from the roots (a column `id`) down to a package: path, length."""
-    step = edges.select("source_id", "target_id").distinct()
+    step = stored(edges.select("source_id", "target_id").distinct(), "trace-edges")
     paths, out = roots.select(F.array("id").alias("path")), None
     for _ in range(max_depth):
         hit = cut(paths.join(step, F.element_at("path", -1) == F.col("source_id")).filter(~F.array_contains("path", F.col("target_id"))).select(F.concat("path", F.array("target_id")).alias("path")), "trace")

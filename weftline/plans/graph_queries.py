@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,9 +69,8 @@ def closure_increment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
-    edges = t.edges(spark, d)
-    found = [g.shortest_path(edges, "O:1", f"R:{k}") for k in range(5)]
-    return reduce(DataFrame.unionByName, found).select(F.array_join("path", ">").alias("path"), F.array_join("edge_types", ",").alias("edge_types"), "length")
+    found = g.shortest_path(t.edges(spark, d), "O:1", [f"R:{k}" for k in range(5)])
+    return found.select(F.array_join("path", ">").alias("path"), F.array_join("edge_types", ",").alias("edge_types"), "length")
 
 
 def typed_path(spark: SparkSession, d: str) -> DataFrame:

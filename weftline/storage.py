@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -35,6 +36,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df for a loop that reads it many times: as it is if it only scans, filters and projects, else cut once."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return cut(df, name) if re.search(r"\b(Join|Aggregate|Union|Window|Generate|Repartition)", plan) else df
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most `limit` rows, else df as it is (a shuffled join)."""
     return F.broadcast(df) if len(df.limit(limit + 1).select(F.lit(1)).collect()) <= limit else df
