@@ -31,7 +31,7 @@ COUNTERS_BITS, COUNTERS_BLOCK_BITS = 20, 14
 #: Text bytes that a group of postings is for, and that a file of classes is for.
 POSTING_BYTES, CLASS_BYTES = 12 << 20, 48 << 20
 #: Words of a file of sets, classes in a word's group beyond which its earliest ones go first, and pairs of a step.
-SET_FILE_WORDS, CROWD, TILE, PAIRS = 3_000_000, 1024, 512, 2_000_000
+SET_FILE_WORDS, CROWD, TILE, PAIRS = 2_000_000, 1024, 512, 2_000_000
 LAST = np.iinfo(np.int64).max
 _TOKEN = np.uint64((1 << 40) - 1)
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.shared import released, small_batches
+from weftline.llm.shared import KEPT, released, small_batches
 
 BLANK = "▁"
 #: Fixed values of the model format: kinds of pieces and of models.
@@ -296,6 +296,7 @@ def _transducer(model: bytes) -> Transducer:
     if key not in _KEPT:
         _KEPT.clear()
         _KEPT[key] = Transducer(model)
+    KEPT["sentencepiece"] = _KEPT.clear
     return _KEPT[key]
 
 
@@ -327,4 +328,4 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text", keep: li
                 yield pa.RecordBatch.from_arrays([*some.columns[:-1], lists, counts, pa.array(same)], [*keep, "ids", "n_ids", "round_trip"])
 
     small_batches(docs.sparkSession)
-    return rows.mapInArrow(released(encode), schema)
+    return rows.mapInArrow(released(encode, "sentencepiece"), schema)

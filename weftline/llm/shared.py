@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from urllib.parse import urlparse
 
 import numpy as np
@@ -39,8 +40,19 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def released(run):
-    """run(batches), which gives the memory that its numpy and Arrow buffers held back to the system when it ends.
+#: What a worker keeps between tasks: name to a function that drops it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def drop_kept(but: str | None) -> None:
+    """Drop what this worker keeps between tasks for other operators."""
+    for name in [n for n in KEPT if n != but]:
+        KEPT.pop(name)()
+
+
+def released(run, keeps: str | None = None):
+    """run(batches), which drops what the worker kept for operators other than `keeps` when it starts, and gives the memory that its
+    numpy and Arrow buffers held back to the system when it ends.
 
     Workers are used again, and what they keep counts against the executor while others work.
     """
@@ -48,6 +60,9 @@ def released(run):
     def held(batches):
         import ctypes
 
+        from weftline.llm import shared  # the worker's own module, not a copy that came with this function
+
+        shared.drop_kept(keeps)
         try:
             yield from run(batches)
         finally:

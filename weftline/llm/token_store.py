@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import cut, get_bytes, put_bytes, released, shared_dir, small_batches
+from weftline.llm.shared import KEPT, cut, get_bytes, put_bytes, released, shared_dir, small_batches
 
 MAGIC = b"WLTOK001"
 HEADER = struct.Struct("<8s6q")
@@ -201,6 +201,7 @@ def _encoder(definition: str, end_id: int) -> WordEncoder:
     if key not in _KEPT:
         _KEPT.clear()
         _KEPT[key] = WordEncoder(definition, end_id)
+    KEPT["token_store"] = _KEPT.clear
     return _KEPT[key]
 
 
@@ -275,7 +276,7 @@ def write_tokens(docs: DataFrame, path: str, definition: str, *, doc_id: str = "
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    made = cut(ordered.mapInArrow(released(write), "part int, shard int, file string, n_docs long, n_tokens long"), "token-manifest")
+    made = cut(ordered.mapInArrow(released(write, "token_store"), "part int, shard int, file string, n_docs long, n_tokens long"), "token-manifest")
     # a row for each file: their starts are summed here, and take as little space as a listing of the folder
     files = made.orderBy("part", "shard").collect()
     starts = [0, *accumulate(x["n_tokens"] for x in files)][: len(files)]
@@ -299,7 +300,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     sums = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip((s - begin).tolist(), (e - begin).tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(numbers[lo:hi], pa.int64()), pa.array(s + start, pa.int64()), pa.array(e - s, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("file", "start").repartition(max(1, manifest.count())).mapInArrow(released(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("file", "start").repartition(max(1, manifest.count())).mapInArrow(released(read, "token_store"), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_round_trip(docs: DataFrame, definition: str, *, end_id: int = 1, width: int = 4) -> DataFrame:
