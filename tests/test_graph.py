@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.operators import graph as g
+from weftline.plans.graph_queries import QUERIES
 
 EDGE = "source_id string, target_id string, edge_type string"
 
@@ -153,3 +154,18 @@ def test_empty_graph(spark):
     assert g.closure(e).count() == g.cycles(e).count() == g.shortest_path(e, "A", "B").count() == 0
     assert g.impact(nodes(spark, "A"), e, seeds(spark, "A")).count() == 0
     assert g.orphans(nodes(spark, "A"), e).select(F.col("id")).first()[0] == "A"
+
+
+@pytest.mark.parametrize("name", ["closure_cyclic", "cycle_nodes", "strong_components", "call_chain"])
+def test_queries_read_all_users(spark, tmp_path, name):
+    events = [(1, 1, "view"), (2, 1, "click"), (3, 12, "click"), (4, 12, "view")]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").withColumn("ts", F.col("event_id").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES[name](spark, str(tmp_path))
+    want = {
+        "closure_cyclic": [("click", "click"), ("click", "view"), ("view", "click"), ("view", "view")],
+        "cycle_nodes": [("click", 2), ("view", 2)],
+        "strong_components": [("click", "click"), ("view", "click")],
+        "call_chain": [("click", "view"), ("click", "view"), ("view", "click")],
+    }
+    columns = {"closure_cyclic": ("source_id", "target_id"), "cycle_nodes": ("id", "length"), "strong_components": ("id", "component"), "call_chain": ("caller", "callee")}
+    assert rows(got, *columns[name]) == want[name]

@@ -61,7 +61,7 @@ def closure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def closure_cyclic(spark: SparkSession, d: str) -> DataFrame:
-    return g.closure(t.transitions(spark, d, 10))
+    return g.closure(t.transitions(spark, d))
 
 
 def closure_increment(spark: SparkSession, d: str) -> DataFrame:
@@ -97,11 +97,11 @@ def cycles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cycle_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return g.cycle_nodes(t.transitions(spark, d, 10))
+    return g.cycle_nodes(t.transitions(spark, d))
 
 
 def strong_components(spark: SparkSession, d: str) -> DataFrame:
-    return g.strong_components(t.transitions(spark, d, 10))
+    return g.strong_components(t.transitions(spark, d))
 
 
 def dependency_lists(spark: SparkSession, d: str) -> DataFrame:
@@ -128,7 +128,7 @@ def diagram(spark: SparkSession, d: str) -> DataFrame:
 
 
 def call_chain(spark: SparkSession, d: str) -> DataFrame:
-    return g.call_chain(t.transitions(spark, d, 10), "view")
+    return g.call_chain(t.transitions(spark, d), "view")
 
 
 def last_call_path(spark: SparkSession, d: str) -> DataFrame:
