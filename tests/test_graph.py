@@ -104,6 +104,13 @@ def test_strong_components(spark):
     assert rows(got, "id", "component") == [("A", "A"), ("B", "A"), ("C", "C"), ("D", "C")]
 
 
+def test_cycles_of_more_than_64_nodes(spark):
+    ring = edges(spark, " ".join(f"{k:02}>{(k + 1) % 66:02}" for k in range(66)))
+    names = [f"{k:02}" for k in range(66)]
+    assert rows(g.cycle_nodes(ring), "id", "length") == [(n, 66) for n in names]
+    assert rows(g.strong_components(ring), "id", "component") == [(n, "00") for n in names]
+
+
 def test_orphans_and_dangling(spark):
     n, e = nodes(spark, "ABC"), edges(spark, "A>B B>X Y>Z")
     assert rows(g.orphans(n, e), "id") == [("A",), ("C",)]

@@ -6,6 +6,8 @@ frontier is broadcast only while it is small, so that the edges needn't move.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,17 +56,23 @@ def neighbours(nodes: DataFrame, edges: DataFrame, node: str, upstream: bool = F
     return nodes.join(small(hit), "id")
 
 
-def closure(edges: DataFrame, max_depth: int = 5, types: list[str] | None = None) -> DataFrame:
-    """(source_id, target_id, depth) of all pairs within max_depth steps, with the least depth; (x, x) on a cycle."""
+#: Steps after which a long walk's pairs are cut again, so that their plan stays short.
+RECUT = 16
+
+
+def closure(edges: DataFrame, max_depth: int | None = 5, types: list[str] | None = None) -> DataFrame:
+    """(source_id, target_id, depth) of all pairs within max_depth steps (any number if None), with the least depth; (x, x) on a cycle."""
     step = stored(edge_types(edges, types).select("source_id", "target_id").distinct(), "closure-edges")
     seen = cut(step.withColumn("depth", F.lit(1)), "closure")
     frontier = seen
-    for depth in range(2, max_depth + 1):
+    for depth in itertools.count(2) if max_depth is None else range(2, max_depth + 1):
         reach = frontier.select("source_id", F.col("target_id").alias("_via")).join(step.select(F.col("source_id").alias("_via"), "target_id"), "_via").select("source_id", "target_id").distinct()
         frontier = cut(reach.join(seen, ["source_id", "target_id"], "left_anti").withColumn("depth", F.lit(depth)), "closure")
         if is_empty(frontier):
             break
         seen = seen.unionByName(frontier)
+        if depth % RECUT == 0:
+            seen = cut(seen, "closure")
     return seen
 
 
@@ -159,12 +167,12 @@ def cycles(edges: DataFrame, max_length: int = 8, whitelist: list[str] | None =
     return out
 
 
-def cycle_nodes(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def cycle_nodes(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """The nodes that lie on a cycle, and how long the shortest one through each is."""
     return closure(edges, max_depth).filter(F.col("source_id") == F.col("target_id")).select(F.col("source_id").alias("id"), F.col("depth").alias("length"))
 
 
-def strong_components(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def strong_components(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, component): nodes that reach each other share a component, named by its least node; only nodes on cycles have rows."""
     c = closure(edges, max_depth).select("source_id", "target_id")
     back = c.select(F.col("source_id").alias("target_id"), F.col("target_id").alias("source_id"))
