@@ -10,8 +10,8 @@ from weftline.llm.line_dedup import dedup_lines
 from weftline.llm.mixing import mix_sources
 from weftline.llm.queries import piece_model
 from weftline.llm.sentencepiece_fst import encode_documents
-from weftline.llm.shared import cut, small
-from weftline.llm.simhash import near_duplicates
+from weftline.llm.shared import cut
+from weftline.llm.simhash import first_of_groups
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,16 +26,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document (by doc_id) of each group of near-duplicates. Of rows with the same doc_id one stays; a null doc_id goes if it has a group."""
-    found = cut(near_duplicates(docs).select("doc_id", "component_id"), "pipeline-simhash")
-    out = docs.join(small(found.filter("doc_id <> component_id").select("doc_id").distinct()), "doc_id", "left_anti")
-    if found.filter("doc_id is null and component_id is not null").limit(1).collect():
-        out = out.filter("doc_id is not null")
-    again = cut(found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "pipeline-repeated")
-    if again.limit(1).collect():
-        repeated = out.join(small(again), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        out = out.join(small(again), "doc_id", "left_anti").unionByName(repeated)
-    return out.select(*docs.columns)
+    """The first document (by doc_id, null ones last) of each group of near-duplicates; doc_ids may be null or repeated."""
+    return first_of_groups(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,16 @@ def test_copies_go_and_clean_documents_stay(spark, documents):
     assert mixed.select("doc_id").distinct().count() == 30 and mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
 
 
+def test_one_row_of_each_group_stays_whatever_its_id(spark, documents):
+    text = lambda k: " ".join(f"word{k}x{j}" for j in range(48))
+    kept = lambda *rows: sorted(((r["doc_id"], r["text"]) for r in p.simhash(spark, documents(*rows), "").collect()), key=repr)
+    want = lambda *rows: sorted(rows, key=repr)
+    assert kept((1, text(1)), (None, text(1)), (None, text(2))) == want((1, text(1)), (None, text(2)))
+    assert kept((None, text(1)), (None, text(1)), (2, text(2))) == want((None, text(1)), (2, text(2)))
+    assert kept((3, text(1)), (5, text(1)), (5, text(2)), (6, text(2))) == want((3, text(1)), (5, text(2)))
+    assert kept((5, text(1)), (5, text(2)), (5, text(2))) == want((5, text(1)), (5, text(2)))
+
+
 def test_empty_table(spark, documents):
     docs = documents((1, "x")).limit(0)
     for _, stage in p.STAGES:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import Forest, components
-from weftline.llm.shared import cut, map_array, put_bytes, released, shared_dir, small_batches
+from weftline.llm.shared import cut, map_array, put_bytes, released, shared_dir, small, small_batches
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Least and most expected fingerprints of a tile; between, a 64th of all.
@@ -47,16 +47,17 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(total * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long) of every row; a null or empty text has fingerprint zero."""
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """(doc_id, fp long) of every row, and the long column `row` if given; a null or empty text has fingerprint zero."""
+    own = [row] if row else []
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *own])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(released(make), "doc_id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *own).mapInArrow(released(make), ", ".join(["doc_id long, fp long", *(f"{c} long" for c in own)]))
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Forest:
@@ -128,3 +129,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     moved = cut(rooted.join(best, "root").select("fp", "component_id"), "simhash-components")
     of = fps.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return own.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of docs for each group of near-duplicates, the one with the least doc_id (null ones last).
+
+    Rows are told apart by a number of their own, so that doc_ids may be null or repeated.
+    """
+    marked = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
+    own = cut(fingerprints(marked, doc_id, text, shingle, "_row"), "simhash")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
+    fps = cut(own.groupBy("fp").agg(F.min(place).alias("first")), "simhash-distinct")
+    linked = components(link_fingerprints(fps.select("fp"), radius))
+    firsts = fps.join(linked, fps["fp"] == linked["node"], "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
+    gone = cut(own.select("_row").join(firsts.select("first._row"), "_row", "left_anti"), "simhash-gone")
+    return marked.join(small(gone), "_row", "left_anti").select(*docs.columns)
