@@ -50,6 +50,38 @@ def reference(train, every):
     return n, out
 
 
+def reference_of_order(order, train, every):
+    """Scores of any order by plain dictionaries."""
+    grams = [collections.Counter() for _ in range(order + 1)]
+    for t in map(tokens, train):
+        w = [0] * (order - 1) + t
+        grams[order].update(tuple(w[i : i + order]) for i in range(len(t)))
+    for k in range(order - 1, 0, -1):
+        grams[k].update(g[1:] for g in grams[k + 1])
+    discounts, follow = {}, collections.defaultdict(list)
+    for k in range(1, order + 1):
+        c = collections.Counter(grams[k].values())
+        y = c[1] / (c[1] + 2 * c[2]) if c[1] else 0.5
+        d = [1 - 2 * y * c[2] / c[1] if c[1] else 0.5, 2 - 3 * y * c[3] / c[2] if c[2] else 1.0, 3 - 4 * y * c[4] / c[3] if c[3] else 1.5]
+        discounts[k] = [0, *(min(max(x, 0.0), i) for i, x in enumerate(d, 1))]
+        for g, x in grams[k].items():
+            follow[g[:-1]].append((x, discounts[k][min(x, 3)]))
+
+    def p(g):
+        lower = p(g[1:]) if len(g) > 1 else 1 / (len(grams[1]) + 1)
+        after = follow.get(g[:-1])
+        if not after:
+            return lower
+        x, total = grams[len(g)][g], sum(x for x, _ in after)
+        return max(x - discounts[len(g)][min(x, 3)], 0) / total + sum(d for _, d in after) / total * lower
+
+    out = []
+    for t in map(tokens, every):
+        w = [0] * (order - 1) + t
+        out.append(sum(math.log10(p(tuple(w[i : i + order]))) for i in range(len(t))))
+    return out
+
+
 def held(doc_id):
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
@@ -73,3 +105,13 @@ def test_beats_counts_on_held_out_text(spark, sf):
 def test_empty_table_and_other_columns(documents):
     assert m.score_held_out(documents(*ODD).limit(0)).count() == 0
     assert m.score_held_out(documents(*ODD).withColumn("score", F.lit("clash"))).count() == len(ODD)
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_scores_of_an_order(documents, order):
+    rows = [(k, f"the cat {k % 5} sat on the Mat {k % 3} " * (1 + k % 4) + f"end {k % 7}") for k in range(60)] + [(100, None), (101, "new words the cat 1 sat"), *((200 + k, "a b " * 40) for k in range(30))]
+    got = {r["doc_id"]: r["score"] for r in m.score_held_out(documents(*rows), order=order).collect()}
+    want = reference_of_order(order, [t for i, t in rows if not held(i)], [t for _, t in rows])
+    assert len(got) == len(rows)
+    for (i, _), score in zip(rows, want, strict=True):
+        assert math.isclose(got[i], score, rel_tol=1e-9, abs_tol=1e-9)

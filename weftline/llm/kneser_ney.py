@@ -1,9 +1,11 @@
-"""Interpolated modified Kneser-Ney language model of word pairs, counted in Spark and scored from memory-mapped arrays.
-
-Words are hashed to 64 bits with numpy over whole batches. Counting takes three shuffles of compact blocks, each counted within
-its task first: words (by range of hash), pairs (by hash of the pair, so that no word gathers in one task), and what pairs say
-of single words (by range of word number). Each group writes a file of sorted arrays to the shared folder; a word's number is its
-place among the sorted hashes of all files. Scoring tasks map the files and look up sorted runs of queries.
+"""Interpolated modified Kneser-Ney language model of any order from 2, counted in Spark and scored from memory-mapped arrays.
+
+Words are hashed to 64 bits with numpy over whole batches. Counting takes a shuffle of compact blocks for words (by range of hash)
+and one for each order, each counted within its task first: n-grams of the highest order (by hash of the n-gram, so that no word
+gathers in one task), what they say of the n-grams one word shorter, and so on down to single words (by range of word number).
+Each group writes a file of sorted arrays to the shared folder; a word's number is its place among the sorted hashes of all files.
+Pairs have their two numbers as key, longer n-grams a 64-bit hash of theirs. Scoring tasks map the files and look up sorted runs
+of queries.
 """
 
 from __future__ import annotations
@@ -16,38 +18,83 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.hashing import BLOCKS, blocks, mix, steps, summed, token_hashes, unpacked
+from weftline.llm.hashing import BLOCKS, blocks, mix, packed, steps, summed, token_hashes, unpacked
 from weftline.llm.shared import map_array, put_bytes, released, shared_dir, small_batches
 
-#: Text bytes a word file is for, and training tokens a pair file is for.
-WORD_FILE_BYTES, PAIR_FILE_TOKENS = 64 << 20, 2_000_000
+#: Text bytes a word file is for, and training tokens a file of n-grams is for.
+WORD_FILE_BYTES, GRAM_FILE_TOKENS = 64 << 20, 2_000_000
 #: Keys that a counting task holds before it hands them on.
 HELD = 3_000_000
 #: Distinct words must be numbered in 32 bits.
 MOST_WORDS = (1 << 32) - 2
 
+
+def columns_of(words: list[np.ndarray]) -> list[np.ndarray]:
+    """N-grams as columns: the first two words as one key, then the others; a single word is a key itself."""
+    w = [x.astype(np.uint64) for x in words[:2]]
+    return [w[0] << np.uint64(32) | w[1] if len(w) > 1 else w[0], *words[2:]]
+
+
+def words_of_grams(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """The words of n-grams of two or more."""
+    return [columns[0] >> np.uint64(32), columns[0] & np.uint64(0xFFFFFFFF), *columns[1:]]
+
+
+def gram_key(columns: list[np.ndarray]) -> np.ndarray:
+    """One key for each n-gram: exact up to pairs, hashed beyond."""
+    key = columns[0]
+    for w in columns[1:]:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64) + np.uint64(1))
+    return key
+
+
+def summed_grams(columns: list[np.ndarray], values: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Distinct n-grams in order, and the sums of each one's values (its number if None)."""
+    if len(columns) == 1 and (values is None or len(values) == 1):
+        key, n = summed(columns[0], values and values[0])
+        return [key], [n]
+    if not len(columns[0]):
+        return list(columns), [np.empty(0, np.int64) for _ in values or [0]]
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    first = np.flatnonzero(changes(columns))
+    if values is None:
+        return [c[first] for c in columns], [np.diff(np.append(first, len(order)))]
+    return [c[first] for c in columns], [np.add.reduceat(v[order], first) for v in values]
+
+
+def changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Where a row differs from the one before."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return out
+
+
 class Counter:
-    """Counts keys; hands on blocks of (bucket, keys, counts) when it holds many."""
+    """Counts keys (in one or more columns); hands on blocks of (bucket, keys, counts) when it holds many."""
 
     def __init__(self, bucket_of, buckets: int):
         self.bucket_of, self.buckets, self.keys, self.counts, self.held = bucket_of, buckets, [], [], 0
 
-    def add(self, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-        k, n = summed(keys)
+    def add(self, *keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+        k, n = summed_grams(keys)
         self.keys.append(k)
-        self.counts.append(n)
-        self.held += len(k)
+        self.counts.append(n[0])
+        self.held += len(n[0])
         if self.held > HELD:
-            k, n = summed(np.concatenate(self.keys), np.concatenate(self.counts))
-            self.keys, self.counts, self.held = [k], [n], len(k)
+            k, (n,) = self._all()
+            self.keys, self.counts, self.held = [k], [n], len(n)
             if self.held > HELD // 2:
                 yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.held:
-            k, n = summed(np.concatenate(self.keys), np.concatenate(self.counts))
+            k, (n,) = self._all()
             self.keys, self.counts, self.held = [], [], 0
-            yield from blocks(self.bucket_of(k), self.buckets, k, n)
+            yield from blocks(self.bucket_of(*k), self.buckets, *k, n)
+
+    def _all(self) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        return summed_grams([np.concatenate(c) for c in zip(*self.keys, strict=True)], [np.concatenate(self.counts)])
 
 
 def _bits(n: float) -> int:
@@ -58,10 +105,10 @@ def _bits(n: float) -> int:
 class Model:
     """A model's place and numbers; opens its files where it is used."""
 
-    def __init__(self, path: str, word_bits: int, offsets: list[int], tokens: int):
+    def __init__(self, path: str, word_bits: int, offsets: list[int], tokens: int, order: int = 2):
         self.path, self.word_bits, self.offsets, self.tokens = path, word_bits, offsets, tokens
-        self.words = offsets[-1]
-        self.pair_bits, self.range_size, self.pair_types = 3, 1, 0
+        self.words, self.order = offsets[-1], order
+        self.gram_bits, self.range_size, self.pair_types = 3, 1, 0
         self.discounts: dict[int, list[float]] = {}
         self.seen_once_to_more: dict[int, int] = {}  # words by how many different words came before: 1, 2, 3 or more
         self._open: dict[str, tuple] = {}
@@ -108,27 +155,48 @@ class Model:
         number, count = self.numbers(distinct)
         return number[back], count[back]
 
-    def pair_bucket(self, keys: np.ndarray) -> np.ndarray:
-        return (mix(keys) >> np.uint64(64 - self.pair_bits)).astype(np.int64)
-
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """How often each pair was seen; keys are sorted."""
-        out = np.zeros(len(keys), np.int64)
-        bucket = self.pair_bucket(keys)
+    def gram_bucket(self, *columns: np.ndarray) -> np.ndarray:
+        return (mix(gram_key(columns)) >> np.uint64(64 - self.gram_bits)).astype(np.int64)
+
+    def gram_width(self, k: int) -> int:
+        """Numbers kept of an n-gram of k words: its count, and below the highest order what follows it (total, n1, n2, n3+)."""
+        return 1 if k == self.order else 5
+
+    def put_grams(self, k: int, b: int, columns: list[np.ndarray], values: list[np.ndarray]) -> None:
+        """Write a file of n-grams: sorted keys, each value in a byte, and the values from 255 on with their places."""
+        key = gram_key(columns)
+        order = np.argsort(key)
+        small, large = [], []
+        for v in values:
+            v = v[order]
+            i = np.flatnonzero(v >= 255)
+            small.append(np.minimum(v, 255).astype("u1").tobytes())
+            large.append(np.concatenate([[len(i)], i, v[i]]).astype("<u4").tobytes())
+        put_bytes(f"{self.path}/grams-{k}-{b}", [len(key).to_bytes(8, "little"), key[order].astype("<u8").tobytes(), *small, *large])
+
+    def gram_values(self, k: int, columns: list[np.ndarray]) -> np.ndarray:
+        """The numbers kept of each n-gram of k words, a row for each number; zeros for unseen ones."""
+        keys, back = np.unique(gram_key(columns), return_inverse=True)
+        width = self.gram_width(k)
+        out = np.zeros((width, len(keys)), np.int64)
+        bucket = (mix(keys) >> np.uint64(64 - self.gram_bits)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange((1 << self.pair_bits) + 1))
+        edges = np.searchsorted(bucket[order], np.arange((1 << self.gram_bits) + 1))
         for b in np.flatnonzero(np.diff(edges)).tolist():
-            known, small, rest = self._file(f"pairs-{b}", "<u8", "u1")
+            known, *small, rest = self._file(f"grams-{k}-{b}", "<u8", *["u1"] * width)
             if len(known):
                 at = order[edges[b] : edges[b + 1]]
                 q = keys[at]
                 i = np.minimum(np.searchsorted(known, q), len(known) - 1)
-                n = np.where(known[i] == q, small[i], 0).astype(np.int64)
-                if (large := n == 255).any():
-                    wide = rest.view("<u4").reshape(2, -1)
-                    n[large] = wide[1][np.searchsorted(wide[0], i[large])]
-                out[at] = n
-        return out
+                hit, wide, lo = known[i] == q, rest.view("<u4"), 0
+                for row, column in zip(out, small, strict=True):
+                    size = int(wide[lo])
+                    v = np.where(hit, column[i], 0).astype(np.int64)
+                    if (large := v == 255).any():
+                        v[large] = wide[lo + 1 + size : lo + 1 + 2 * size][np.searchsorted(wide[lo + 1 : lo + 1 + size], i[large])]
+                    row[at] = v
+                    lo += 1 + 2 * size
+        return out[:, back]
 
     def word_stats(self, number: np.ndarray) -> np.ndarray:
         """Per word number (the last is the start of a text): total, n1, n2, n3+ as first of a pair, and words before it; sorted numbers."""
@@ -161,8 +229,19 @@ def _one(b: int, *values: int) -> pa.Table:
     return pa.table({"b": pa.array([b], pa.int32()), **{f"x{i}": pa.array([v], pa.int64()) for i, v in enumerate(values)}})
 
 
-def train(docs: DataFrame, text: str = "text") -> Model:
-    """Count all texts of docs into a new model in the shared folder. Null and empty texts are an end token alone."""
+def _tally(k: int, seen: np.ndarray) -> pa.RecordBatch:
+    """How many n-grams of k words were seen once to four times, as a block of its own bucket."""
+    return pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([k], pa.int32()), pa.array([packed(np.arange(4, dtype=np.uint64), seen)], pa.binary())], ["bucket", "kind", "block"])
+
+
+def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
+    """Count all texts of docs into a new model of n-grams of up to `order` words in the shared folder.
+
+    Null and empty texts are an end token alone. Texts begin with order - 1 start tokens. Orders below the highest count the
+    different words before an n-gram.
+    """
+    if order < 2:
+        raise ValueError("the order is 2 or more")
     path = shared_dir(docs.sparkSession, "kneser-ney")
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(text).cast("string").alias("text"))
@@ -185,72 +264,95 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     made = rows.mapInArrow(released(words), BLOCKS).groupBy("bucket").applyInArrow(write_words, "b int, x0 long, x1 long").collect()
     size_of = {x["b"]: x["x0"] for x in made}  # a row for each file
     offsets = np.concatenate([[0], np.cumsum([size_of.get(b, 0) for b in range(1 << bits)])]).tolist()
-    model = Model(path, bits, offsets, sum(x["x1"] for x in made))
+    model = Model(path, bits, offsets, sum(x["x1"] for x in made), order)
     if model.words > MOST_WORDS:
         raise ValueError("too many distinct words to number in 32 bits")
     if not model.tokens:
         return model
-    model.pair_bits = _bits(model.tokens / PAIR_FILE_TOKENS)
-    ranges = 1 << max(0, model.pair_bits - 2)
+    model.gram_bits = _bits(model.tokens / GRAM_FILE_TOKENS)
+    ranges = 1 << max(0, model.gram_bits - 2)
     model.range_size = -(-(model.words + 1) // ranges)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        counter = Counter(m.pair_bucket, 1 << m.pair_bits)
+        counter = Counter(m.gram_bucket, 1 << m.gram_bits)
         for batch in batches:
             for _, texts in steps(batch, 0):
                 h, n = token_hashes(texts)
-                yield from counter.add(pair_keys(m, m.token_numbers(h)[0], n))
+                yield from counter.add(*columns_of(windows(m, m.token_numbers(h)[0], n)))
         yield from counter.flush()
 
-    def write_pairs(group: pa.Table) -> pa.Table:
-        b, parts = group["bucket"][0].as_py(), [unpacked(x.as_py(), 1) for x in group["block"]]
-        keys, n = summed(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-        large = np.flatnonzero(n >= 255)
-        put_bytes(f"{path}/pairs-{b}", [len(keys).to_bytes(8, "little"), keys.astype("<u8").tobytes(), np.minimum(n, 255).astype("u1").tobytes(), large.astype("<u4").tobytes(), n[large].astype("<u4").tobytes()])
-        first, then = (keys >> np.uint64(32)), keys & np.uint64(0xFFFFFFFF)
-        at = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
-        columns = [np.add.reduceat(x, at) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64))]
-        v, (w, before) = first[at], summed(then)
-        size = np.uint64(model.range_size)
-        out = [*blocks((v // size).astype(np.int64), ranges, v, *columns, kind=0), *blocks((w // size).astype(np.int64), ranges, w, before, kind=1)]
-        seen = np.bincount(np.minimum(n, 5), minlength=6)[1:5]
-        out += blocks(np.full(4, ranges), ranges + 1, np.arange(4, dtype=np.uint64), seen, kind=2)
-        return pa.Table.from_batches(out)
+    def write_grams(k: int):
+        """Writes the n-grams of k words of a bucket, and hands on what they say of those of k - 1: counts (kind 0) and followers (1)."""
+
+        def sent_on(columns: list[np.ndarray], *values: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+            if k == 2:
+                return blocks((columns[0] // np.uint64(model.range_size)).astype(np.int64), ranges, *columns, *values, kind=kind)
+            return blocks(model.gram_bucket(*columns), 1 << model.gram_bits, *columns, *values, kind=kind)
+
+        def write(group: pa.Table) -> pa.Table:
+            b, parts = group["bucket"][0].as_py(), []
+            if b < 0:
+                return group
+            width = model.gram_width(k)
+            for kind, block in zip(group["kind"].to_pylist(), group["block"], strict=True):
+                got = unpacked(block.as_py(), k - 2 + (4 if kind else 1))
+                none = np.zeros(len(got[0]), np.int64)
+                parts.append([*got[: k - 1], *([none, *got[k - 1 :]] if kind else [got[k - 1], *[none] * (width - 1)])])
+            got = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            columns, values = summed_grams(got[: k - 1], got[k - 1 :])
+            model.put_grams(k, b, columns, values)
+            live = values[0] > 0  # start tokens alone only come before
+            n, words = values[0][live], words_of_grams([c[live] for c in columns])
+            if not len(n):
+                return pa.Table.from_batches([_tally(k, np.zeros(4, np.int64))])
+            at = np.flatnonzero(changes(words[:-1]))
+            followers = [np.add.reduceat(x, at) for x in (n, (n == 1).astype(np.int64), (n == 2).astype(np.int64), (n >= 3).astype(np.int64))]
+            ends, (before,) = summed_grams(columns_of(words[1:]))
+            out = [*sent_on(columns_of([w[at] for w in words[:-1]]), *followers, kind=1), *sent_on(ends, before, kind=0)]
+            return pa.Table.from_batches([*out, _tally(k, np.bincount(np.minimum(n, 5), minlength=6)[1:5])])
+
+        return write
 
     def write_stats(group: pa.Table) -> pa.Table:
         r = group["bucket"][0].as_py()
-        if r == ranges:
-            total = sum(unpacked(x.as_py(), 1)[1] for x in group["block"])
-            return _one(-1, *total.tolist(), 0)
+        if r < 0:
+            return pa.concat_tables([_one(-k, *unpacked(x.as_py(), 1)[1].tolist(), 0) for k, x in zip(group["kind"].to_pylist(), group["block"], strict=True)])
         size = min(model.range_size, model.words + 1 - r * model.range_size)
         columns = np.zeros((5, size), np.int64)
         for kind, block in zip(group["kind"].to_pylist(), group["block"], strict=True):
-            keys, *got = unpacked(block.as_py(), 4 if kind == 0 else 1)
+            keys, *got = unpacked(block.as_py(), 4 if kind else 1)
             i = keys.astype(np.int64) - r * model.range_size
-            for row, x in zip(columns[:4] if kind == 0 else columns[4:], got, strict=True):
+            for row, x in zip(columns[:4] if kind else columns[4:], got, strict=True):
                 row[i] += x  # a block has each word once
         put_bytes(f"{path}/stats-{r}", [size.to_bytes(8, "little"), columns.astype("<u4").tobytes()])
         return _one(r, *np.bincount(np.minimum(columns[4], 5), minlength=6)[1:5].tolist(), int(columns[4].sum()))
 
-    found = rows.mapInArrow(released(pairs), BLOCKS).groupBy("bucket").applyInArrow(write_pairs, BLOCKS).groupBy("bucket")
-    made = found.applyInArrow(write_stats, "b int, x0 long, x1 long, x2 long, x3 long, x4 long").collect()
+    found = rows.mapInArrow(released(grams), BLOCKS)
+    for k in range(order, 1, -1):
+        found = found.groupBy("bucket").applyInArrow(write_grams(k), BLOCKS)
+    made = found.groupBy("bucket").applyInArrow(write_stats, "b int, x0 long, x1 long, x2 long, x3 long, x4 long").collect()
     model.pair_types = sum(x["x4"] for x in made)
-    for order, own in ((2, [x for x in made if x["b"] < 0]), (1, [x for x in made if x["b"] >= 0])):
+    for k in range(order, 0, -1):
+        own = [x for x in made if (x["b"] == -k if k > 1 else x["b"] >= 0)]
         n = [sum(x[f"x{i}"] for x in own) for i in range(4)]
-        model.discounts[order] = _discounts(n)
-        if order == 1:
+        model.discounts[k] = _discounts(n)
+        if k == 1:
             model.seen_once_to_more = {1: n[0], 2: n[1], 3: model.words - n[0] - n[1]}
     return model
 
 
-def pair_keys(model: Model, number: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """(word before << 32 | word) of every token; the number of words stands for the start of a text."""
-    before = np.empty_like(number)
-    before[1:] = number[:-1]
-    before[np.cumsum(n) - n] = model.words
-    return (before.astype(np.uint64) << np.uint64(32)) | number.astype(np.uint64)
+def windows(model: Model, number: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """The words of the n-gram of the highest order that ends at each token; the number of words stands for the start of a text."""
+    place = np.arange(len(number)) - np.repeat(np.cumsum(n) - n, n)
+    out = [number]
+    for back in range(1, model.order):
+        w = np.full_like(number, model.words)
+        w[back:] = number[:-back]
+        w[place < back] = model.words
+        out.insert(0, w)
+    return out
 
 
 def log_probabilities(model: Model, number: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -258,29 +360,30 @@ def log_probabilities(model: Model, number: np.ndarray, n: np.ndarray) -> np.nda
     uniform = 1.0 / (model.words + 1)
     if not model.tokens:
         return np.full(len(number), math.log10(uniform))
-    before = np.empty_like(number)
-    before[1:] = number[:-1]
-    before[np.cumsum(n) - n] = model.words
+    words = windows(model, number, n)
+    before = words[-2]
     all_numbers = np.unique(np.concatenate([number, before]))
     all_numbers = all_numbers[all_numbers >= 0]
     stats = model.word_stats(all_numbers)
-    d1, d2 = (np.array(model.discounts[k]) for k in (1, 2))
+    d1 = np.array(model.discounts[1])
     # single words, by how many different words came before
     cont = stats[4]
     rest = sum(d1[min(k, 3)] * c for k, c in model.seen_once_to_more.items()) / model.pair_types
     one = np.maximum(cont - d1[np.minimum(cont, 3)], 0) / model.pair_types + rest * uniform
     p = np.where(number >= 0, one[np.maximum(np.searchsorted(all_numbers, number), 0).clip(max=max(0, len(one) - 1))] if len(one) else 0.0, rest * uniform)
-    known = before >= 0
-    at = np.searchsorted(all_numbers, before[known])
-    total, n1, n2, n3 = (stats[k][at] for k in range(4))
-    count = np.zeros(int(known.sum()), np.int64)
-    both = number[known] >= 0
-    keys = (before[known][both].astype(np.uint64) << np.uint64(32)) | number[known][both].astype(np.uint64)
-    distinct, back = np.unique(keys, return_inverse=True)
-    count[both] = model.pair_counts(distinct)[back]
-    seen = np.maximum(total, 1)
-    higher = np.maximum(count - d2[np.minimum(count, 3)], 0) / seen + (d2[1] * n1 + d2[2] * n2 + d2[3] * n3) / seen * p[known]
-    p[known] = np.where(total > 0, higher, p[known])
+    for k in range(2, model.order + 1):
+        gram, d = words[-k:], np.array(model.discounts[k])
+        known = np.all([w >= 0 for w in gram[:-1]], axis=0)
+        if k == 2:
+            total, n1, n2, n3 = stats[:4, np.searchsorted(all_numbers, before[known])]
+        else:
+            total, n1, n2, n3 = model.gram_values(k - 1, columns_of([w[known] for w in gram[:-1]]))[1:]
+        count = np.zeros(int(known.sum()), np.int64)
+        both = number[known] >= 0
+        count[both] = model.gram_values(k, columns_of([w[known][both] for w in gram]))[0]
+        seen = np.maximum(total, 1)
+        higher = np.maximum(count - d[np.minimum(count, 3)], 0) / seen + (d[1] * n1 + d[2] * n2 + d[3] * n3) / seen * p[known]
+        p[known] = np.where(total > 0, higher, p[known])
     return np.log10(p)
 
 
@@ -309,6 +412,6 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     return rows.mapInArrow(released(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
-def score_held_out(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Train on the rows that aren't held out, and score all."""
-    return score(docs, train(docs.filter(~held_out(F.col(doc_id))), text), doc_id, text)
+def score_held_out(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 2) -> DataFrame:
+    """Train a model of an order on the rows that aren't held out, and score all."""
+    return score(docs, train(docs.filter(~held_out(F.col(doc_id))), text, order), doc_id, text)

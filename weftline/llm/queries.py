@@ -48,7 +48,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_held_out(table(spark, sf_dir, "documents"))
+    return score_held_out(table(spark, sf_dir, "documents"), order=3)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
