@@ -59,3 +59,10 @@ def test_held_out_accuracy(spark, sf):
     profiles = m.fit_profiles(docs.filter("doc_id % 2 = 0"), "text", "lang")
     got = m.identify(docs.filter("doc_id % 2 = 1"), profiles=profiles, declared=None, keep=["lang"]).filter("length(lang) > 0")
     assert got.agg(F.avg((F.col("_lang.language") == F.col("lang")).cast("int"))).first()[0] > 0.97
+
+
+def test_every_label_is_fitted(spark):
+    word = lambda k: f"{chr(97 + k // 10)}{chr(107 + k % 10)}q" * 3 + " "
+    docs = spark.createDataFrame([(k, word(k) * 20, f"l{k:02}", "h") for k in range(70) for _ in range(1 if k == 69 else 2)], SCHEMA)
+    langs, profiles = m.fit_profiles(docs, "text", "lang")
+    assert langs == [f"l{k:02}" for k in range(70)] and profiles.shape == (70, m.BUCKETS)

@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 from weftline.llm.shared import cut, released, small, small_batches
 
 BUCKETS = 1 << 16
-#: Labelled rows a language is fitted on (in expectation; rows by hash of their text), and languages at most.
-SAMPLE, LANGUAGES = 2000, 64
+#: Labelled rows a language is fitted on (in expectation; rows by hash of their text).
+SAMPLE = 2000
 #: Neighbouring 3-grams say much the same: a text counts as this many independent ones at most.
 EFFECTIVE = 200
 #: Rows that a parent's shares count for in a child's prior, and all rows' in a table of likelihoods.
@@ -46,10 +46,10 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 def fit_profiles(docs: DataFrame, text: str, label: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, log likelihoods of shape languages x BUCKETS), from a sample of labelled rows.
 
-    Rows without a label don't count. At most LANGUAGES languages (the most frequent) are fitted; other labels are unknown.
+    Rows without a label don't count. Every label is fitted, so that memory grows by BUCKETS cells a language.
     """
     counts = docs.filter(F.col(label).isNotNull() & (F.col(label) != UND)).groupBy(F.col(label).cast("string").alias("l")).count()
-    found = sorted((x["l"], x["count"]) for x in counts.orderBy(F.desc("count"), "l").limit(LANGUAGES).collect())
+    found = sorted((x["l"], x["count"]) for x in counts.collect())
     langs = [x for x, _ in found]
     if not langs:
         return [], np.zeros((0, BUCKETS))
@@ -68,7 +68,7 @@ def fit_profiles(docs: DataFrame, text: str, label: str, sample: int = SAMPLE) -
         i, j = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["i", "j", "n"])
 
-    rows = picked.mapInArrow(released(count), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()  # LANGUAGES x BUCKETS at most
+    rows = picked.mapInArrow(released(count), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()  # languages x BUCKETS at most
     total = np.zeros((len(langs), BUCKETS))
     total[rows["i"].to_numpy(), rows["j"].to_numpy()] = rows["n"].to_numpy()
     total[:, _BLANK] = 0
