@@ -1,3 +1,6 @@
+import math
+from collections import Counter
+
 import pytest
 from conftest_llm import ODD
 from pyspark.sql import functions as F
@@ -47,7 +50,7 @@ def test_pages(spark, corpus):
 
 
 def test_odd_rows(spark, documents):
-    docs = documents(*ODD).withColumn("_lang", F.lit("clash")).withColumn("_host0", F.lit(1)).drop("_host0")
+    docs = documents(*ODD).withColumn("_lang", F.lit("clash"))
     assert m.identify(docs).count() == len(ODD)
     assert m.identify(docs.limit(0)).count() == 0
     none = docs.withColumn("lang", F.lit(None).cast("string"))
@@ -65,4 +68,90 @@ def test_every_label_is_fitted(spark):
     word = lambda k: f"{chr(97 + k // 10)}{chr(107 + k % 10)}q" * 3 + " "
     docs = spark.createDataFrame([(k, word(k) * 20, f"l{k:02}", "h") for k in range(70) for _ in range(1 if k == 69 else 2)], SCHEMA)
     langs, profiles = m.fit_profiles(docs, "text", "lang")
-    assert langs == [f"l{k:02}" for k in range(70)] and profiles.shape == (70, m.BUCKETS)
+    assert langs == [f"l{k:02}" for k in range(70)] and profiles.shape == (1, 70, m.BUCKETS)
+
+
+CLASHES = ["_host0", "_declared", "_suffix", "_ll", "_text", "_prior", "_p", "_row", "_h", "_post", "_l__declared", "_fold", "n0"]
+
+
+def test_clashing_names_come_through(spark, corpus):
+    docs = corpus.select("*", *(F.concat(F.lit(c), "doc_id").alias(c) for c in CLASHES))
+    got = {r["doc_id"]: r for r in m.identify(docs).collect()}
+    want = {r["doc_id"]: r["_lang"] for r in m.identify(corpus).collect()}
+    assert m.identify(docs).columns == [*docs.columns, "_lang"] and len(got) == corpus.count()
+    assert all(got[k][c] == f"{c}{k}" for k in got for c in CLASHES) and all(got[k]["_lang"] == want[k] for k in want)
+
+
+def brute_force(rows, least=0.5):
+    """identify() with loops: rows of (id, text, label, host, fold) to (language, confidence, text language, accepted)."""
+    def grams(text):
+        b = (" " + text + " ").lower().encode() if text else b"   "
+        b = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in b)
+        if b.isspace():
+            return []
+        codes = [(b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1 % 2**32 >> 16 for i in range(len(b) - 2)]
+        blank = 0x202020 * 0x9E3779B1 % 2**32 >> 16
+        return [c for c in codes if c != blank]
+
+    langs = sorted({r[2] for r in rows if r[2] not in (None, "und")})
+    classes = [*langs, "und"]
+    counts = {(x, f): Counter() for x in langs for f in (0, 1)}
+    for _, text, label, _, fold in rows:
+        if label in langs:
+            counts[label, fold].update(grams(text))
+    logs = []
+    for _, text, _, _, fold in rows:
+        g, one = grams(text), []
+        for x in langs:
+            c = counts[x, 1 - fold] or counts[x, 0] + counts[x, 1]
+            total = sum(c.values()) + 0.5 * m.BUCKETS
+            one.append(sum(math.log((c[i] + 0.5) / total) for i in g))
+        one.append(-len(g) * math.log(m.BUCKETS))
+        one = [v * min(1, m.EFFECTIVE / max(len(g), 1)) for v in one]
+        if not g:
+            one[-1] += 50
+        logs.append(one)
+
+    def shares(v):
+        e = [math.exp(x - max(v)) for x in v]
+        return [x / sum(e) for x in e]
+
+    soft, k, a = [shares(v) for v in logs], len(classes), m.PRIOR_ROWS
+    total = [sum(p[i] for p in soft) for i in range(k)]
+    root = [(total[i] + a / k) / (sum(total) + a) for i in range(k)]
+    out = []
+    declared = [i for i, r in enumerate(rows) if r[2] is not None]
+    said = [sum(soft[i][c] for i in declared) for c in range(k)]
+    for r, v in zip(rows, logs, strict=True):
+        host = [sum(p[i] for p, q in zip(soft, rows, strict=True) if q[3] == r[3]) for i in range(k)]
+        v = [x + math.log((host[i] + a * root[i]) / (sum(host) + a)) for i, x in enumerate(v)]
+        if r[2] is not None:
+            own = [sum(soft[j][i] for j in declared if rows[j][2] == r[2]) for i in range(k)]
+            v = [x + math.log((own[i] + a * sum(own) / sum(said)) / (said[i] + a)) for i, x in enumerate(v)]
+        p = shares(v)
+        best = p.index(max(p))
+        text = logs[rows.index(r)]
+        out.append((classes[best], max(p), classes[text.index(max(text))], classes[best] != "und" and max(p) >= least))
+    return out
+
+
+def test_equals_brute_force(spark, corpus):
+    docs = corpus.filter("doc_id <> 105").unionByName(spark.createDataFrame([(200 + k, t, lab, h) for k, (t, lab, h) in enumerate([("in", "de", "h0"), ("in haus und house", None, "h1"), ("und", "und", "h2"), ("le chat noir " * 9, "fr", "h2"), ("le chien noir dort " * 7, "fr", None), ("le chat", None, None)])], SCHEMA))
+    rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", m.fold_of(F.col("text"), 2)).collect()]
+    got = {r["doc_id"]: tuple(r["_lang"]) for r in m.identify(docs).collect()}
+    for row, want in zip(rows, brute_force(rows), strict=True):
+        assert got[row[0]][0::2] == want[0::2] and got[row[0]][3] == want[3], row
+        assert got[row[0]][1] == pytest.approx(want[1], abs=1e-4), row
+
+
+def test_a_label_counts_as_declared_language_only(spark):
+    """A text that no other row speaks for isn't known by its own label."""
+    docs = spark.createDataFrame([(k, (EN if k % 2 else DE) * 3 + f"x{k}", "en" if k % 2 else "de", "h") for k in range(60)] + [(99, "щщщ жжж ыыы " * 30, "en", "h")], SCHEMA)
+    got = {r["doc_id"]: r["_lang"] for r in m.identify(docs).collect()}
+    assert got[99]["text_language"] == "und" and all(got[k]["text_language"] == ("en" if k % 2 else "de") for k in range(60))
+
+
+def test_unclosed_elements_take_linear_time(spark, corpus):
+    profiles = m.fit_profiles(corpus, "text", "lang")
+    pages = spark.createDataFrame([(1, "http://a.de", "<p>" + DE + "</p>" + "<script>" * 60_000)], "page_id long, url string, html string")
+    assert m.identify_pages(pages, profiles).first()["_lang"]["language"] == "de"

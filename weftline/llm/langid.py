@@ -9,6 +9,7 @@ corpus. The class `und` has texts that are no known language: all 3-grams are eq
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,58 +44,83 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return code, starts
 
 
-def fit_profiles(docs: DataFrame, text: str, label: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """(languages, log likelihoods of shape languages x BUCKETS), from a sample of labelled rows.
+class Profiles(NamedTuple):
+    """Languages, and log likelihoods of shape folds x languages x BUCKETS: those of a fold are for scoring its rows."""
 
-    Rows without a label don't count. Every label is fitted, so that memory grows by BUCKETS cells a language.
+    langs: list[str]
+    table: np.ndarray
+
+
+def fold_of(text: Column, folds: int) -> Column:
+    """The fold of a row, by hash of its text, so that copies of a text share one."""
+    return F.pmod(F.shiftrightunsigned(F.xxhash64(text.cast("string")), 32), F.lit(folds)).cast("int")
+
+
+def fit_profiles(docs: DataFrame, text: str, label: str, sample: int = SAMPLE, folds: int = 1) -> Profiles:
+    """Profiles of the labels, from a sample of labelled rows.
+
+    Rows without a label don't count. Every label is fitted, so that memory grows by BUCKETS cells a language and fold. With folds,
+    the rows of a fold are scored by profiles fitted on the others only; a language that has rows in no other fold is fitted on all.
     """
-    counts = docs.filter(F.col(label).isNotNull() & (F.col(label) != UND)).groupBy(F.col(label).cast("string").alias("l")).count()
-    found = sorted((x["l"], x["count"]) for x in counts.collect())
-    langs = [x for x, _ in found]
+    own = docs.select(F.col(label).cast("string").alias("l"), F.col(text).cast("string").alias("t"), fold_of(F.col(text), folds).alias("f")).filter(F.col("l").isNotNull() & (F.col("l") != UND))
+    counts: dict[str, int] = {}
+    for x in own.groupBy("l").count().collect():  # a row for each language
+        counts[x["l"]] = x["count"]
+    langs = sorted(counts)
     if not langs:
-        return [], np.zeros((0, BUCKETS))
-    share = F.create_map(*(F.lit(v) for x, n in found for v in (x, min(1.0, sample / n))))
-    hashed = F.pmod(F.xxhash64(F.col(text)), F.lit(1_000_000)) / F.lit(1e6)
-    picked = docs.select(F.col(label).cast("string").alias("l"), F.col(text).cast("string").alias("t"), hashed.alias("h")).filter(F.col("h") < F.element_at(share, F.col("l"))).drop("h")
+        return Profiles([], np.zeros((folds, 0, BUCKETS)))
+    share = F.create_map(*(F.lit(v) for x in langs for v in (x, min(1.0, sample * folds / max(1, folds - 1) / counts[x]))))
+    hashed = F.pmod(F.xxhash64("t"), F.lit(1_000_000)) / F.lit(1e6)
+    picked = own.filter(hashed < F.element_at(share, F.col("l")))
     place = {x: i for i, x in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), BUCKETS), np.int64)
+        total = np.zeros((len(langs) * folds, BUCKETS), np.int64)
         for batch in batches:
-            labels, texts = (c.to_pylist() for c in batch.columns)
-            for x in {*labels}:
-                code, _ = grams([t for t, y in zip(texts, labels, strict=True) if y == x])
-                total[place[x]] += np.bincount(code, minlength=BUCKETS)
+            labels, texts, fold = (c.to_pylist() for c in batch.columns)
+            for x, f in {*zip(labels, fold, strict=True)}:
+                code, _ = grams([t for t, y, g in zip(texts, labels, fold, strict=True) if y == x and g == f])
+                total[f * len(langs) + place[x]] += np.bincount(code, minlength=BUCKETS)
         i, j = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], ["i", "j", "n"])
 
-    rows = picked.mapInArrow(released(count), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()  # languages x BUCKETS at most
-    total = np.zeros((len(langs), BUCKETS))
+    rows = picked.mapInArrow(released(count), "i int, j int, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).toArrow()  # folds x languages x BUCKETS at most
+    total = np.zeros((folds * len(langs), BUCKETS))
     total[rows["i"].to_numpy(), rows["j"].to_numpy()] = rows["n"].to_numpy()
-    total[:, _BLANK] = 0
-    return langs, np.log((total + 0.5) / (total.sum(axis=1, keepdims=True) + 0.5 * BUCKETS))
-
-
-def text_evidence(rows: DataFrame, text: str, profiles: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns `keep` of rows, and _ll, the tempered log likelihoods of the text under each language and `und`."""
-    table = np.vstack([profiles, np.full(BUCKETS, -np.log(BUCKETS))]).astype(np.float32)
-    table[:, _BLANK] = 0
+    total = total.reshape(folds, len(langs), BUCKETS)
+    total[:, :, _BLANK] = 0
+    others = total.sum(axis=0) - total if folds > 1 else total
+    others = np.where(others.any(axis=2, keepdims=True), others, total.sum(axis=0))
+    return Profiles(langs, np.log((others + 0.5) / (others.sum(axis=2, keepdims=True) + 0.5 * BUCKETS)))
+
+
+def text_evidence(rows: DataFrame, text: str, profiles: np.ndarray) -> DataFrame:
+    """rows without the column text, and with _ll, the tempered log likelihoods of the text under each language and `und`."""
+    folds, langs = profiles.shape[:2]
+    table = np.empty((langs + 1, folds * BUCKETS), np.float32)  # a row for each class, fold by fold
+    table[:-1] = profiles.transpose(1, 0, 2).reshape(langs, folds * BUCKETS)
+    table[-1] = -np.log(BUCKETS)
+    table[:, _BLANK::BUCKETS] = 0
     sent = rows.sparkSession.sparkContext.broadcast(table)
-    schema = T.StructType([f for f in rows.schema if f.name in keep]).add("_ll", T.ArrayType(T.DoubleType()))
-    sources = rows.select(*(F.col(f"`{f.name}`") for f in schema[:-1]), F.col(text).cast("string").alias("_text"))
+    keep = [f for f in rows.schema if f.name != text]
+    schema = T.StructType([*keep]).add("_ll", T.ArrayType(T.DoubleType()))
+    sources = rows.select(*(F.col(f.name) for f in keep), F.col(text).cast("string").alias("_text"), fold_of(F.col(text), folds).alias("_fold"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
-                code, starts = grams(some.column(some.num_columns - 1).to_pylist())
+                code, starts = grams(some.column(some.num_columns - 2).to_pylist())
                 n = np.add.reduceat((code != _BLANK).astype(np.int64), starts)
+                if folds > 1:
+                    fold = some.column(some.num_columns - 1).to_numpy().astype(np.uint32)
+                    code = code + np.repeat(fold * np.uint32(BUCKETS), np.diff(starts, append=len(code)))
                 ll = np.stack([np.add.reduceat(x[code], starts, dtype=np.float64) for x in m], axis=1)
                 ll *= np.minimum(1.0, EFFECTIVE / np.maximum(n, 1))[:, None]
                 ll[n == 0, -1] += 50.0  # no letters at all
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1, dtype=np.int32) * m.shape[0]), pa.array(ll.ravel()))
-                yield pa.RecordBatch.from_arrays([*some.columns[:-1], lists], schema.names)
+                yield pa.RecordBatch.from_arrays([*some.columns[:-2], lists], schema.names)
 
     return sources.mapInArrow(released(score), schema)
 
@@ -147,48 +173,53 @@ def value_likelihoods(counts: DataFrame, column: str, k: int) -> DataFrame:
     return own.select(column, F.array(*(F.log((F.col(f"n{i}") + PRIOR_ROWS * share) / F.lit(total[i] + PRIOR_ROWS)) for i in range(k))).alias(f"_l_{column}"))
 
 
-def identify(rows: DataFrame, *, text: str = "text", label: str | None = "lang", declared: str | None = "lang", suffix: str | None = None, hosts: tuple[str, ...] = ("source",), keep: list[str] | None = None, least: float = 0.5, profiles: tuple[list[str], np.ndarray] | None = None) -> DataFrame:
+def identify(rows: DataFrame, *, text: str = "text", label: str | None = "lang", declared: str | None = "lang", suffix: str | None = None, hosts: tuple[str, ...] = ("source",), keep: list[str] | None = None, least: float = 0.5, profiles: Profiles | None = None) -> DataFrame:
     """The columns `keep` of rows (all if None) and _lang, a struct of language, confidence, text_language and accepted.
 
-    label: the column that profiles are fitted on, unless they are given. declared, suffix and hosts (the coarsest first) name
-    columns of evidence; a null is no evidence, and a null host a host of its own. A row is accepted if its likeliest class is a
-    language with a posterior of at least `least`. Null and empty texts, and those without letters, are `und` and rejected;
-    without any labelled row every row is. Ties go to the language first in the alphabet. One row out for each row in.
+    label: the column that profiles are fitted on, unless they are given, in two folds: a row is scored by profiles that it had no
+    part in, so that its own label speaks by its likelihood as declared language alone. declared, suffix and hosts (the coarsest
+    first) name columns of evidence; a null is no evidence, and a null host a host of its own. A row is accepted if its likeliest
+    class is a language with a posterior of at least `least`. Null and empty texts, and those without letters, are `und` and
+    rejected; without any labelled row every row is. Ties go to the language first in the alphabet. One row out for each row in;
+    a column _lang of rows is replaced, and no other column name clashes. Texts are scored once: the evidence is written to the
+    shared folder with the columns to keep.
     """
     keep = [c for c in rows.columns if c != "_lang"] if keep is None else keep
     small_batches(rows.sparkSession)
-    langs, table = profiles or fit_profiles(rows, text, label)
+    langs, table = profiles or fit_profiles(rows, text, label, folds=2)
     classes, k = [*langs, UND], len(langs) + 1
     fields = {"_declared": declared, "_suffix": suffix, **{f"_host{i}": c for i, c in enumerate(hosts)}}
-    fields = {a: c for a, c in fields.items() if c}
-    rows = rows.drop("_lang")
-    own = rows.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text])), *(F.col(f"`{c}`").cast("string").alias(a) for a, c in fields.items()))
+    fields = {a: F.col(f"`{c}`").cast("string") for a, c in fields.items() if c}
+    carried = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None).cast("struct<_: int>")
+    own = rows.select(carried.alias("_row"), *(c.alias(a) for a, c in fields.items()), F.col(f"`{text}`").cast("string").alias("_text"))
     levels, others = [a for a in fields if a.startswith("_host")], [a for a in fields if not a.startswith("_host")]
-    seen = text_evidence(own, text, table, list(fields)).withColumn("_p", _posterior(F.col("_ll")))
+    out = cut(text_evidence(own, "_text", table), "language-evidence")
     # a row for each host and each value that occurs with it: all tables below are sums over it
-    counts = cut(_sums(seen, list(fields), k), "language-counts")
-    out = text_evidence(own, text, table, [*keep, *fields])
+    counts = cut(_sums(out.withColumn("_p", _posterior(F.col("_ll"))), list(fields), k), "language-counts")
     logs = F.col("_ll")
     add = lambda a, b: F.zip_with(a, F.coalesce(b, F.array(*[F.lit(0.0)] * k)), lambda x, y: x + y)
     if levels:
-        prior = small(host_priors(counts, levels, k)).alias("_h")
+        prior = small(cut(host_priors(counts, levels, k), "language-priors")).alias("_h")
         out = out.alias("_r").join(prior, [F.col(f"_r.{c}").eqNullSafe(F.col(f"_h.{c}")) for c in levels], "left").select("_r.*", "_prior")
         logs = add(logs, F.col("_prior"))
     for c in others:
-        out = out.join(small(value_likelihoods(counts, c, k)), c, "left")
+        out = out.join(small(cut(value_likelihoods(counts, c, k), "language-values")), c, "left")
         logs = add(logs, F.col(f"_l_{c}"))
     names = F.array(*map(F.lit, classes))
     best = lambda p: F.get(names, (F.array_position(p, F.array_max(p)) - 1).cast("int"))
     out = out.withColumn("_post", _posterior(logs))
     language = best(F.col("_post"))
     verdict = F.struct(language.alias("language"), F.array_max("_post").alias("confidence"), best(F.col("_ll")).alias("text_language"), ((language != UND) & (F.array_max("_post") >= least)).alias("accepted"))
-    return out.select(*(F.col(f"`{c}`") for c in keep), verdict.alias("_lang"))
+    return out.select(*(F.col(f"_row.`{c}`") for c in keep), verdict.alias("_lang"))
 
 
-def identify_pages(pages: DataFrame, profiles: tuple[list[str], np.ndarray]) -> DataFrame:
-    """identify() for rows of raw pages: markup language, last label of the host, and hosts below it, from url and html."""
+def identify_pages(pages: DataFrame, profiles: Profiles) -> DataFrame:
+    """page_id and _lang of rows of raw pages: identify() by markup language, last label of the host, and hosts below it, from url and html.
+
+    A script or style element without an end reaches to the end of the page.
+    """
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    body = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*>", " ")
+    body = F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)", " "), r"<[^>]*>", " ")
     rows = pages.select("page_id", body.alias("text"), F.nullif(F.lower(F.regexp_extract("html", r"""(?i)<html[^>]*\blang=["']?([A-Za-z]+)""", 1)), F.lit("")).alias("markup"), F.nullif(host, F.lit("")).alias("host"))
     rows = rows.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("site", F.substring_index("host", ".", -2))
     return identify(rows, label=None, declared="markup", suffix="suffix", hosts=("site", "host"), keep=["page_id"], profiles=profiles)
