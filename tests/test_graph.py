@@ -176,3 +176,19 @@ def test_queries_read_all_users(spark, tmp_path, name):
     }
     columns = {"closure_cyclic": ("source_id", "target_id"), "cycle_nodes": ("id", "length"), "strong_components": ("id", "component"), "call_chain": ("caller", "callee")}
     assert rows(got, *columns[name]) == want[name]
+
+
+def test_strong_components_by_colouring(spark):
+    """The distributed rounds give what one task gives: rings joined by bridges, a loop, a chain, and a ring within a ring."""
+    e = edges(spark, "A>B B>C C>A C>D D>E E>D E>F F>F F>G G>H X>A Y>X K>L L>M M>K M>L H>N")
+    want = rows(g.strong_components(e), "id", "component")
+    assert want == [("A", "A"), ("B", "A"), ("C", "A"), ("D", "D"), ("E", "D"), ("F", "F"), ("K", "K"), ("L", "K"), ("M", "K")]
+    assert rows(g.strong_components(e, one_task=0), "id", "component") == want
+    assert g.strong_components(e.limit(0), one_task=0).count() == 0
+
+
+def test_cycles_of_any_length(spark):
+    names = [f"{k:02}" for k in range(12)]
+    ring = edges(spark, " ".join(f"{a}>{b}" for a, b in zip(names, names[1:] + names[:1], strict=True)))
+    assert g.cycles(ring).count() == 0
+    assert [r["length"] for r in g.cycles(ring, None).collect()] == [12]

@@ -167,3 +167,23 @@ def test_tool_results(spark):
     assert rules.fuse_results(rows, 5).first()["truncated"]
     tools = spark.createDataFrame([(1, "a", 3000, 2500), (2, "b", 3000, 2600), (3, "c", 10, 1)], "seq int, tool string, timeout_ms int, cost_ms int")
     assert [x["status"] for x in rules.time_budget(tools).orderBy("seq").collect()] == ["ok", "timeout", "skipped"]
+
+
+def test_virtual_edges_equal_all_pairs(spark):
+    """The keys miss no pair that comparing all pairs finds, at any least confidence."""
+    import itertools
+    import random
+
+    r = random.Random(5)
+    verbs, nouns = ["get", "fetch", "create", "delete", "", "put", "x"], ["User", "users", "Order", "userById", "_id", "Resu", "a", "zz9"]
+    names = sorted({r.choice(verbs) + "".join(r.choice(nouns) for _ in range(r.randint(0, 2))) for _ in range(60)} - {""})
+    local = spark.createDataFrame([("app", n) for n in names], "repo string, symbol string")
+    remote = spark.createDataFrame([(q, n, t) for n, (q, t) in zip(names[::-1], itertools.cycle([("svc", "proto"), ("web", None), ("app", "proto")]))], "repo string, symbol string, contract_type string")
+    a, b = F.col("source_symbol"), F.col("target_symbol")
+    bonus = F.when(F.col("contract_type") == "proto", 0.1).otherwise(0.0)
+    pairs = local.select(F.col("repo").alias("p"), F.col("symbol").alias("source_symbol")).crossJoin(remote.withColumnRenamed("symbol", "target_symbol")).filter("p <> repo")
+    pairs = pairs.select("repo", "source_symbol", "target_symbol", s.name_match(a, b).alias("m"), s.signature_similarity(a, b).alias("g"), bonus.alias("c")).filter("m > 0").withColumn("v", F.round(0.6 * F.col("m") + 0.3 * F.col("g") + 0.1 * F.col("c"), 4)).collect()
+    for least in (0.0, 0.42, 0.43, 0.5, 0.7):
+        want = sorted((x["repo"], x["source_symbol"], x["target_symbol"], x["v"]) for x in pairs if x["v"] >= least)
+        got = sorted((x["target_repo"], x["source_symbol"], x["target_symbol"], x["confidence"]) for x in s.virtual_edges(local, remote, least).collect())
+        assert got == want and want

@@ -48,7 +48,8 @@ def tool_plan(tier: int) -> list[dict]:
 
 
 def affected_files(impact: DataFrame, most: int = 20) -> DataFrame:
-    """One row: how many nodes are affected, and the first files (in order) among them."""
+    """One row: how many nodes are affected, and the first `most` files (in order) among them; all of them are
+    impact.select("file_path").distinct()."""
     files = impact.select("file_path").distinct().orderBy("file_path").limit(most)
     return impact.agg(F.count("*").alias("n_affected")).join(files.agg(F.array_sort(F.collect_list("file_path")).alias("files")))
 

@@ -7,13 +7,15 @@ frontier is broadcast only while it is small, so that the edges needn't move.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.schemas import EDGE_TYPES
-from weftline.storage import cut, is_empty, small, stored
+from weftline.storage import BROADCAST_ROWS, cut, is_empty, rows_upto, small, stored
 
 
 def edge_types(edges: DataFrame, types: list[str] | None) -> DataFrame:
@@ -100,6 +102,25 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, upstream: bool = F
     return seen
 
 
+def nearest(edges: DataFrame, seeds: DataFrame, max_depth: int, upstream: bool = False) -> DataFrame:
+    """(id, depth): how far every node within max_depth steps is from the nearest seed (a column `id`), seeds themselves at 0.
+
+    One search from all seeds together, so that it keeps a row for each node reached, however many seeds reach it.
+    """
+    near, far = ("target_id", "source_id") if upstream else ("source_id", "target_id")
+    step = stored(edges.select(F.col(near).alias("_near"), F.col(far).alias("_far")), "nearest-edges")
+    seen = frontier = cut(seeds.select("id", F.lit(0).alias("depth")).distinct(), "nearest")
+    for depth in range(1, max_depth + 1):
+        hit = small(frontier.select("id")).join(step, F.col("id") == F.col("_near")).select(F.col("_far").alias("id")).distinct()
+        frontier = cut(hit.join(seen, "id", "left_anti").withColumn("depth", F.lit(depth)), "nearest")
+        if is_empty(frontier):
+            break
+        seen = seen.unionByName(frontier)
+        if depth % RECUT == 0:
+            seen = cut(seen, "nearest")
+    return seen
+
+
 def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, *, max_depth: int = 5, decay: float = 0.8, threshold: float = 0.1, upstream: bool = False, types: list[str] | None = ("CALLS",)) -> DataFrame:
     """The nodes that a change of the seeds (a column `id`) affects: id, symbol, file_path, depth, confidence.
 
@@ -109,8 +130,7 @@ def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, *, max_depth: i
     if not 0 < decay <= 1 or not 0 <= threshold <= 1 or max_depth < 1:
         raise ValueError("max_depth from 1, decay in (0, 1], threshold in [0, 1]")
     depth = max([0, *(d for d in range(1, max_depth + 1) if round(decay**d, 3) >= threshold)])
-    found = reach(edge_types(edges, list(types) if types else None), seeds, depth, upstream)
-    found = found.groupBy("id").agg(F.min("depth").alias("depth")).filter("depth > 0")
+    found = nearest(edge_types(edges, list(types) if types else None), seeds, depth, upstream).filter("depth > 0")
     return found.join(nodes, "id").select("id", "symbol", "file_path", "depth", F.round(F.pow(F.lit(decay), F.col("depth")), 3).alias("confidence"))
 
 
@@ -142,20 +162,21 @@ def shortest_path(edges: DataFrame, source: str, target: str | list[str], max_de
     return found.select("path", "edge_types", (F.size("path") - 1).alias("length"))
 
 
-def cycles(edges: DataFrame, max_length: int = 8, whitelist: list[str] | None = None) -> DataFrame:
-    """All elementary cycles of up to max_length nodes: cycle (from its least node on, closed by it again) and length.
+def cycles(edges: DataFrame, max_length: int | None = 8, whitelist: list[str] | None = None) -> DataFrame:
+    """All elementary cycles of up to max_length nodes (of any length if None): cycle (from its least node on, closed by it again)
+    and length.
 
-    whitelist: regular expressions; edges an end of which matches one are left out first. Cycles grow exponentially with their
-    length, hence the bound; cycle_nodes() has no bound.
+    whitelist: regular expressions; edges an end of which matches one are left out first. Edges between strong components are left
+    out too, as no cycle has them. Cycles grow exponentially with their length, hence the bound; cycle_nodes() has none.
     """
     e = edges.select("source_id", "target_id").distinct()
     for w in whitelist or []:
         e = e.filter(~F.col("source_id").rlike(w) & ~F.col("target_id").rlike(w))
-    e = cut(e, "cycles")
+    e = inner_edges(e, strong_components(e))
     step = e.select(F.col("source_id").alias("_near"), F.col("target_id").alias("_far"))
     paths = e.select(F.array("source_id").alias("path")).distinct()
     out = None
-    for length in range(1, max_length + 1):
+    for length in itertools.count(1) if max_length is None else range(1, max_length + 1):
         last, first = F.element_at("path", -1), F.element_at("path", 1)
         ahead = paths.join(step, last == F.col("_near"))
         done = ahead.filter(F.col("_far") == first).select(F.concat("path", F.array("_far")).alias("cycle"), F.lit(length).alias("length"))
@@ -167,16 +188,122 @@ def cycles(edges: DataFrame, max_length: int = 8, whitelist: list[str] | None =
     return out
 
 
+def inner_edges(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """The edges both ends of which are in one strong component, cut."""
+    a = components.select(F.col("id").alias("source_id"), F.col("component").alias("_a"))
+    b = components.select(F.col("id").alias("target_id"), F.col("component").alias("_b"))
+    return cut(edges.join(a, "source_id").join(b, "target_id").filter("_a = _b").select("source_id", "target_id"), "inner-edges")
+
+
 def cycle_nodes(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """The nodes that lie on a cycle, and how long the shortest one through each is."""
-    return closure(edges, max_depth).filter(F.col("source_id") == F.col("target_id")).select(F.col("source_id").alias("id"), F.col("depth").alias("length"))
+    """The nodes that lie on a cycle, and how long the shortest one through each is. Only edges within a strong component are walked."""
+    e = edges.select("source_id", "target_id").distinct()
+    inner = inner_edges(e, strong_components(e))
+    return closure(inner, max_depth).filter(F.col("source_id") == F.col("target_id")).select(F.col("source_id").alias("id"), F.col("depth").alias("length"))
+
 
+#: Edges up to which what is left of a graph is solved in one task.
+ONE_TASK_EDGES = 200_000
 
-def strong_components(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(id, component): nodes that reach each other share a component, named by its least node; only nodes on cycles have rows."""
-    c = closure(edges, max_depth).select("source_id", "target_id")
-    back = c.select(F.col("source_id").alias("target_id"), F.col("target_id").alias("source_id"))
-    return c.join(back, ["source_id", "target_id"], "left_semi").groupBy(F.col("source_id").alias("id")).agg(F.min("target_id").alias("component"))
+
+def _trimmed(e: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """(the edges left when those at nodes without edges in or out are taken away, until none is or at most `most` are left; their
+    number)."""
+    n = e.count()
+    while n > most:
+        ends = cut(e.select(F.col("source_id").alias("id")).distinct().join(e.select(F.col("target_id").alias("id")), "id", "left_semi"), "component-nodes")
+        e = cut(e.join(ends.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ends.withColumnRenamed("id", "target_id"), "target_id", "left_semi").select("source_id", "target_id"), "component-edges")
+        left, n = n, e.count()
+        if left == n:
+            break
+    return e, n
+
+
+def _components_of_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """strong_components() of all edges of a small graph, by depth-first search with low links."""
+    ahead: dict[str, list[str]] = {}
+    for pdf in batches:
+        for s, t in zip(pdf["source_id"], pdf["target_id"], strict=True):
+            ahead.setdefault(s, []).append(t)
+    place, low, stack, on, out = {}, {}, [], set(), []
+    for root in ahead:
+        if root in place:
+            continue
+        place[root] = low[root] = len(place)
+        stack.append(root)
+        on.add(root)
+        walk = [(root, iter(ahead[root]))]
+        while walk:
+            v, left = walk[-1]
+            for w in left:
+                if w not in place:
+                    place[w] = low[w] = len(place)
+                    stack.append(w)
+                    on.add(w)
+                    walk.append((w, iter(ahead.get(w, ()))))
+                    break
+                if w in on:
+                    low[v] = min(low[v], place[w])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[v])
+                if low[v] == place[v]:
+                    own = []
+                    while not own or own[-1] != v:
+                        own.append(stack.pop())
+                    on.difference_update(own)
+                    if len(own) > 1 or v in ahead.get(v, ()):
+                        out += [(w, min(own)) for w in own]
+    yield pd.DataFrame(out, columns=["id", "component"])
+
+
+def _coloured(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One round of strong_components() over edges e: ((id, colour) of the nodes that reach the node their colour is named by from
+    within it, the edges between nodes of one colour)."""
+    colour = cut(e.select(F.col("source_id").alias("id")).unionByName(e.select(F.col("target_id").alias("id"))).distinct().withColumn("colour", F.col("id")), "component-colours")
+    changed, n = colour, BROADCAST_ROWS + 1
+    while n:
+        told = (F.broadcast(changed) if n <= BROADCAST_ROWS else changed).join(e, F.col("id") == F.col("source_id")).groupBy(F.col("target_id").alias("id")).agg(F.min("colour").alias("_new"))
+        both = cut(colour.join(told, "id", "left").withColumn("_less", F.coalesce(F.col("_new") < F.col("colour"), F.lit(False))).select("id", F.when(F.col("_less"), F.col("_new")).otherwise(F.col("colour")).alias("colour"), "_less"), "component-colours")
+        colour, changed = both.select("id", "colour"), both.filter("_less").select("id", "colour")
+        n = rows_upto(changed)
+    s, t = (colour.select(F.col("id").alias(k), F.col("colour").alias(c)) for k, c in (("source_id", "_s"), ("target_id", "_t")))
+    own = cut(e.join(s, "source_id").join(t, "target_id").filter("_s = _t").select("source_id", "target_id"), "component-inner")
+    found = frontier = cut(colour.filter("id = colour"), "component-found")
+    for step in itertools.count(1):
+        n = rows_upto(frontier)
+        if not n:
+            return found, own
+        hit = (F.broadcast(frontier) if n <= BROADCAST_ROWS else frontier).join(own, F.col("id") == F.col("target_id")).select(F.col("source_id").alias("id"), "colour").distinct()
+        frontier = cut(hit.join(found, "id", "left_anti"), "component-found")
+        found = found.unionByName(frontier)
+        if step % RECUT == 0:
+            found = cut(found, "component-found")
+
+
+def strong_components(edges: DataFrame, one_task: int = ONE_TASK_EDGES) -> DataFrame:
+    """(id, component): nodes that reach each other share a component, named by its least node; only nodes on cycles have rows.
+
+    By colouring: after nodes without edges in or out are trimmed, every node takes the least node that reaches it as its colour;
+    what reaches the node that names the colour from within the colour is that node's component. Those nodes go, and the rest
+    starts again, until at most `one_task` edges are left, which one task solves. The state is a row for each node, and the steps
+    follow the graph's diameter, not its pairs.
+    """
+    e, n = _trimmed(cut(edges.select("source_id", "target_id").distinct(), "component-edges"), one_task)
+    out = None
+    while n > one_task:
+        found, own = _coloured(e)
+        # a node alone is a component of a cycle only by an edge to itself
+        loops = own.filter("source_id = target_id").select(F.col("source_id").alias("id"))
+        many = found.groupBy("colour").agg(F.count("*").alias("_n")).filter("_n > 1").select("colour")
+        done = found.join(many, "colour", "left_semi").select("id", "colour").unionByName(found.join(loops, "id", "left_semi").select("id", "colour")).distinct()
+        done = cut(done.withColumnRenamed("colour", "component"), "component-done")
+        out = done if out is None else out.unionByName(done)
+        gone = found.select("id")
+        e, n = _trimmed(cut(e.join(gone.withColumnRenamed("id", "source_id"), "source_id", "left_anti").join(gone.withColumnRenamed("id", "target_id"), "target_id", "left_anti").select("source_id", "target_id"), "component-edges"), one_task)
+    rest = cut(e.coalesce(1).mapInPandas(_components_of_task, "id string, component string"), "component-done")  # at most one_task edges
+    return rest if out is None else out.unionByName(rest)
 
 
 def dependency_lists(edges: DataFrame) -> DataFrame:
@@ -210,7 +337,7 @@ def last_call_path(calls: DataFrame, start: str, max_depth: int = 5) -> DataFram
     calls: caller, callee, position. The walk keeps one row, so that its state is a row on the driver.
     """
     max_depth = min(max(max_depth, 1), 10)
-    onward = calls.groupBy("caller").agg(F.max_by("callee", F.struct("position", "callee")).alias("callee"))
+    onward = cut(calls.groupBy("caller").agg(F.max_by("callee", F.struct("position", "callee")).alias("callee")), "last-calls")
     path, end = [start], "truncated"
     for _ in range(max_depth):
         nxt = onward.filter(F.col("caller") == path[-1]).select("callee").first()

@@ -60,7 +60,7 @@ def layer_violations(imports: DataFrame, layers: DataFrame) -> DataFrame:
     """Imports from one module to another that the layers (from, to, allow) forbid; a module is the first part of a path."""
     first = lambda c: F.substring_index(c, "/", 1)
     bad = layers.filter("not allow").select(F.col("from").alias("_f"), F.col("to").alias("_t"))
-    return imports.join(F.broadcast(bad), (first(F.col("source")) == F.col("_f")) & (first(F.col("target")) == F.col("_t"))).drop("_f", "_t")
+    return imports.join(small(bad), (first(F.col("source")) == F.col("_f")) & (first(F.col("target")) == F.col("_t"))).drop("_f", "_t")
 
 
 def file_orphans(files: DataFrame, imports: DataFrame, exclude: list[str] | None = None) -> DataFrame:

@@ -226,22 +226,52 @@ def signature_similarity(a: Column, b: Column) -> Column:
     return F.when(same | F.arrays_overlap(nouns(a), nouns(b)), 0.6).otherwise(0.5)
 
 
+#: Characters from rare to frequent in names: which ones of a name are its keys depends on it, which pairs are found doesn't.
+RARE_FIRST = "0123456789_$qzxjkvwybhgfpmudcslnoiatre"
+
+
+def prefix_keys(name: Column, other: bool) -> Column:
+    """The keys of a name under which it meets those that it starts, or that start it: itself and its base name whole, or (other) all
+    their beginnings."""
+    def of(kind: str, text: Column) -> Column:
+        if not other:
+            return F.array(F.concat(F.lit(kind), text))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda n: F.concat(F.lit(kind), F.substring(text, F.lit(1), n)))
+
+    return F.filter(F.array_distinct(F.concat(of("n", F.lower(name)), of("b", base_name(name)))), lambda k: F.length(k) > 1)
+
+
+def letter_keys(name: Column) -> Column:
+    """The keys of a name under which it meets all that share over half of the longer one's letters.
+
+    A name's letters are numbered (the second e is another one than the first) and put in an order that is the same for all names.
+    Names that share over half share one of the first ceil(n / 2) of each.
+    """
+    low = F.lower(name)
+    place = lambda c: F.lpad(F.instr(F.lit(RARE_FIRST), c).cast("string"), 3, "0")
+    letters = F.transform(F.sequence(F.lit(1), F.length(low)), lambda i: F.struct(F.substring(low, i, F.lit(1)).alias("c"), i.alias("i")))
+    before = lambda x: F.size(F.filter(letters, lambda y: (y["c"] == x["c"]) & (y["i"] < x["i"])))
+    ordered = F.array_sort(F.transform(letters, lambda x: F.concat(place(x["c"]), x["c"], before(x).cast("string"))))
+    return F.when(F.length(low) > 0, F.slice(ordered, F.lit(1), F.ceil(F.length(low) / 2).cast("int"))).otherwise(F.array().cast("array<string>"))
+
+
 def virtual_edges(local: DataFrame, remote: DataFrame, min_confidence: float = 0.5) -> DataFrame:
     """Edges between like-named symbols of different repositories, with confidence and level.
 
-    local: repo, symbol. remote: repo, symbol, contract_type. Only names that can reach the least confidence are compared: with the
-    default no pair below the .7 tier can, and names of that tier share their first letter, or their base names do. That letter
-    pair is the join key; below .43 the key is left out, and every two symbols are compared.
+    local: repo, symbol. remote: repo, symbol, contract_type. Only names that can reach the least confidence are compared: above .43
+    one has to start the other, with or without its verb, so that a whole name meets the beginnings of others; up to it, names that
+    share over half of their letters count too, and meet by their rarest letters.
     """
-    x = local.select(F.col("repo").alias("source_repo"), F.col("symbol").alias("source_symbol"))
-    y = remote.select(F.col("repo").alias("target_repo"), F.col("symbol").alias("target_symbol"), "contract_type")
-    if min_confidence >= 0.43:
-        keys = lambda c: F.explode(F.array_distinct(F.array(F.substring(F.lower(c), 1, 2), F.concat(F.lit("b"), F.substring(base_name(c), 1, 2)), F.substring(F.lower(c), 1, 1), F.concat(F.lit("b"), F.substring(base_name(c), 1, 1)))))
-        x = x.withColumn("_k", keys(F.col("source_symbol")))
-        y = y.withColumn("_k", keys(F.col("target_symbol")))
-        pairs = x.join(y, "_k").filter("source_repo <> target_repo").drop("_k").distinct()
-    else:
-        pairs = x.join(small(y), F.col("source_repo") != F.col("target_repo"))
+    x = local.select(F.col("repo").alias("source_repo"), F.col("symbol").alias("source_symbol")).distinct()
+    y = remote.select(F.col("repo").alias("target_repo"), F.col("symbol").alias("target_symbol"), "contract_type").distinct()
+    met = [(prefix_keys(F.col("source_symbol"), False), prefix_keys(F.col("target_symbol"), True)), (prefix_keys(F.col("source_symbol"), True), prefix_keys(F.col("target_symbol"), False))]
+    if min_confidence <= 0.43:
+        met.append((letter_keys(F.col("source_symbol")), letter_keys(F.col("target_symbol"))))
+    pairs = None
+    for kx, ky in met:
+        found = x.withColumn("_k", F.explode(kx)).join(y.withColumn("_k", F.explode(ky)), "_k").filter("source_repo <> target_repo").drop("_k")
+        pairs = found if pairs is None else pairs.unionByName(found)
+    pairs = pairs.distinct()
     a, b = F.col("source_symbol"), F.col("target_symbol")
     bonus = F.coalesce(*(F.when(F.col("contract_type") == t, F.lit(v)) for t, v in CONTRACT_BONUS.items()), F.lit(0.0))
     out = pairs.withColumn("exact_match", name_match(a, b)).filter("exact_match > 0").withColumn("signature_similarity", signature_similarity(a, b)).withColumn("contract_bonus", bonus)

@@ -1,13 +1,15 @@
-"""The graph store: nodes and edges as tables that are replaced as a whole, with import, upsert, delete, audit and migration.
+"""The graph store: nodes and edges as versioned tables, with import, upsert, delete, audit and migration.
 
-Every change is a function of the tables' rows; Store keeps them as parquet versions and a pointer file, so that readers see the
-old version or the new one, and a failed write leaves the old one.
+Every change is a function of the tables' rows; Store keeps them as parquet parts and a pointer file, so that a failed write leaves
+the old state.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from pyspark.errors import ParseException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,9 +79,12 @@ def read_import(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def checksum(rows: DataFrame) -> tuple[int, int]:
-    """(rows, an order-independent hash of them)."""
-    got = rows.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64(*sorted(rows.columns))), F.lit(0))).first()
-    return got[0], got[1]
+    """(rows, the sum of a hash of each): the same for any order of the rows; repeated rows count each time."""
+    own = sorted(rows.columns)
+    # hashes skip nulls, so that where they are is hashed besides
+    h = F.xxhash64(*(F.col(f"`{c}`") for c in own), *(F.col(f"`{c}`").isNull() for c in own))
+    got = rows.agg(F.count("*"), F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0))).first()
+    return got[0], int(got[1])
 
 
 def migrate_nodes(nodes: DataFrame) -> DataFrame:
@@ -93,23 +98,49 @@ def migrate_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def migrate(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both tables in the present layout; fails if a row would be lost or an edge gets an end that is no node."""
+    """Both tables in the present layout; fails if a row would be lost. Edges may have ends that are no nodes, as they may in the
+    store: graph.dangling() lists them."""
     new_nodes, new_edges = migrate_nodes(nodes), _fit(edges.withColumn("id", edge_id()), EDGES)
     if new_nodes.count() != nodes.count() or new_edges.count() != edges.count():
         raise ValueError("migration changed the number of rows")
     return new_nodes, new_edges
 
 
+#: Plan nodes that do more than read, by their class names (fixed values of the planner).
+_ACTS = ("org.apache.spark.sql.catalyst.plans.logical.Command", "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement", "org.apache.spark.sql.catalyst.plans.logical.ScriptTransformation")
+
+
 def select_only(spark: SparkSession, text: str, **args) -> DataFrame:
-    """Any SELECT (or WITH, VALUES, TABLE) statement over the registered views; parameters are bound, never spliced in."""
-    head = text.lstrip(" \t\n(").split(None, 1)
-    if not head or head[0].upper() not in ("SELECT", "WITH", "VALUES", "TABLE", "FROM"):
-        raise ValueError("only queries are allowed")
+    """Any query over the registered views; parameters are bound, never spliced in.
+
+    The statement is parsed first, and refused if any part of its plan is a command, writes, or runs a script, however it begins.
+    """
+    jvm = spark._jvm
+    acts = [jvm.java.lang.Class.forName(n) for n in _ACTS]
+    try:
+        left = [spark._jsparkSession.sessionState().sqlParser().parsePlan(text)]
+    except ParseException as e:
+        raise ValueError("not a query") from e
+    while left:
+        node = left.pop()
+        if any(c.isInstance(node) for c in acts):
+            raise ValueError("only queries are allowed")
+        for below in (node.children(), node.innerChildren()):
+            left += [x for x in (below.apply(i) for i in range(below.size())) if hasattr(x, "children")]
     return spark.sql(text, args=args or None)
 
 
+#: Parts a stored table is dealt to by id; a change rewrites the parts that it touches.
+PARTS = 64
+
+
 class Store:
-    """Nodes and edges below a folder."""
+    """Nodes and edges below a folder, in PARTS parts each by hash of the id.
+
+    A pointer file names the folder of every part. A change writes new folders for the parts that it touches, and then replaces the
+    pointer in one step: readers find the old state or the new one. Of two writers that began from the same state the second one
+    fails, and may try again.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -118,56 +149,104 @@ class Store:
     def _at(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
-    def _version(self) -> str | None:
+    def _state(self) -> dict | None:
+        """What the pointer says: the version, and for each table its parts' folders."""
         if not self._fs.exists(self._at("CURRENT")):
             return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
+        return json.loads(self.spark.read.text(f"{self.path}/CURRENT", wholetext=True).first()[0])
 
     def init(self) -> None:
         """Empty tables, unless there are some."""
-        if self._version() is None:
-            self._commit(self.spark.createDataFrame([], NODES), self.spark.createDataFrame([], EDGES))
-
-    def _commit(self, nodes: DataFrame, edges: DataFrame) -> None:
+        if self._state() is None:
+            self._replace(None, {"nodes": {}, "edges": {}})
+
+    def _replace(self, old: dict | None, new: dict) -> None:
+        """Replace the pointer, if it is still the old one."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        new = new | {"version": uuid.uuid4().hex[:12]}
+        if not self._fs.createNewFile(self._at("LOCK")):
+            raise RuntimeError("another writer is at work, or left its LOCK behind")
+        try:
+            if (self._state() or {}).get("version") != (old or {}).get("version"):
+                raise RuntimeError("another writer changed the store since this change began")
+            out = self._fs.create(self._at(f"CURRENT.{new['version']}"), True)
+            out.write(bytearray(json.dumps(new).encode()))
+            out.close()
+            kinds = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+            how = self.spark.sparkContext._gateway.new_array(kinds, 1)
+            how[0] = kinds.OVERWRITE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at("CURRENT").toUri(), conf).rename(self._at(f"CURRENT.{new['version']}"), self._at("CURRENT"), how)
+        finally:
+            self._fs.delete(self._at("LOCK"), False)
+
+    def _read(self, state: dict, name: str, parts: list[str] | None = None) -> DataFrame:
+        """A table, or some of its parts."""
+        schema = NODES if name == "nodes" else EDGES
+        found = [f"{self.path}/{v}/{name}/_part={k}" for k, v in state[name].items() if parts is None or k in parts]
+        return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
+
+    def _write(self, state: dict, name: str, parts: list[str], rows: DataFrame) -> dict:
+        """The state in which these parts of a table have these rows."""
         version = uuid.uuid4().hex[:12]
-        nodes.write.parquet(f"{self.path}/{version}/nodes")
-        edges.write.parquet(f"{self.path}/{version}/edges")
-        out = self._fs.create(self._at(f"CURRENT.{version}"), True)
-        out.write(bytearray(version.encode()))
-        out.close()
-        # one step that replaces the pointer: readers find the old version or the new one
-        kinds = getattr(self.spark._jvm.org.apache.hadoop.fs, "Options$Rename")
-        how = self.spark.sparkContext._gateway.new_array(kinds, 1)
-        how[0] = kinds.OVERWRITE
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at("CURRENT").toUri(), self.spark._jsc.hadoopConfiguration())
-        context.rename(self._at(f"CURRENT.{version}"), self._at("CURRENT"), how)
+        rows.withColumn("_part", _part()).write.partitionBy("_part").parquet(f"{self.path}/{version}/{name}")
+        folder = self._at(f"{version}/{name}")
+        full = {str(x.getPath().getName()).partition("=")[2] for x in self._fs.listStatus(folder) if x.isDirectory()}
+        kept = {k: v for k, v in state[name].items() if k not in parts}
+        return state | {name: kept | dict.fromkeys(sorted(full), version)}
 
     @property
     def nodes(self) -> DataFrame:
-        return self.spark.read.schema(NODES).parquet(f"{self.path}/{self._version()}/nodes")
+        return self._read(self._state(), "nodes")
 
     @property
     def edges(self) -> DataFrame:
-        return self.spark.read.schema(EDGES).parquet(f"{self.path}/{self._version()}/edges")
+        return self._read(self._state(), "edges")
 
     def put(self, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> None:
         """Upsert nodes and edges in one step: both or none."""
-        self._commit(self.nodes if nodes is None else upsert_nodes(self.nodes, nodes), self.edges if edges is None else upsert_edges(self.edges, edges))
+        old = state = self._state()
+        for name, rows, change in (("nodes", nodes, upsert_nodes), ("edges", edges, upsert_edges)):
+            if rows is not None:
+                rows = rows if name == "nodes" else rows.withColumn("id", edge_id())
+                parts = _parts_of(rows)
+                state = self._write(state, name, parts, change(self._read(state, name, parts), rows))
+        self._replace(old, state)
 
     def load(self, path: str) -> None:
         """Import a document."""
         self.put(*read_import(self.spark, path))
 
     def delete_node(self, node: str) -> None:
+        """Delete a node and the edges at it."""
         ids = self.spark.createDataFrame([(node,)], "id string")
-        self._commit(*delete_nodes(self.nodes, self.edges, ids))
+        old = self._state()
+        parts, edges = _parts_of(ids), self._read(old, "edges")
+        state = self._write(old, "nodes", parts, self._read(old, "nodes", parts).join(ids, "id", "left_anti"))
+        gone = edges.filter((F.col("source_id") == node) | (F.col("target_id") == node)).select("id")
+        parts = _parts_of(gone)
+        if parts:
+            state = self._write(state, "edges", parts, delete_edges(self._read(old, "edges", parts), gone))
+        self._replace(old, state)
 
     def delete_edge(self, edge: str) -> None:
-        self._commit(self.nodes, delete_edges(self.edges, self.spark.createDataFrame([(edge,)], "id string")))
+        old, ids = self._state(), self.spark.createDataFrame([(edge,)], "id string")
+        parts = _parts_of(ids)
+        self._replace(old, self._write(old, "edges", parts, delete_edges(self._read(old, "edges", parts), ids)))
 
     def node(self, node: str) -> DataFrame:
-        return self.nodes.filter(F.col("id") == node)
+        """A node by its id, from the one part that can have it."""
+        parts = _parts_of(self.spark.createDataFrame([(node,)], "id string"))
+        return self._read(self._state(), "nodes", parts).filter(F.col("id") == node)
 
     def views(self) -> None:
         self.nodes.createOrReplaceTempView("nodes")
         self.edges.createOrReplaceTempView("edges")
+
+
+def _part():
+    return F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")
+
+
+def _parts_of(rows: DataFrame) -> list[str]:
+    """The parts that rows fall to: PARTS at most."""
+    return [str(x[0]) for x in rows.select(_part()).distinct().collect()]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.functions.text import STOP_WORDS, camel_case, dirname, matches_any, stem
+from weftline.storage import small
 
 JS = r"\.(ts|tsx|js|jsx|mjs|cjs)$"
 SHELL = r"\.(sh|bash)$"
@@ -33,10 +34,14 @@ def _ahead(first: int, last: int) -> Window:
     return Window.partitionBy("file").orderBy("line_no").rowsBetween(first, last)
 
 
-def corpus(files: DataFrame, extensions: list[str], deny: list[str] | None = None, most_bytes: int = 1 << 20, keep: int = 10_000) -> DataFrame:
-    """file, text of the files to index: allowed extensions, no denied path, under most_bytes; the first `keep` characters on one line."""
+def corpus(files: DataFrame, extensions: list[str], deny: list[str] | None = None, most_bytes: int | None = 1 << 20, keep: int | None = 10_000) -> DataFrame:
+    """file, text, cut of the files to index: allowed extensions, no denied path, under most_bytes (any size if None); the first `keep`
+    characters (all if None) on one line. cut: whether characters were left out."""
     ext = F.lower(F.element_at(F.split("file", r"\."), -1))
-    return files.filter(ext.isin(extensions) & ~matches_any(F.col("file"), deny or []) & (F.octet_length("text") < most_bytes)).select("file", F.substring(F.translate("text", "\n", " "), 1, keep).alias("text"))
+    own = files.filter(ext.isin(extensions) & ~matches_any(F.col("file"), deny or []))
+    own = own if most_bytes is None else own.filter(F.octet_length("text") < most_bytes)
+    line = F.translate("text", "\n", " ")
+    return own.select("file", (line if keep is None else F.substring(line, 1, keep)).alias("text"), (F.lit(False) if keep is None else F.length("text") > keep).alias("cut"))
 
 
 def imports(files: DataFrame) -> DataFrame:
@@ -199,8 +204,6 @@ def link_keywords(keywords: DataFrame, nodes: DataFrame, edges: DataFrame, most:
 
     Exact matches are an equi-join. For the rest every node is searched for the keywords, which are few (checked for a broadcast).
     """
-    from weftline.storage import small
-
     k, n = keywords.select("record", "keyword").distinct(), nodes.select("id", "symbol", "file_path")
     exact = k.join(n, F.col("keyword") == F.col("symbol")).withColumn("_o", F.lit(0))
     within = n.join(small(k), F.col("symbol").contains(F.col("keyword")) | F.col("file_path").contains(F.col("keyword"))).filter("symbol <> keyword").withColumn("_o", F.lit(1))
@@ -309,8 +312,11 @@ def learn_patterns(files: DataFrame, patterns: list[tuple[str, str, int]]) -> Da
     ln = lines(files)
     hits = F.array_compact(F.array(*(F.when(F.col("line").rlike(rx), F.lit(n)) for n, rx, _ in patterns)))
     least = F.coalesce(*(F.when(F.col("pattern") == n, F.lit(m)) for n, _, m in patterns))
-    found = ln.select("file", "line_no", F.explode(hits).alias("pattern")).withColumn("_r", F.row_number().over(Window.partitionBy("pattern").orderBy("file", "line_no")))
-    out = found.groupBy("pattern").agg(F.count("*").alias("occurrences"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("_r") <= 3, F.concat_ws(":", "file", "line_no")))), ", ").alias("examples"))
+    found = ln.select("file", "line_no", F.explode(hits).alias("pattern"))
+    # the planner cuts the ranking to three rows a pattern in every task before they meet
+    rank = F.row_number().over(Window.partitionBy("pattern").orderBy("file", "line_no"))
+    first = found.withColumn("_r", rank).filter("_r <= 3").groupBy("pattern").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", F.concat_ws(":", "file", "line_no").alias("at")))), lambda x: x["at"]), ", ").alias("examples"))
+    out = found.groupBy("pattern").agg(F.count("*").alias("occurrences")).join(first, "pattern")
     return out.withColumn("confidence", F.when(F.col("occurrences") >= least, F.least(F.lit(1.0), F.col("occurrences") / (3.0 * least))).otherwise(F.col("occurrences") / least.cast("double")))
 
 
@@ -319,7 +325,7 @@ def pattern_violations(files: DataFrame, learned: DataFrame, threshold: float =
     ln, line = lines(files), F.col("line")
     rules = [("async_try_catch", line.rlike(r"async\s+function") & ~line.rlike(r"try\s*\{")), ("error_logging", line.rlike(r"catch\s*\([^)]*\)\s*\{\s*\}"))]
     hits = ln.select("file", "line_no", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules)))).alias("pattern"))
-    return hits.join(F.broadcast(learned.filter(F.col("confidence") >= threshold).select("pattern")), "pattern")
+    return hits.join(small(learned.filter(F.col("confidence") >= threshold).select("pattern")), "pattern")
 
 
 def complexity(files: DataFrame) -> DataFrame:

@@ -12,7 +12,6 @@ from weftline.sources import tables as t
 
 N, E = t.NODES_SQL, t.EDGES_SQL
 TR = t.TRANSITIONS_SQL.format(where="")
-TR10 = t.TRANSITIONS_SQL.format(where="WHERE user_id < 10")
 REACH = """r(id, depth) AS (SELECT id, 0 FROM seeds UNION SELECT {far}, depth + 1 FROM r JOIN e ON e.{near} = r.id WHERE depth < {most})"""
 IMPACT = "SELECT n.id, n.symbol, n.file_path, CAST(d.depth AS INT) AS depth, round(pow(0.8, d.depth), 3) AS confidence FROM (SELECT id, min(depth) AS depth FROM r GROUP BY id HAVING min(depth) > 0) d JOIN n ON n.id = d.id"
 
@@ -74,8 +73,10 @@ def shortest_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def typed_path(spark: SparkSession, d: str) -> DataFrame:
-    """No path: the order's edge to its customer is a call."""
-    return g.shortest_path(t.edges(spark, d), "O:1", "R:1", types=["IMPORTS", "DEFINES"]).select(F.array_join("path", ">").alias("path"), "length")
+    """From a customer to the regions by imports and definitions, and from an order, whose edge to its customer is a call: no path."""
+    e, regions, types = t.edges(spark, d), [f"R:{k}" for k in range(5)], ["IMPORTS", "DEFINES"]
+    found = g.shortest_path(e, "C:1", regions, types=types).unionByName(g.shortest_path(e, "O:1", regions, types=types))
+    return found.select(F.array_join("path", ">").alias("path"), "length")
 
 
 def impact_forward(spark: SparkSession, d: str) -> DataFrame:
@@ -169,26 +170,30 @@ FROM e WHERE source_id NOT IN (SELECT url FROM pages) OR target_id NOT IN (SELEC
     "upstream_neighbours": f"WITH n AS ({N}), e AS ({E}) SELECT * FROM n WHERE id IN (SELECT source_id FROM e WHERE target_id = 'C:7' AND edge_type = 'CALLS')",
     "downstream_neighbours": f"WITH n AS ({N}), e AS ({E}) SELECT * FROM n WHERE id IN (SELECT target_id FROM e WHERE source_id = 'O:7' AND edge_type = 'CALLS')",
     "closure": f"WITH RECURSIVE e AS ({E}), {_CLOSURE.format(most=5)} {_LEAST}",
-    "closure_cyclic": f"WITH RECURSIVE e AS ({TR10}), {_CLOSURE.format(most=5)} {_LEAST}",
+    "closure_cyclic": f"WITH RECURSIVE e AS ({TR}), {_CLOSURE.format(most=5)} {_LEAST}",
     "closure_increment": f"WITH RECURSIVE e AS (SELECT * FROM ({E}) WHERE edge_type IN ('IMPORTS', 'DEFINES') UNION ALL SELECT 'R:1', 'W:0', 'IMPORTS'), {_CLOSURE.format(most=5)} {_LEAST}",
     "shortest_paths": f"""WITH RECURSIVE e AS ({E}), p(id, path, types, length) AS (SELECT 'O:1', 'O:1', '', 0
 UNION ALL SELECT e.target_id, path || '>' || e.target_id, types || CASE WHEN types = '' THEN '' ELSE ',' END || e.edge_type, length + 1 FROM p JOIN e ON e.source_id = p.id WHERE length < 10)
 SELECT path, types AS edge_types, CAST(length AS INT) AS length FROM p WHERE id LIKE 'R:%'""",
-    "typed_path": "SELECT 'x' AS path, CAST(1 AS INT) AS length WHERE false",
+    "typed_path": f"""WITH RECURSIVE e AS (SELECT * FROM ({E}) WHERE edge_type IN ('IMPORTS', 'DEFINES')), p(id, path, length) AS (SELECT * FROM (VALUES ('C:1', 'C:1', 0), ('O:1', 'O:1', 0))
+UNION ALL SELECT e.target_id, path || '>' || e.target_id, length + 1 FROM p JOIN e ON e.source_id = p.id WHERE length < 10)
+SELECT path, CAST(length AS INT) AS length FROM p WHERE id LIKE 'R:%'""",
     "impact_forward": f"WITH RECURSIVE n AS ({N}), e AS ({E}), seeds AS (SELECT id FROM n WHERE file_path = 'order/0'), {REACH.format(near='source_id', far='target_id', most=5)} {IMPACT}",
     "impact_reverse": f"WITH RECURSIVE n AS ({N}), e AS ({E}), seeds AS (SELECT 'R:1' AS id), {REACH.format(near='target_id', far='source_id', most=5)} {IMPACT}",
     "impact_file": f"WITH RECURSIVE n AS ({N}), e AS (SELECT * FROM ({E}) WHERE edge_type = 'CALLS'), seeds AS (SELECT id FROM n WHERE file_path = 'customer/0'), {REACH.format(near='target_id', far='source_id', most=5)} {IMPACT}",
     "cycles": f"""WITH RECURSIVE e AS ({TR}), p(path, first, last, length) AS (SELECT DISTINCT [source_id], source_id, source_id, 1 FROM e
 UNION ALL SELECT list_append(path, e.target_id), first, e.target_id, length + 1 FROM p JOIN e ON e.source_id = p.last WHERE e.target_id > first AND NOT list_contains(path, e.target_id) AND length < 8)
 SELECT array_to_string(list_append(path, first), '>') AS cycle, CAST(length AS INT) AS length FROM p WHERE EXISTS (SELECT 1 FROM e WHERE e.source_id = p.last AND e.target_id = p.first)""",
-    "cycle_nodes": f"WITH RECURSIVE e AS ({TR10}), {_CLOSURE.format(most=20)} SELECT source_id AS id, CAST(min(depth) AS INT) AS length FROM c WHERE source_id = target_id GROUP BY 1",
-    "strong_components": f"WITH RECURSIVE e AS ({TR10}), {_CLOSURE.format(most=20)} SELECT a.source_id AS id, min(a.target_id) AS component FROM c a JOIN c b ON a.source_id = b.target_id AND a.target_id = b.source_id GROUP BY 1",
+    "cycle_nodes": f"WITH RECURSIVE e AS ({TR}), {_CLOSURE.format(most=20)} SELECT source_id AS id, CAST(min(depth) AS INT) AS length FROM c WHERE source_id = target_id GROUP BY 1",
+    "strong_components": f"WITH RECURSIVE e AS ({TR}), {_CLOSURE.format(most=20)} SELECT a.source_id AS id, min(a.target_id) AS component FROM c a JOIN c b ON a.source_id = b.target_id AND a.target_id = b.source_id GROUP BY 1",
     "dependency_lists": f"SELECT source_id AS id, string_agg(target_id, ',' ORDER BY target_id) AS targets, CAST(count(*) AS INT) AS n_targets FROM (SELECT DISTINCT source_id, target_id FROM ({E})) GROUP BY 1",
     "module_graph": f"WITH n AS ({N}), e AS ({E}) SELECT split_part(s.file_path, '/', 1) AS source_module, split_part(x.file_path, '/', 1) AS target_module, count(*) AS n FROM e JOIN n s ON s.id = e.source_id JOIN n x ON x.id = e.target_id WHERE s.kind <> x.kind GROUP BY ALL",
     "file_graph": f"WITH n AS ({N}), e AS ({E}) SELECT DISTINCT 'geo/' || s.file_path AS source_file, 'geo/' || x.file_path AS target_file, e.edge_type FROM e JOIN n s ON s.id = e.source_id JOIN n x ON x.id = e.target_id WHERE (edge_type = 'DEFINES' OR target_id LIKE 'N:%') AND s.file_path <> x.file_path",
-    "dependency_trace": f"WITH e AS ({E}) SELECT a.source_id || '>' || a.target_id || '>' || b.target_id AS path, CAST(2 AS INT) AS length FROM e a JOIN e b ON a.target_id = b.source_id JOIN ({N}) n ON n.id = a.source_id WHERE n.file_path = 'supplier/0' AND b.target_id = 'R:2'",
+    "dependency_trace": f"""WITH RECURSIVE e AS MATERIALIZED ({E}), p(id, path, length) AS (SELECT id, id, 0 FROM ({N}) WHERE file_path = 'supplier/0'
+UNION ALL SELECT e.target_id, path || '>' || e.target_id, length + 1 FROM p JOIN e ON e.source_id = p.id WHERE length < 8 AND id <> 'R:2' AND NOT list_contains(string_split(path, '>'), e.target_id))
+SELECT path, CAST(length AS INT) AS length FROM p WHERE id = 'R:2'""",
     "diagram": f"WITH n AS ({N}), e AS ({E}), m AS (SELECT DISTINCT '  ' || s.kind || ' --> ' || x.kind AS line FROM e JOIN n s ON s.id = e.source_id JOIN n x ON x.id = e.target_id WHERE s.kind <> x.kind) SELECT 'graph TD' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS diagram FROM m",
-    "call_chain": f"""WITH e AS ({TR10}), a AS (SELECT target_id AS v, target_id = 'view' AS c FROM e WHERE source_id = 'view'),
+    "call_chain": f"""WITH e AS ({TR}), a AS (SELECT target_id AS v, target_id = 'view' AS c FROM e WHERE source_id = 'view'),
 b AS (SELECT DISTINCT a.v AS u, e.target_id AS v, e.target_id IN ('view', a.v) AS c FROM a JOIN e ON e.source_id = a.v WHERE NOT a.c)
 SELECT 'callees' AS direction, CAST(1 AS INT) AS depth, 'view' AS caller, v AS callee, c AS cycle FROM a UNION ALL SELECT 'callees', CAST(2 AS INT), u, v, c FROM b
 UNION ALL SELECT * FROM (SELECT 'callers', CAST(1 AS INT), source_id, 'view', source_id = 'view' FROM e WHERE target_id = 'view' ORDER BY source_id LIMIT 5)""",

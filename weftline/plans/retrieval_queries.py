@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators import graph as g
 from weftline.operators import retrieval as r
 from weftline.operators import sessions as s
 from weftline.sources import tables as t
@@ -30,8 +31,15 @@ def _lists(spark: SparkSession, d: str) -> DataFrame:
     path = lambda c: F.concat(F.lit("doc/"), F.col(c).cast("string")).alias("file_path")
     v = vector_topk(spark, d).select(F.lit("vector").alias("source"), path("vec_id"), F.col("score").alias("relevance_score"))
     k = keyword_topk(spark, d).select(F.lit("keyword").alias("source"), path("doc_id"), F.col("score").alias("relevance_score"))
-    g = t.table(spark, d, "embeddings").filter("vec_id < 8").select(F.lit("graph").alias("source"), path("vec_id"), (F.lit(0.5) + F.col("vec_id") / 100).alias("relevance_score"))
-    return v.unionByName(k).unionByName(g)
+    return v.unionByName(k).unionByName(_graph_list(spark, d).select(F.lit("graph").alias("source"), path("doc_id"), "relevance_score"))
+
+
+def _graph_list(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, relevance_score: documents up to three steps from the first one in the graph in which each cites five others, a fifth less for each step."""
+    docs = t.table(spark, d, "documents").select("doc_id")
+    cites = docs.select("doc_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k")).select(F.concat(F.lit("D:"), "doc_id").alias("source_id"), F.concat(F.lit("D:"), F.col("doc_id") * 3 + F.col("k")).alias("target_id"))
+    found = g.nearest(cites, spark.createDataFrame([("D:0",)], "id string"), 3).filter("depth > 0")
+    return found.select(F.substring("id", 3, 20).cast("long").alias("doc_id"), (F.lit(1.0) - F.col("depth") / 5).alias("relevance_score"))
 
 
 def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -63,10 +71,14 @@ def heuristic_rerank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
-    """How well the first three words of a passage find the documents that hold it."""
+    """How well the first three words of a passage, in a row, find the documents that hold it."""
     items = t.table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("head"))
     docs = t.table(spark, d, "documents").select(F.col("doc_id").alias("item"), F.col("text").alias("body"))
-    hits = docs.join(small(items, 10_000), F.col("body").contains(F.col("head")))
+    # every three words that follow one another are looked up among the heads
+    words = F.split("body", " ")
+    three = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    places = docs.select("item", F.explode(F.when(F.size(words) >= 3, F.array_distinct(three))).alias("head")).join(small(items.select("head").distinct()), "head")
+    hits = places.join(docs, "item").join(small(items), "head")
     found = hits.select("query", "item", F.expr("row_number() over (partition by query order by instr(body, head), item)").alias("rank"))
     return r.retrieval_metrics(found, hits.filter(F.col("body").contains(F.col("text"))).select("query", "item"))
 
@@ -99,8 +111,10 @@ def session_focus(spark: SparkSession, d: str) -> DataFrame:
 
 
 def focus_boosts(spark: SparkSession, d: str) -> DataFrame:
-    turns = t.table(spark, d, "conversations").filter("conv_id = 1")
-    c = s.focus_symbols(t.table(spark, d, "conversations").filter("conv_id < 20")).groupBy("symbol").agg(F.round(F.count("*") / 20, 4).alias("relevance_score"))
+    """The words of all conversations, by the share of turns that have them, raised by one conversation's focus."""
+    everything = t.table(spark, d, "conversations")
+    turns, n = everything.filter("conv_id = 1"), everything.select("conv_id", "turn").distinct().agg(F.count("*").alias("n"))
+    c = s.focus_symbols(everything).groupBy("symbol").agg(F.count("*").alias("c")).join(F.broadcast(n)).select("symbol", F.round(F.col("c") / F.col("n"), 4).alias("relevance_score"))
     return s.focus_boosts(c, s.focus_symbols(turns), s.focus_symbols(s.last_turns(turns, 3)), s.focus_symbols(s.last_turns(turns, 1)))
 
 
@@ -116,8 +130,9 @@ vt AS (SELECT * FROM v WHERE score >= 0.3 ORDER BY score DESC, vec_id LIMIT 20)"
 _HITS = " + ".join(f"CAST(contains(lower(text), '{w}') AS INT)" for w in WORDS)
 _K = f"""k AS (SELECT doc_id, CAST({_HITS} AS INT) AS hits FROM documents), kt AS (SELECT * FROM k WHERE hits > 0 ORDER BY hits DESC, doc_id LIMIT 20),
 kr AS (SELECT doc_id, hits, CAST(row_number() OVER (ORDER BY hits DESC, doc_id) AS INT) AS position FROM kt), ks AS (SELECT *, round(greatest(0.0, 1 - (position - 1) * CAST(0.1 AS DOUBLE)), 6) AS score FROM kr)"""
-_L = f"""{_V}, {_K}, l AS (SELECT 'vector' AS source, 'doc/' || vec_id AS file_path, score AS relevance_score FROM vt UNION ALL SELECT 'keyword', 'doc/' || doc_id, score FROM ks
-UNION ALL SELECT 'graph', 'doc/' || vec_id, CAST(0.5 AS DOUBLE) + vec_id / 100 FROM embeddings WHERE vec_id < 8),
+_L = f"""RECURSIVE w(id, depth) AS (SELECT 0, 0 UNION SELECT id * 3 + k, depth + 1 FROM w JOIN documents ON doc_id = id, unnest(range(1, 6)) AS u(k) WHERE depth < 3),
+{_V}, {_K}, l AS (SELECT 'vector' AS source, 'doc/' || vec_id AS file_path, score AS relevance_score FROM vt UNION ALL SELECT 'keyword', 'doc/' || doc_id, score FROM ks
+UNION ALL SELECT 'graph', 'doc/' || id, CAST(1 AS DOUBLE) - min(depth) / 5 FROM w WHERE depth > 0 GROUP BY id),
 rk AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY relevance_score DESC, file_path) AS rank FROM l),
 f AS (SELECT file_path, round(sum(CAST(CASE source WHEN 'keyword' THEN 0.3 WHEN 'vector' THEN 0.5 ELSE 0.2 END AS DOUBLE) / (60 + rank)), 9) AS fusion_score,
   coalesce(max(relevance_score) FILTER (source = 'graph'), max(relevance_score) FILTER (source = 'vector'), max(relevance_score) FILTER (source = 'keyword')) AS relevance_score,
@@ -137,7 +152,7 @@ u AS (SELECT *, CAST(sum(tokens) OVER (ORDER BY priority DESC, file_path ROWS UN
     "heuristic_rerank": """WITH c AS (SELECT doc_id, ['ts', 'sh', 'py', 'js'][doc_id % 4 + 1] AS ext, doc_id % 7 / 10 AS base, CASE WHEN doc_id % 3 <> 0 THEN (doc_id * 9000) // 86400 END AS days FROM documents)
 SELECT 'src/f' || doc_id || '.' || ext AS file_path, round(base + CAST(CASE WHEN ext IN ('ts', 'js') THEN 0.3 WHEN ext = 'sh' THEN 0.1 ELSE 0 END AS DOUBLE) + CASE WHEN days IS NULL THEN CAST(0 AS DOUBLE) ELSE round(CAST(0.3 AS DOUBLE) / (1 + days), 3) END + CAST(CASE WHEN doc_id % 5 = 0 THEN 0.4 ELSE 0 END AS DOUBLE), 3) AS rerank_score FROM c""",
     "retrieval_quality": """WITH i AS (SELECT item_id AS query, text, array_to_string(string_split(text, ' ')[1:3], ' ') AS head FROM benchmark),
-h AS (SELECT query, doc_id AS item, contains(d.text, i.text) AS good, row_number() OVER (PARTITION BY query ORDER BY instr(d.text, head), doc_id) AS rank FROM documents d JOIN i ON contains(d.text, head)),
+h AS (SELECT query, doc_id AS item, contains(d.text, i.text) AS good, row_number() OVER (PARTITION BY query ORDER BY instr(d.text, head), doc_id) AS rank FROM documents d JOIN i ON contains(' ' || d.text || ' ', ' ' || head || ' ')),
 w AS (SELECT query, count(*) AS wanted FROM h WHERE good GROUP BY 1), x AS (SELECT query, min(rank) FILTER (good) AS first, count(*) FILTER (good) AS hits, count(*) AS got FROM h WHERE rank <= 10 GROUP BY 1)
 SELECT count(*) AS n_queries, round(avg(coalesce(1 / first, 0)), 6) AS mrr, round(avg(CASE WHEN hits > 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(avg(hits / wanted), 6) AS recall, round(avg(hits / got), 6) AS precision FROM w JOIN x USING (query)""",
     "latency_p95": "SELECT quantile_disc(value, 0.95) AS p FROM events",
@@ -145,7 +160,7 @@ SELECT count(*) AS n_queries, round(avg(coalesce(1 / first, 0)), 6) AS mrr, roun
     "last_turns": "SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2",
     "session_focus": f"""WITH c AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3), f AS ({_FOCUS} c), n AS (SELECT conv_id, symbol, count(*) AS n FROM f GROUP BY ALL)
 SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, symbol) <= 5""",
-    "focus_boosts": f"""WITH f AS ({_FOCUS} (SELECT * FROM conversations WHERE conv_id < 20)), c AS (SELECT symbol, round(count(*) / 20, 4) AS s FROM f GROUP BY 1),
+    "focus_boosts": f"""WITH f AS ({_FOCUS} conversations), c AS (SELECT symbol, round(count(*) / (SELECT count(*) FROM (SELECT DISTINCT conv_id, turn FROM conversations)), 4) AS s FROM f GROUP BY 1),
 o AS (SELECT *, dense_rank() OVER (ORDER BY turn DESC) AS back FROM (SELECT f.symbol, f.turn FROM f WHERE conv_id = 1 UNION ALL SELECT NULL, turn FROM conversations WHERE conv_id = 1)),
 b AS (SELECT symbol, s, least(CAST(CASE WHEN symbol IN (SELECT symbol FROM o WHERE symbol IS NOT NULL) THEN 0.2 ELSE 0 END AS DOUBLE) + CAST(CASE WHEN symbol IN (SELECT symbol FROM o WHERE back <= 3 AND symbol IS NOT NULL) THEN 0.3 ELSE 0 END AS DOUBLE) + CAST(CASE WHEN symbol IN (SELECT symbol FROM o WHERE back = 1 AND symbol IS NOT NULL) THEN 0.5 ELSE 0 END AS DOUBLE), s * 0.5) AS x FROM c)
 SELECT symbol, round(s + x, 6) AS relevance_score, round(x, 6) AS boost FROM b""",

@@ -27,10 +27,10 @@ def read_tree(spark: SparkSession, root: str, most_bytes: int = 1 << 20, pattern
     return raw.select(F.expr("substring_index(path, '/', -1)").alias("name"), F.regexp_replace(path, "^" + top.replace(".", r"\."), "").alias("file"), F.when(F.col("length") < most_bytes, F.decode("content", "utf-8")).alias("text"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
-def changed_files(tree: DataFrame, since: str | None, manifest: DataFrame | None = None, first: int = 100) -> DataFrame:
-    """Files newer than a time, or not in the manifest (file) of an earlier run; never indexed: the first `first` files."""
+def changed_files(tree: DataFrame, since: str | None, manifest: DataFrame | None = None, first: int | None = 100) -> DataFrame:
+    """Files newer than a time, or not in the manifest (file) of an earlier run; never indexed: the first `first` files, or all if None."""
     if since is None:
-        return tree.orderBy("file").limit(first)
+        return tree if first is None else tree.orderBy("file").limit(first)
     newer = tree.filter(F.col("mtime") > F.lit(since).cast("timestamp"))
     if manifest is None:
         return newer
@@ -43,6 +43,19 @@ def is_fresh(tree: DataFrame, index_time: str) -> bool:
     return not tree.filter(F.col("mtime") > F.lit(index_time).cast("timestamp")).limit(1).collect()
 
 
+def staged_files(changes: DataFrame, extensions: list[str] | None = None) -> DataFrame:
+    """file of the staged changes (status, file) that add, copy, modify or rename one, of some extensions; a renamed file's new name."""
+    path = F.element_at(F.split("file", "\t"), -1)
+    own = changes.filter(F.substring("status", 1, 1).isin("A", "C", "M", "R")).select(path.alias("file")).distinct()
+    return own if extensions is None else with_extensions(own, extensions)
+
+
+def read_staged(spark: SparkSession, path: str) -> DataFrame:
+    """status, file of the lines of `git diff --cached --name-status` output."""
+    parts = F.split("value", "\t", 2)
+    return spark.read.text(path).select(F.get(parts, F.lit(0)).alias("status"), F.get(parts, F.lit(1)).alias("file")).filter("file is not null")
+
+
 def with_extensions(files: DataFrame, extensions: list[str]) -> DataFrame:
     return files.filter(F.lower(F.element_at(F.split("file", r"\."), -1)).isin(extensions))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -21,8 +23,8 @@ def record_feedback(rows: DataFrame, path: str) -> None:
     append_json(rows, path)
 
 
-def record_actions(old: DataFrame, new: DataFrame, now: int, days: int = 90, most: int = 10_000) -> DataFrame:
-    """The history with new actions: no older than so many days, the newest `most` of them."""
+def record_actions(old: DataFrame, new: DataFrame, now: int, days: int = 90, most: int | None = 10_000) -> DataFrame:
+    """The history with new actions: no older than so many days, the newest `most` of them (all if None)."""
     return retained(old.unionByName(new.select(*old.columns)), now, days, most)
 
 
@@ -66,18 +68,32 @@ def module_metrics(imports: DataFrame) -> DataFrame:
     return out.join(into, "module", "full_outer").select("module", F.coalesce("coupling_out", F.lit(0)).alias("coupling_out"), F.coalesce("coupling_in", F.lit(0)).alias("coupling_in"))
 
 
-def to_json(rows: DataFrame, order: list[str], most: int = 1000) -> str:
-    """A report's rows as a JSON array, the first `most` in an order."""
-    return "[" + ",".join(r[0] for r in rows.orderBy(*order).limit(most).select(F.to_json(F.struct("*"))).collect()) + "]"
+def _first(rows: DataFrame, order: list[str], most: int | None) -> list:
+    """The first `most` rows in an order, or all if None; warns if there are more."""
+    ordered = rows.orderBy(*order)
+    got = (ordered if most is None else ordered.limit(most + 1)).collect()
+    if most is not None and len(got) > most:
+        warnings.warn(f"the report has the first {most} rows only", stacklevel=3)
+    return got[:most]
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """A report's rows as JSON lines below a folder, of any number."""
+    rows.write.mode("overwrite").json(path)
+
+
+def to_json(rows: DataFrame, order: list[str], most: int | None = 1000) -> str:
+    """A report's rows as a JSON array, for a person: the first `most` in an order (all if None); write_json() for many."""
+    return "[" + ",".join(r["_j"] for r in _first(rows.select(F.to_json(F.struct("*")).alias("_j"), *order), order, most)) + "]"
 
 
-def to_markdown(rows: DataFrame, order: list[str], most: int = 100) -> str:
-    """A report's rows as a markdown table."""
-    cells = [[("" if v is None else str(v)).replace("|", "\\|") for v in r] for r in rows.orderBy(*order).limit(most).collect()]
+def to_markdown(rows: DataFrame, order: list[str], most: int | None = 100) -> str:
+    """A report's rows as a markdown table, the first `most` (all if None)."""
+    cells = [[("" if v is None else str(v)).replace("|", "\\|") for v in r] for r in _first(rows, order, most)]
     line = lambda c: "| " + " | ".join(c) + " |"
     return "\n".join([line(rows.columns), line(["---"] * len(rows.columns)), *map(line, cells)])
 
 
-def to_text(rows: DataFrame, order: list[str], most: int = 100) -> str:
-    """A report's rows as `name: value` lines."""
-    return "\n".join(", ".join(f"{k}: {v}" for k, v in r.asDict().items()) for r in rows.orderBy(*order).limit(most).collect())
+def to_text(rows: DataFrame, order: list[str], most: int | None = 100) -> str:
+    """A report's rows as `name: value` lines, the first `most` (all if None)."""
+    return "\n".join(", ".join(f"{k}: {v}" for k, v in r.asDict().items()) for r in _first(rows, order, most))
