@@ -95,23 +95,30 @@ def summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarr
     return keys[first], n.astype(np.int64)
 
 
+def _planes(column: np.ndarray) -> tuple[int, bytes]:
+    """(bytes a number, the numbers by byte plane) of non-negative integers, with no more planes than the largest needs."""
+    width = next(w for w in (1, 2, 4, 8) if not len(column) or w == 8 or int(column.max()) < 1 << 8 * w)
+    c = np.asarray(column).astype(f"<u{width}")
+    return width, c.view(np.uint8).reshape(len(c), width).T.tobytes()
+
+
 def packed(keys: np.ndarray, *columns: np.ndarray) -> bytes:
-    """Sorted keys and columns of small numbers as one compressed block: differences, by byte plane."""
+    """Sorted keys and columns of numbers below 2**64 as one compressed block: differences, by byte plane."""
     import zstandard
 
-    planes = [np.diff(keys, prepend=np.uint64(0)).astype("<u8")] + [np.asarray(c).astype("<u4") for c in columns]
-    data = b"".join(p.view(np.uint8).reshape(len(p), -1).T.tobytes() for p in planes)
-    return len(keys).to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(data)
+    planes = [_planes(np.diff(keys, prepend=np.uint64(0))), *map(_planes, columns)]
+    return len(keys).to_bytes(8, "little") + bytes(w for w, _ in planes) + zstandard.ZstdCompressor(level=1).compress(b"".join(p for _, p in planes))
 
 
 def unpacked(block: bytes, columns: int) -> list[np.ndarray]:
     import zstandard
 
-    n = int.from_bytes(block[:8], "little")
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(block[8:], max_output_size=n * (8 + 4 * columns)), np.uint8)
-    keys = np.cumsum(np.ascontiguousarray(data[: 8 * n].reshape(8, n).T).view("<u8").ravel(), dtype=np.uint64)
-    rest = [np.ascontiguousarray(data[n * (8 + 4 * i) : n * (12 + 4 * i)].reshape(4, n).T).view("<u4").ravel().astype(np.int64) for i in range(columns)]
-    return [keys, *rest]
+    n, widths, at = int.from_bytes(block[:8], "little"), block[8 : 9 + columns], 0
+    data, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(block[9 + columns :], max_output_size=n * sum(widths)), np.uint8), []
+    for w in widths:
+        out.append(np.ascontiguousarray(data[at : at + n * w].reshape(w, n).T).view(f"<u{w}").ravel())
+        at += n * w
+    return [np.cumsum(out[0], dtype=np.uint64), *(c.astype(np.int64) for c in out[1:])]
 
 
 def blocks(bucket: np.ndarray, buckets: int, keys: np.ndarray, *columns: np.ndarray, kind: int = 0) -> Iterator[pa.RecordBatch]:

@@ -3,9 +3,10 @@
 Words are hashed to 64 bits with numpy over whole batches. Counting takes a shuffle of compact blocks for words (by range of hash)
 and one for each order, each counted within its task first: n-grams of the highest order (by hash of the n-gram, so that no word
 gathers in one task), what they say of the n-grams one word shorter, and so on down to single words (by range of word number).
-Each group writes a file of sorted arrays to the shared folder; a word's number is its place among the sorted hashes of all files.
-Pairs have their two numbers as key, longer n-grams a 64-bit hash of theirs. Scoring tasks map the files and look up sorted runs
-of queries.
+Each group writes a file of sorted arrays to the shared folder. Frequent words get small numbers (by the logarithm of their counts,
+then by hash), so that blocks of n-grams pack well. An n-gram's key in its file is 48 bits of a hash besides those that choose the
+file: an n-gram that wasn't seen is taken for another one by a chance of about a file's n-grams (a million) in 2**48. Scoring tasks
+map the files and look up runs of queries.
 """
 
 from __future__ import annotations
@@ -25,6 +26,10 @@ from weftline.llm.shared import map_array, put_bytes, released, shared_dir, smal
 WORD_FILE_BYTES, GRAM_FILE_TOKENS = 64 << 20, 2_000_000
 #: Keys that a counting task holds before it hands them on.
 HELD = 3_000_000
+#: Files of words at most have 2**MOST_WORD_BITS; words are numbered by LEVELS classes of counts, frequent ones first.
+MOST_WORD_BITS, LEVELS = 18, 16
+#: Bits of a key that index a file of n-grams, and that are stored for each n-gram.
+INDEX_BITS, KEY_BITS = 16, 48
 #: Distinct words must be numbered in 32 bits.
 MOST_WORDS = (1 << 32) - 2
 
@@ -49,24 +54,39 @@ def gram_key(columns: list[np.ndarray]) -> np.ndarray:
 
 
 def summed_grams(columns: list[np.ndarray], values: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Distinct n-grams in order, and the sums of each one's values (its number if None)."""
-    if len(columns) == 1 and (values is None or len(values) == 1):
-        key, n = summed(columns[0], values and values[0])
-        return [key], [n]
-    if not len(columns[0]):
-        return list(columns), [np.empty(0, np.int64) for _ in values or [0]]
-    order = np.lexsort(columns[::-1])
-    columns = [c[order] for c in columns]
-    first = np.flatnonzero(changes(columns))
+    """Distinct n-grams in order, and the sums of each one's values (its number if None).
+
+    Columns are folded into one key from left to right: the rank of what stands before, and the next word.
+    """
+    key, levels, place = columns[0], [], None
+    for c in columns[1:]:
+        order = np.argsort(key)
+        place = order if place is None else place[order]
+        key = key[order]
+        new = changes([key])
+        levels.append(key[new])
+        key = (np.cumsum(new) - 1).astype(np.uint64) << np.uint64(32) | c[place].astype(np.uint64)
     if values is None:
-        return [c[first] for c in columns], [np.diff(np.append(first, len(order)))]
-    return [c[first] for c in columns], [np.add.reduceat(v[order], first) for v in values]
+        key = np.sort(key)
+    else:
+        order = np.argsort(key)
+        place, key = order if place is None else place[order], key[order]
+    first = np.flatnonzero(changes([key])) if len(key) else np.empty(0, np.int64)
+    left, out = key[first], []
+    for level in reversed(levels):
+        out.insert(0, left & np.uint64(0xFFFFFFFF))
+        left = level[(left >> np.uint64(32)).astype(np.int64)]
+    sums = [np.diff(np.append(first, len(key)))] if values is None else [np.add.reduceat(v[place], first) if len(first) else np.empty(0, np.int64) for v in values]
+    return [left, *out], sums
 
 
 def changes(columns: list[np.ndarray]) -> np.ndarray:
     """Where a row differs from the one before."""
     out = np.ones(len(columns[0]), bool)
-    out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    if len(columns) == 1:
+        np.not_equal(columns[0][1:], columns[0][:-1], out=out[1:])
+    else:
+        out[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
     return out
 
 
@@ -102,36 +122,125 @@ def _bits(n: float) -> int:
     return max(3, math.ceil(math.log2(max(n, 1))))
 
 
+def level_of(counts: np.ndarray) -> np.ndarray:
+    """The class of a word's count: 0 for the most frequent words, LEVELS - 1 for those seen once."""
+    return LEVELS - 1 - np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64), LEVELS - 1)
+
+
+def with_large(columns: list[np.ndarray]) -> list[bytes]:
+    """Columns of numbers, a byte each, and the numbers from 255 on with their places."""
+    small, large = [], []
+    for c in columns:
+        i = np.flatnonzero(c >= 255)
+        small.append(np.minimum(c, 255).astype("u1").tobytes())
+        large.append(np.concatenate([[len(i)], i, c[i]]).astype("<u8").tobytes())
+    return [*small, *large]
+
+
+def taken(column: np.ndarray, large: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """The numbers at places i of a column of with_large()."""
+    v = column[i].astype(np.int64)
+    if (wide := v == 255).any():
+        n = int(large[0])
+        v[wide] = large[1 + n : 1 + 2 * n][np.searchsorted(large[1 : 1 + n], i[wide].astype(np.uint64))]
+    return v
+
+
+def coded(values: list[np.ndarray]) -> list[bytes]:
+    """Rows of numbers as a byte each: the place of the row in a table of the 255 most frequent rows of small numbers, or 255 for the
+    others, which follow with their places."""
+    bits = 16 if len(values) == 1 else 20 // len(values)
+    key, fits = np.zeros(len(values[0]), np.int64), np.ones(len(values[0]), bool)
+    for k, v in enumerate(values):
+        key |= np.minimum(v, (1 << bits) - 1) << k * bits
+        fits &= v < 1 << bits
+    found, n = np.unique(key[fits], return_counts=True)
+    common = np.sort(found[np.argsort(-n, kind="stable")[:255]])
+    at = np.searchsorted(common, key).clip(max=max(0, len(common) - 1))
+    known = fits & (common[at] == key) if len(common) else np.zeros(len(key), bool)
+    code = np.where(known, at, 255).astype("u1")
+    rest = np.flatnonzero(~known)
+    table = np.zeros((len(values), 256), np.int64)
+    for k in range(len(values)):
+        table[k, : len(common)] = common >> k * bits & (1 << bits) - 1
+    width = 8 if len(rest) and max(int(v[rest].max()) for v in values) >= 1 << 32 else 4
+    return [code.tobytes(), table.astype("<i8").tobytes(), np.array([len(rest), width], "<u8").tobytes(), rest.astype("<u4").tobytes(), *(v[rest].astype(f"<u{width}").tobytes() for v in values)]
+
+
+class Grams:
+    """A file of n-grams, open for reading: an index by the first bits of the keys, the other bits of each, and coded values."""
+
+    def __init__(self, raw: np.ndarray, width: int):
+        self.n, at = int(raw[:8].view("<u8")[0]), 8
+        if not self.n:
+            return
+        size = 4 * ((1 << INDEX_BITS) + 1)
+        self.index, at = raw[at : at + size].view("<u4"), at + size
+        self.low, at = raw[at : at + 4 * self.n].view("<u4"), at + 4 * self.n
+        self.code, at = raw[at : at + self.n], at + self.n
+        self.table, at = np.frombuffer(raw[at : at + 8 * 256 * width].tobytes(), "<i8").reshape(width, 256), at + 8 * 256 * width
+        rest, wide = np.frombuffer(raw[at : at + 16].tobytes(), "<u8").tolist()
+        at += 16
+        self.places, at = np.frombuffer(raw[at : at + 4 * rest].tobytes(), "<u4"), at + 4 * rest
+        self.wide = np.frombuffer(raw[at : at + wide * rest * width].tobytes(), f"<u{wide}").reshape(width, rest)
+
+    @staticmethod
+    def content(keys: np.ndarray, values: list[np.ndarray]) -> list[bytes]:
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        index = np.searchsorted(keys, np.arange((1 << INDEX_BITS) + 1, dtype=np.uint64) << np.uint64(KEY_BITS - INDEX_BITS))
+        return [len(keys).to_bytes(8, "little"), index.astype("<u4").tobytes(), (keys & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), *coded([v[order] for v in values])]
+
+    def values(self, keys: np.ndarray) -> np.ndarray:
+        """The values of each key, a row for each number; zeros for unseen ones."""
+        if not self.n:
+            return np.zeros((1, len(keys)), np.int64)
+        first, q = (keys >> np.uint64(KEY_BITS - INDEX_BITS)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        lo, hi = self.index[first].astype(np.int64), self.index[first + 1].astype(np.int64)
+        stop = hi.copy()
+        while (open_ := lo < hi).any():
+            mid = (lo + hi) >> 1
+            less = open_ & (self.low[np.minimum(mid, self.n - 1)] < q)
+            lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
+        at = np.minimum(lo, self.n - 1)
+        hit = (lo < stop) & (self.low[at] == q)
+        code = self.code[at]
+        out = self.table[:, code]
+        out[:, ~hit] = 0
+        if (rare := hit & (code == 255)).any():
+            out[:, rare] = self.wide[:, np.searchsorted(self.places, at[rare].astype(np.uint32))]
+        return out
+
+
 class Model:
     """A model's place and numbers; opens its files where it is used."""
 
-    def __init__(self, path: str, word_bits: int, offsets: list[int], tokens: int, order: int = 2):
-        self.path, self.word_bits, self.offsets, self.tokens = path, word_bits, offsets, tokens
-        self.words, self.order = offsets[-1], order
-        self.gram_bits, self.range_size, self.pair_types = 3, 1, 0
+    def __init__(self, path: str, word_bits: int, bases: np.ndarray, words: int, tokens: int, order: int = 2):
+        self.path, self.word_bits, self.bases, self.tokens = path, word_bits, bases, tokens
+        self.words, self.order = words, order
+        self.gram_bits, self.ranges, self.pair_types = 3, 1, 0
         self.discounts: dict[int, list[float]] = {}
         self.seen_once_to_more: dict[int, int] = {}  # words by how many different words came before: 1, 2, 3 or more
-        self._open: dict[str, tuple] = {}
+        self._open: dict[str, object] = {}
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_open": {}}
 
-    def _file(self, name: str, *kinds: str) -> list[np.ndarray]:
-        """The arrays of a file; empty ones if there is none."""
-        got = self._open.get(name)
+    def _raw(self, name: str) -> np.ndarray:
+        """A file's bytes; those of an empty one if there is none."""
+        try:
+            raw = np.asarray(map_array(f"{self.path}/{name}", np.uint8))
+        except FileNotFoundError:
+            raw = np.empty(0, np.uint8)
+        return raw if len(raw) else np.zeros(8, np.uint8)
+
+    def _words(self, b: int) -> tuple:
+        """(hashes, ranks, counts, large counts) of a file of words."""
+        got = self._open.get(f"words-{b}")
         if got is None:
-            try:
-                raw = map_array(f"{self.path}/{name}", np.uint8)
-            except FileNotFoundError:
-                raw = np.empty(0, np.uint8)
-            got, at = [], 8
-            n = int(raw[:8].view("<u8")[0]) if len(raw) else 0
-            for k in kinds:
-                size = n * np.dtype(k).itemsize
-                got.append(raw[at : at + size].view(k))
-                at += size
-            got.append(raw[at:])
-            self._open[name] = got
+            raw = self._raw(f"words-{b}")
+            n = int(raw[:8].view("<u8")[0])
+            got = self._open[f"words-{b}"] = (raw[8 : 8 + 8 * n].view("<u8"), raw[8 + 8 * n : 8 + 12 * n].view("<u4"), raw[8 + 12 * n : 8 + 13 * n], np.frombuffer(raw[8 + 13 * n :].tobytes(), "<u8"))
         return got
 
     def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,13 +249,13 @@ class Model:
         bucket = (hashes >> np.uint64(64 - self.word_bits)).astype(np.int64)
         edges = np.searchsorted(bucket, np.arange((1 << self.word_bits) + 1))
         for b in np.flatnonzero(np.diff(edges)).tolist():
-            keys, counts, _ = self._file(f"words-{b}", "<u8", "<u4")
+            keys, ranks, counts, large = self._words(b)
             if len(keys):
-                q = hashes[edges[b] : edges[b + 1]]
-                i = np.minimum(np.searchsorted(keys, q), len(keys) - 1)
-                hit = keys[i] == q
-                number[edges[b] : edges[b + 1]] = np.where(hit, i + self.offsets[b], -1)
-                count[edges[b] : edges[b + 1]] = np.where(hit, counts[i], 0)
+                own = slice(edges[b], edges[b + 1])
+                i = np.minimum(np.searchsorted(keys, hashes[own]), len(keys) - 1)
+                hit, n = keys[i] == hashes[own], taken(counts, large, i)
+                number[own] = np.where(hit, self.bases[b, level_of(n)] + ranks[i], -1)
+                count[own] = np.where(hit, n, 0)
         return number, count
 
     def token_numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,60 +264,57 @@ class Model:
         number, count = self.numbers(distinct)
         return number[back], count[back]
 
+    def _hashed(self, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(file, key in it) of n-grams."""
+        h = mix(gram_key(columns))
+        return (h >> np.uint64(64 - self.gram_bits)).astype(np.int64), (h << np.uint64(self.gram_bits)) >> np.uint64(64 - KEY_BITS)
+
     def gram_bucket(self, *columns: np.ndarray) -> np.ndarray:
-        return (mix(gram_key(columns)) >> np.uint64(64 - self.gram_bits)).astype(np.int64)
+        return self._hashed(*columns)[0]
 
     def gram_width(self, k: int) -> int:
         """Numbers kept of an n-gram of k words: its count, and below the highest order what follows it (total, n1, n2, n3+)."""
         return 1 if k == self.order else 5
 
     def put_grams(self, k: int, b: int, columns: list[np.ndarray], values: list[np.ndarray]) -> None:
-        """Write a file of n-grams: sorted keys, each value in a byte, and the values from 255 on with their places."""
-        key = gram_key(columns)
-        order = np.argsort(key)
-        small, large = [], []
-        for v in values:
-            v = v[order]
-            i = np.flatnonzero(v >= 255)
-            small.append(np.minimum(v, 255).astype("u1").tobytes())
-            large.append(np.concatenate([[len(i)], i, v[i]]).astype("<u4").tobytes())
-        put_bytes(f"{self.path}/grams-{k}-{b}", [len(key).to_bytes(8, "little"), key[order].astype("<u8").tobytes(), *small, *large])
+        put_bytes(f"{self.path}/grams-{k}-{b}", Grams.content(self._hashed(*columns)[1], values))
 
     def gram_values(self, k: int, columns: list[np.ndarray]) -> np.ndarray:
         """The numbers kept of each n-gram of k words, a row for each number; zeros for unseen ones."""
-        keys, back = np.unique(gram_key(columns), return_inverse=True)
-        width = self.gram_width(k)
-        out = np.zeros((width, len(keys)), np.int64)
-        bucket = (mix(keys) >> np.uint64(64 - self.gram_bits)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.searchsorted(bucket[order], np.arange((1 << self.gram_bits) + 1))
+        bucket, keys = self._hashed(*columns)
+        # in order of file and key, as the files are
+        order = np.argsort(mix(gram_key(columns)))
+        bucket, keys = bucket[order], keys[order]
+        out = np.zeros((self.gram_width(k), len(keys)), np.int64)
+        edges = np.searchsorted(bucket, np.arange((1 << self.gram_bits) + 1))
         for b in np.flatnonzero(np.diff(edges)).tolist():
-            known, *small, rest = self._file(f"grams-{k}-{b}", "<u8", *["u1"] * width)
-            if len(known):
-                at = order[edges[b] : edges[b + 1]]
-                q = keys[at]
-                i = np.minimum(np.searchsorted(known, q), len(known) - 1)
-                hit, wide, lo = known[i] == q, rest.view("<u4"), 0
-                for row, column in zip(out, small, strict=True):
-                    size = int(wide[lo])
-                    v = np.where(hit, column[i], 0).astype(np.int64)
-                    if (large := v == 255).any():
-                        v[large] = wide[lo + 1 + size : lo + 1 + 2 * size][np.searchsorted(wide[lo + 1 : lo + 1 + size], i[large])]
-                    row[at] = v
-                    lo += 1 + 2 * size
-        return out[:, back]
+            name = f"grams-{k}-{b}"
+            if name not in self._open:
+                self._open[name] = Grams(self._raw(name), self.gram_width(k))
+            out[:, order[edges[b] : edges[b + 1]]] = self._open[name].values(keys[edges[b] : edges[b + 1]])
+        return out
+
 
     def word_stats(self, number: np.ndarray) -> np.ndarray:
-        """Per word number (the last is the start of a text): total, n1, n2, n3+ as first of a pair, and words before it; sorted numbers."""
+        """Per word number (the last is the start of a text): total, n1, n2, n3+ as first of a pair, and words before it."""
         out = np.zeros((5, len(number)), np.int64)
-        part = number // self.range_size
+        part = number % self.ranges
         for r in np.unique(part).tolist():
-            lo, hi = np.searchsorted(part, [r, r + 1])
-            columns = self._file(f"stats-{r}", *["<u4"] * 5)[:5]
-            if len(columns[0]):
-                i = number[lo:hi] - r * self.range_size
-                for row, c in zip(out, columns, strict=True):
-                    row[lo:hi] = c[i]
+            own = np.flatnonzero(part == r)
+            name = f"stats-{r}"
+            if name not in self._open:
+                raw = self._raw(name)
+                n = int(raw[:8].view("<u8")[0])
+                large, columns = np.frombuffer(raw[8 + 5 * n :].tobytes(), "<u8"), []
+                for c in range(5):
+                    size = int(large[0]) if len(large) else 0
+                    columns.append((raw[8 + c * n : 8 + (c + 1) * n], large[: 1 + 2 * size]))
+                    large = large[1 + 2 * size :]
+                self._open[name] = n, columns
+            n, columns = self._open[name]
+            if n:
+                for row, (c, large) in zip(out, columns, strict=True):
+                    row[own] = taken(c, large, number[own] // self.ranges)
         return out
 
 
@@ -246,7 +352,7 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(text).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = _bits(size / WORD_FILE_BYTES)
+    bits = min(MOST_WORD_BITS, _bits(size / WORD_FILE_BYTES))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(lambda k: (k >> np.uint64(64 - bits)).astype(np.int64), 1 << bits)
@@ -258,20 +364,26 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
     def write_words(group: pa.Table) -> pa.Table:
         b, parts = group["bucket"][0].as_py(), [unpacked(x.as_py(), 1) for x in group["block"]]
         keys, n = summed(*(np.concatenate(c) for c in zip(*parts, strict=True)))
-        put_bytes(f"{path}/words-{b}", [len(keys).to_bytes(8, "little"), keys.astype("<u8").tobytes(), n.astype("<u4").tobytes()])
-        return _one(b, len(keys), int(n.sum()))
-
-    made = rows.mapInArrow(released(words), BLOCKS).groupBy("bucket").applyInArrow(write_words, "b int, x0 long, x1 long").collect()
-    size_of = {x["b"]: x["x0"] for x in made}  # a row for each file
-    offsets = np.concatenate([[0], np.cumsum([size_of.get(b, 0) for b in range(1 << bits)])]).tolist()
-    model = Model(path, bits, offsets, sum(x["x1"] for x in made), order)
+        level = level_of(n)
+        each = np.bincount(level, minlength=LEVELS)
+        ranks, order = np.empty(len(n), np.int64), np.argsort(level, kind="stable")
+        ranks[order] = np.arange(len(n)) - np.repeat(np.cumsum(each) - each, each)
+        put_bytes(f"{path}/words-{b}", [len(keys).to_bytes(8, "little"), keys.astype("<u8").tobytes(), ranks.astype("<u4").tobytes(), *with_large([n])])
+        return pa.table({"b": pa.array([b], pa.int32()), "n": pa.array([int(n.sum())], pa.int64()), "each": pa.array([each.tolist()], pa.list_(pa.int64()))})
+
+    made = rows.mapInArrow(released(words), BLOCKS).groupBy("bucket").applyInArrow(write_words, "b int, n long, each array<long>").collect()
+    each = np.zeros((1 << bits, LEVELS), np.int64)  # a row for each file, of which there are 2**MOST_WORD_BITS at most
+    for x in made:
+        each[x["b"]] = x["each"]
+    upto = np.cumsum(each.T.ravel())  # level by level, and in a level file by file
+    bases = (upto - each.T.ravel()).reshape(LEVELS, 1 << bits).T.copy()
+    model = Model(path, bits, bases, int(upto[-1]), sum(x["n"] for x in made), order)
     if model.words > MOST_WORDS:
         raise ValueError("too many distinct words to number in 32 bits")
     if not model.tokens:
         return model
     model.gram_bits = _bits(model.tokens / GRAM_FILE_TOKENS)
-    ranges = 1 << max(0, model.gram_bits - 2)
-    model.range_size = -(-(model.words + 1) // ranges)
+    model.ranges = ranges = 1 << max(0, model.gram_bits - 2)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +400,7 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
 
         def sent_on(columns: list[np.ndarray], *values: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
             if k == 2:
-                return blocks((columns[0] // np.uint64(model.range_size)).astype(np.int64), ranges, *columns, *values, kind=kind)
+                return blocks((columns[0] % np.uint64(ranges)).astype(np.int64), ranges, *columns, *values, kind=kind)
             return blocks(model.gram_bucket(*columns), 1 << model.gram_bits, *columns, *values, kind=kind)
 
         def write(group: pa.Table) -> pa.Table:
@@ -319,14 +431,14 @@ def train(docs: DataFrame, text: str = "text", order: int = 2) -> Model:
         r = group["bucket"][0].as_py()
         if r < 0:
             return pa.concat_tables([_one(-k, *unpacked(x.as_py(), 1)[1].tolist(), 0) for k, x in zip(group["kind"].to_pylist(), group["block"], strict=True)])
-        size = min(model.range_size, model.words + 1 - r * model.range_size)
+        size = (model.words - r) // ranges + 1
         columns = np.zeros((5, size), np.int64)
         for kind, block in zip(group["kind"].to_pylist(), group["block"], strict=True):
             keys, *got = unpacked(block.as_py(), 4 if kind else 1)
-            i = keys.astype(np.int64) - r * model.range_size
+            i = keys.astype(np.int64) // ranges
             for row, x in zip(columns[:4] if kind else columns[4:], got, strict=True):
                 row[i] += x  # a block has each word once
-        put_bytes(f"{path}/stats-{r}", [size.to_bytes(8, "little"), columns.astype("<u4").tobytes()])
+        put_bytes(f"{path}/stats-{r}", [size.to_bytes(8, "little"), *with_large(list(columns))])
         return _one(r, *np.bincount(np.minimum(columns[4], 5), minlength=6)[1:5].tolist(), int(columns[4].sum()))
 
     found = rows.mapInArrow(released(grams), BLOCKS)
