@@ -188,7 +188,8 @@ class Store:
     def _write(self, state: dict, name: str, parts: list[str], rows: DataFrame) -> dict:
         """The state in which these parts of a table have these rows."""
         version = uuid.uuid4().hex[:12]
-        rows.withColumn("_part", _part()).write.partitionBy("_part").parquet(f"{self.path}/{version}/{name}")
+        # the planner deals the rows by part, splits large parts over tasks and joins small ones
+        rows.withColumn("_part", _part()).hint("rebalance", "_part").write.partitionBy("_part").parquet(f"{self.path}/{version}/{name}")
         folder = self._at(f"{version}/{name}")
         full = {str(x.getPath().getName()).partition("=")[2] for x in self._fs.listStatus(folder) if x.isDirectory()}
         kept = {k: v for k, v in state[name].items() if k not in parts}

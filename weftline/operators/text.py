@@ -382,6 +382,23 @@ def _skeleton(text: str, python: bool, keep: int) -> tuple[str, int, int]:
     return "\n".join(out), len(rows), len(out)
 
 
+def concatenated(files: DataFrame, budget: int) -> DataFrame:
+    """The files, in order of their names, whose lines with text fit a budget of such lines: file, tokens, used (with those before),
+    text, truncated. The file in which the budget ends is cut behind the line where it does.
+
+    A file without text takes no place. Every other one has a line at least, so that no more than `budget` files are ranked.
+    """
+    ln = F.split("text", "\n")
+    full = lambda x: x.rlike(r"\S")
+    own = files.select("file", "text", F.size(F.filter(ln, full)).cast("long").alias("tokens")).filter("tokens > 0").orderBy("file").limit(max(budget, 0))
+    own = own.withColumn("used", F.sum("tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("used") - F.col("tokens") < budget)
+    left = (F.lit(budget) - F.col("used") + F.col("tokens")).cast("int")
+    # the place of the last line that fits: that of the left-th line with text
+    last = F.get(F.filter(F.transform(ln, lambda x, i: F.when(full(x), i)), lambda i: i.isNotNull()), left - 1)
+    cut = F.col("used") > budget
+    return own.select("file", "tokens", "used", F.when(cut, F.array_join(F.slice(ln, F.lit(1), last + 1), "\n")).otherwise(F.col("text")).alias("text"), cut.alias("truncated"))
+
+
 def signatures(files: DataFrame) -> DataFrame:
     """file, line_no, name, signature (one line) of functions, methods and constructors."""
     rx = r"^\s*(?:export\s+)?(?:default\s+)?(?:public\s+|private\s+|protected\s+|static\s+|async\s+)*(?:function\s+|def\s+)?([A-Za-z_$][\w$]*)\s*\([^)]*\)(?:\s*(?::\s*[^{=;]+)?\s*[{:]|\s*:\s*[^{=;]+;)\s*$"

@@ -117,6 +117,28 @@ def latest_requests(requests: DataFrame) -> DataFrame:
     return requests.groupBy("slot").applyInPandasWithState(run, "slot string, id string, status string", "id string, ts_ms long", "append", GroupStateTimeout.NoTimeout)
 
 
+def bounded_requests(requests: DataFrame, waiting: int = 10) -> DataFrame:
+    """A stream of requests (slot, id, ts_ms, cost_ms) for slots that serve one at a time: slot, id, status, start_ms.
+
+    A request waits for those before it, and is refused as busy (with no start) when `waiting` others wait already.
+    """
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ends = [int(t) for t in state.get[0]] if state.exists else []  # of the one that is served, and of those that wait
+        rows, out = pd.concat(list(batches)).sort_values(["ts_ms", "id"]), []
+        for row in rows.itertuples():
+            ends = [t for t in ends if t > row.ts_ms]
+            if len(ends) > waiting:
+                out.append((key[0], row.id, "busy", None))
+                continue
+            begin = max([row.ts_ms, *ends])
+            ends.append(int(begin + row.cost_ms))
+            out.append((key[0], row.id, "accepted", int(begin)))
+        state.update((ends,))
+        yield pd.DataFrame(out, columns=["slot", "id", "status", "start_ms"]).astype({"start_ms": "Int64"})
+
+    return requests.groupBy("slot").applyInPandasWithState(run, "slot string, id string, status string, start_ms long", "ends array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
 def conversation_state(turns: DataFrame, window: int = 10) -> DataFrame:
     """A stream of turns (conv_id, turn, text) as the last turns of each conversation: conv_id, n_turns, first_turn, last_turn."""
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
