@@ -2,12 +2,12 @@ import os
 
 import pytest
 
-TOKENIZERS = os.environ.get("WEFTLINE_TOKENIZERS", "/opt/tokenizers")
+from weftline.llm.queries import tokenizer_path
 
 
 @pytest.fixture(scope="session")
 def piece_model():
-    path = f"{TOKENIZERS}/piece_bpe_32k.model"
+    path = tokenizer_path("piece_bpe_32k.model")
     if not os.path.exists(path):
         pytest.skip("no vocabulary file")
     with open(path, "rb") as f:
@@ -16,7 +16,7 @@ def piece_model():
 
 @pytest.fixture(scope="session")
 def word_bpe():
-    path = f"{TOKENIZERS}/word_bpe_49k.json"
+    path = tokenizer_path("word_bpe_49k.json")
     if not os.path.exists(path):
         pytest.skip("no vocabulary file")
     with open(path, encoding="utf-8") as f:

@@ -52,8 +52,10 @@ def test_words_equal_whole_texts(word_bpe, text):
 def test_round_trip(spark, documents, word_bpe):
     _, library = tokenizer(word_bpe)
     rows = [*ODD, (-5, "negative id"), (1 << 40, "large id")]
-    got = m.encode_round_trip(documents(*rows).withColumn("start", F.lit("clash")), word_bpe).orderBy("start").collect()
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    docs = documents(*rows).withColumn("start", F.lit("clash")).withColumn("tie", F.lit(1))
+    got = m.encode_round_trip(docs, word_bpe).orderBy("start").collect()
+    tie = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, tie[r[1]]))
     start = 0
     for r, (i, t) in zip(got, order, strict=True):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
@@ -72,3 +74,27 @@ def test_select_reads_one_document(spark, documents, word_bpe, tmp_path):
             assert shard.tokens(i).tolist() == [*library.encode(f"text number {d}", add_special_tokens=False).ids, 1]
             at += 1
     assert at == 50
+
+
+def test_too_narrow_ids_are_refused(documents, word_bpe, tmp_path):
+    with pytest.raises(ValueError, match="can't hold"):
+        m.write_tokens(documents((1, "x")), f"file://{tmp_path}", word_bpe, end_id=1 << 16, width=2)
+    with pytest.raises(ValueError, match="can't hold"):
+        m.write_tokens(documents((1, "x")), f"file://{tmp_path}", word_bpe, width=1)
+
+
+def test_other_tokenizers_get_whole_texts(word_bpe):
+    """One that merges over white space is not encoded word by word."""
+    from tokenizers import models
+
+    merging = Tokenizer(models.BPE({"a": 0, " ": 1, "b": 2, "a ": 3, "a b": 4}, [("a", " "), ("a ", "b")]))
+    own = m.WordEncoder(merging.to_str(), 9)
+    ids, n = own.encode(["a b", "ab", None, ""])
+    assert ids.tolist() == [4, 9, 0, 2, 9, 9, 9] and n.tolist() == [2, 3, 1, 1]
+
+
+def test_equal_ids_are_split(spark, documents, word_bpe, tmp_path):
+    """Rows without an id, or with one, are no single partition."""
+    docs = documents(*((None if k % 2 else 7, f"text {k}") for k in range(2000)))
+    parts = {r["part"] for r in m.write_tokens(docs, f"file://{tmp_path}", word_bpe).collect()}
+    assert len(parts) == int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -28,7 +28,7 @@ ROWS = [(1, "http://a/", LONG), (2, "http://b/\r\nX: y", LONG), (3, None, None),
 
 
 def test_round_trip(spark):
-    got = m.archive_round_trip(spark.createDataFrame(ROWS, SCHEMA).withColumn("sha1", F.lit("clash")).drop("sha1")).drop("url")
+    got = m.archive_round_trip(spark.createDataFrame(ROWS, SCHEMA).withColumns({c: F.lit("clash") for c in ("sha1", "_key", "kept", "refers_to", "bundle")})).drop("url")
     assert sorted((tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in got.collect()), key=repr) == expected(ROWS)
     assert m.archive_round_trip(spark.createDataFrame(ROWS, SCHEMA).limit(0)).count() == 0
 
@@ -61,3 +61,10 @@ def test_damage_is_noticed(spark, tmp_path):
     with pytest.raises(Exception, match="differs from its digest"):
         m.read_warc(bad).collect()
     assert m.read_warc(index).count() == 1
+
+
+def test_a_repeated_task_has_bundles_of_its_own(spark, tmp_path):
+    rows = spark.createDataFrame(ROWS, SCHEMA).coalesce(1)
+    first, second = (m.write_warc(rows, f"file://{tmp_path}") for _ in range(2))
+    assert {r["bundle"] for r in first.collect()}.isdisjoint({r["bundle"] for r in second.collect()})
+    assert m.read_warc(first).count() == m.read_warc(second).count() == len(ROWS)

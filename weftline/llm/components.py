@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import cut
+from weftline.llm.shared import cut, drop_cut
 
 #: The rounds grow with the logarithm of the number of nodes; this is far beyond.
 MOST_ROUNDS = 200
@@ -15,7 +15,7 @@ MOST_ROUNDS = 200
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (long columns a, b): root is the least node that it reaches, itself included.
 
-    Every round is cut to the shared folder. Links may repeat, be given either way round, or join a node to itself; rows with a
+    Every round is cut to the shared folder, and the one before it deleted. Links may repeat, be given either way round, or join a node to itself; rows with a
     null end are left out. No links give no rows.
     """
     u, v = F.greatest("a", "b"), F.least("a", "b")
@@ -28,7 +28,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
+        last, edges = edges, cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
+        if seen is not None:
+            drop_cut(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -19,8 +19,14 @@ from weftline.llm.token_store import encode_round_trip
 from weftline.llm.warc import archive_round_trip
 
 
-#: Vocabulary files; the folder can be set, they are never copied.
-TOKENIZERS = os.environ.get("WEFTLINE_TOKENIZERS", "/opt/tokenizers")
+def tokenizer_path(name: str) -> str:
+    """Where a vocabulary file is: in the folder that WEFTLINE_TOKENIZERS names, else where the public_tokenizers package has it."""
+    folder = os.environ.get("WEFTLINE_TOKENIZERS")
+    if folder:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +40,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def piece_model() -> bytes:
-    with open(f"{TOKENIZERS}/piece_bpe_32k.model", "rb") as f:
+    with open(tokenizer_path("piece_bpe_32k.model"), "rb") as f:
         return f.read()
 
 
@@ -68,7 +74,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with open(f"{TOKENIZERS}/word_bpe_49k.json", encoding="utf-8") as f:
+    with open(tokenizer_path("word_bpe_49k.json"), encoding="utf-8") as f:
         return encode_round_trip(table(spark, sf_dir, "documents"), f.read(), end_id=1, width=2)
 
 

@@ -3,43 +3,30 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
-#: Rows a lookup side may have to be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
-
-
-_OWN: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where it is unset, on a local master."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="weftline-")
-    return _OWN[app]
+from weftline.storage import cut, drop_cut, shared_root, small
 
+__all__ = ["KEPT", "cut", "drop_cut", "drop_kept", "few_parts", "filesystem", "get_bytes", "map_array", "put_bytes", "released", "shared_dir", "shared_root", "small", "small_batches"]
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send texts to Python in batches of fewer rows than the default, which would hold tens of MB; a setting of the user's own stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
+    if spark.conf.get(key, None) is None:
         spark.conf.set(key, str(rows))
 
 
+def few_parts(spark: SparkSession, items: int) -> int:
+    """Partitions for so many independent pieces of work: one each while they are few, then 64 to a partition."""
+    return max(1, min(items, 4 * spark.sparkContext.defaultParallelism + items // 64))
+
+
 #: What a worker keeps between tasks: name to a function that drops it.
 KEPT: dict[str, Callable[[], None]] = {}
 
@@ -80,18 +67,6 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: a short lineage that outlives executors."""
-    path = f"{shared_dir(df.sparkSession, name)}.parquet"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most `limit` rows, else df as it is (a shuffled join)."""
-    return F.broadcast(df) if len(df.limit(limit + 1).select(F.lit(1)).collect()) <= limit else df
-
-
 def filesystem(uri: str):
     """(pyarrow filesystem, path) of a URI or plain path."""
     from pyarrow import fs

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.components import Forest, components
-from weftline.llm.shared import cut, map_array, put_bytes, released, shared_dir, small, small_batches
+from weftline.llm.shared import cut, few_parts, map_array, put_bytes, released, shared_dir, small, small_batches
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Least and most expected fingerprints of a tile; between, a 64th of all.
@@ -103,8 +103,7 @@ def link_fingerprints(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(values[member]), pa.array(values[root])], ["a", "b"])
 
     n_pairs = sum(cuts[p] * (cuts[p] + 1) // 2 + cuts[p] * sum(cuts[p + 1 : p + radius + 1]) for p in range(65))
-    parts = max(1, min(n_pairs, 4 * spark.sparkContext.defaultParallelism + n_pairs // 64))
-    return pairs.select("p", "s", "q", "t").repartition(parts).mapInArrow(compare, "a long, b long")
+    return pairs.select("p", "s", "q", "t").repartition(few_parts(spark, n_pairs)).mapInArrow(compare, "a long, b long")
 
 
 def _tile(uri: str) -> np.ndarray:
@@ -125,8 +124,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     linked = components(link_fingerprints(fps.select("fp"), radius))
     rooted = fps.join(linked, fps["fp"] == linked["node"]).select("fp", "root", "least")
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = cut(rooted.join(best, "root").select("fp", "component_id"), "simhash-components")
+    best = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-roots")
+    moved = cut(rooted.join(small(best), "root").select("fp", "component_id"), "simhash-components")
     of = fps.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     return own.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -134,13 +133,15 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def first_of_groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """One row of docs for each group of near-duplicates, the one with the least doc_id (null ones last).
 
-    Rows are told apart by a number of their own, so that doc_ids may be null or repeated.
+    Rows are told apart by a number of their own, so that doc_ids may be null or repeated; columns of any name come through.
     """
-    marked = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "simhash-rows")
-    own = cut(fingerprints(marked, doc_id, text, shingle, "_row"), "simhash")
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    marked = cut(docs.select(whole.alias("row"), F.monotonically_increasing_id().alias("_row")), "simhash-rows")
+    texts = marked.select(F.col(f"row.`{doc_id}`").alias("doc_id"), F.col(f"row.`{text}`").alias("text"), "_row")
+    own = cut(fingerprints(texts, "doc_id", "text", shingle, "_row"), "simhash")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row")
     fps = cut(own.groupBy("fp").agg(F.min(place).alias("first")), "simhash-distinct")
     linked = components(link_fingerprints(fps.select("fp"), radius))
     firsts = fps.join(linked, fps["fp"] == linked["node"], "left").groupBy(F.coalesce("root", "fp")).agg(F.min("first").alias("first"))
     gone = cut(own.select("_row").join(firsts.select("first._row"), "_row", "left_anti"), "simhash-gone")
-    return marked.join(small(gone), "_row", "left_anti").select(*docs.columns)
+    return marked.join(small(gone), "_row", "left_anti").select(*(F.col(f"row.`{c}`") for c in docs.columns))

@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from weftline.llm.shared import KEPT, cut, get_bytes, put_bytes, released, shared_dir, small_batches
+from weftline.llm.shared import KEPT, cut, few_parts, get_bytes, put_bytes, released, shared_dir, small, small_batches
 
 MAGIC = b"WLTOK001"
 HEADER = struct.Struct("<8s6q")
@@ -114,10 +115,11 @@ _STOP = re.compile(rb"[.,](?<=[a-z].)(?=[ \n])")
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizer of the tokenizers library that never merges over ASCII white space, word by word.
+    """Encodes texts with a tokenizer of the tokenizers library.
 
-    The ids of a word are those the library gives for it. Words seen are kept, up to CACHE_WORDS. With the pre-tokeniser known
-    above, a word of letters goes to the library's model straight away; any other through the whole of it.
+    With the normaliser and pre-tokeniser known above, which never merge over ASCII white space, texts are encoded word by word:
+    a word of letters by the library's model straight away, any other word through the whole of it; words seen are kept, up to
+    CACHE_WORDS. Any other tokenizer is given whole texts.
     """
 
     def __init__(self, definition: str, end_id: int):
@@ -148,14 +150,14 @@ class WordEncoder:
 
     def word_ids(self, word: str) -> bytes:
         """The ids of one word, 4 bytes each."""
-        if self.word and (m := self.word(word.lower())):
+        if m := self.word(word.lower()):
             return self._stem(m[1]) + self._stem(m[2]) if m[2] else self._stem(m[1])
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def _numbers(self, text: str) -> list[int]:
         """The places in the store of the words of a text, and of the end id."""
         raw = text.encode()
-        if self.word and b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
+        if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
             # no special token and no combining mark: small letters, and stops cut off, give the same ids with fewer words
             raw = _STOP.sub(rb" \g<0>", raw.lower())
         words = raw.split()  # bytes.split() cuts at ASCII white space only
@@ -175,6 +177,9 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each closed by the end id; the number of each text's ids)."""
+        if not self.word:
+            whole = [[*x.ids, self.end_id] for x in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(whole), np.uint32), np.fromiter(map(len, whole), np.int64, len(whole))
         if len(self.index) > CACHE_WORDS:
             self.clear()
         end = self.index.get(b"\n")  # no word
@@ -236,14 +241,24 @@ class Shard:
         return self.ids[(self.ends[i - 1] if i else 0) : self.ends[i]]
 
 
+def most_id(definition: str, end_id: int) -> int:
+    """The largest id that a tokenizer, or the end of a document, can give."""
+    from tokenizers import Tokenizer
+
+    return max([end_id, *Tokenizer.from_str(definition).get_vocab(with_added_tokens=True).values()])
+
+
 def write_tokens(docs: DataFrame, path: str, definition: str, *, doc_id: str = "doc_id", text: str = "text", end_id: int = 1, width: int = 4) -> DataFrame:
     """Encode every text, write shard files below path in ascending doc_id order, and return their manifest.
 
-    definition: the tokenizer's JSON. A null or empty text is its end id alone. Rows with equal doc_id stay apart, in the order
-    of their texts; null doc_ids come first. An empty table gives no shard. The manifest has part, shard (their order), file,
-    n_docs, n_tokens and start (ids of all shards before).
+    definition: the tokenizer's JSON. width: bytes an id; ids that don't fit it are refused beforehand. A null or empty text is its
+    end id alone. Rows with equal doc_id stay apart, in the order of their texts' hashes, by which many such rows are split; null
+    doc_ids come first. An empty table gives no shard. The manifest has part, shard (their order), file, n_docs, n_tokens and start
+    (ids of all shards before).
     """
     spark = docs.sparkSession
+    if most_id(definition, end_id) >= 1 << 8 * width:
+        raise ValueError(f"the tokenizer has ids that {width} bytes can't hold")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -273,14 +288,16 @@ def write_tokens(docs: DataFrame, path: str, definition: str, *, doc_id: str = "
             yield flush()
 
     small_batches(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    made = cut(ordered.mapInArrow(released(write, "token_store"), "part int, shard int, file string, n_docs long, n_tokens long"), "token-manifest")
-    # a row for each file: their starts are summed here, and take as little space as a listing of the folder
-    files = made.orderBy("part", "shard").collect()
-    starts = [0, *accumulate(x["n_tokens"] for x in files)][: len(files)]
-    return spark.createDataFrame([(*x, s) for x, s in zip(files, starts, strict=True)], "part int, shard int, file string, n_docs long, n_tokens long, start long")
+    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "text")
+    made = cut(ordered.select("doc_id", "text").mapInArrow(released(write, "token_store"), "part int, shard int, file string, n_docs long, n_tokens long"), "token-manifest")
+    # starts: ids of the partitions before (a row for each partition on the driver), and of the shards before in the partition
+    totals = sorted((x["part"], x["n"]) for x in made.groupBy("part").agg(F.sum("n_tokens").alias("n")).collect())
+    before = [0, *accumulate(n for _, n in totals)][: len(totals)]
+    offsets = spark.createDataFrame([(p, b) for (p, _), b in zip(totals, before, strict=True)], "part int, _before long")
+    within = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
+    return made.withColumn("start", within - F.col("n_tokens")).join(small(offsets), "part").withColumn("start", F.col("start") + F.col("_before")).drop("_before")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
@@ -300,7 +317,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     sums = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip((s - begin).tolist(), (e - begin).tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(numbers[lo:hi], pa.int64()), pa.array(s + start, pa.int64()), pa.array(e - s, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.select("file", "start").repartition(max(1, manifest.count())).mapInArrow(released(read, "token_store"), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("file", "start").repartition(few_parts(manifest.sparkSession, manifest.count())).mapInArrow(released(read, "token_store"), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def encode_round_trip(docs: DataFrame, definition: str, *, end_id: int = 1, width: int = 4) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.shared import cut, get_bytes, put_bytes, shared_dir, small
+from weftline.llm.shared import cut, few_parts, get_bytes, put_bytes, shared_dir, small
 
 #: Fixed values of the seekable format: the skippable frame's magic number and the footer's.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -148,13 +148,18 @@ def write_warc(pages: DataFrame, path: str, *, page_id: str = "page_id", url: st
     rows = rows.withColumn("sha1", F.sha1(F.encode("html", "utf-8")))
     long = F.octet_length("html") >= least
     twice = rows.filter(long & F.col("page_id").isNotNull()).groupBy("sha1").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    rows = rows.join(small(cut(twice, "warc-payloads")), "sha1", "left")
+    twice = small(cut(twice, "warc-payloads").withColumnRenamed("sha1", "_key"))
+    # payloads that are stored every time have keys of their own, so that a shuffle for the join, if it takes one, spreads them
+    key = F.when(long, F.col("sha1")).otherwise(F.concat(F.lit("-"), F.coalesce(F.col("page_id").cast("string"), F.col("url"), F.lit(""))))
+    rows = rows.withColumn("_key", key).join(twice, "_key", "left")
     to = F.when(long & F.col("page_id").isNotNull() & (F.col("kept") != F.col("page_id")), F.col("kept"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        out = BundleWriter(f"{path}/part-{TaskContext.get().partitionId():06d}")
+        # a repeated task may meet its rows in another order: its bundles are its own, and the index has those of one attempt
+        task = TaskContext.get()
+        out = BundleWriter(f"{path}/part-{task.partitionId():06d}-{task.taskAttemptId()}")
         for batch in batches:
             done = []
             for i, u, h, s, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -187,7 +192,7 @@ def read_warc(bundles: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     files = cut(bundles.select("bundle").distinct(), "warc-bundles")
-    return files.repartition(max(1, files.count())).mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return files.repartition(few_parts(files.sparkSession, files.count())).mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
