@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from conftest_llm import ODD
 from pyspark.sql import functions as F
@@ -59,9 +60,11 @@ def test_near_copies_in_a_crowd(documents):
 
 def test_odd_rows(documents):
     rows = [*ODD, (11, "same row\nother\n\nsame row"), (12, "other")]
-    docs = documents(*rows).withColumn("_lines", F.lit(1)).withColumn("removed", F.lit(2))
+    clashes = ["removed", "_id", "id", "c0", "c1", "bucket", "cls"]
+    docs = documents(*rows).withColumn("_lines", F.lit(1)).withColumns({c: F.concat(F.lit(c), "lang") for c in clashes})
     assert actual(docs) == expected(rows)
-    assert m.dedup_lines(docs).columns == ["doc_id", "text", "lang", "source", "n_chars", "removed", "_lines"]
+    assert m.dedup_lines(docs).columns == ["doc_id", "text", "lang", "source", "n_chars", *clashes, "_lines"]
+    assert all(r[c] == f"{c}en" for r in m.dedup_lines(docs).collect() for c in clashes)
     assert m.dedup_lines(docs.limit(0)).count() == 0
     assert actual(documents((1, None), (2, ""))) == expected([(1, None), (2, "")])
 
@@ -76,3 +79,12 @@ def test_empty_lines_beyond_a_step(documents):
     rows = [(1, "\n".join(f"l{k}" for k in range(70_000))), (2, "l69999\nnew")]
     got = {r[0]: r for r in actual(documents(*rows))}
     assert got[1][1] == 70_000 and got[2][2] == [0]
+
+
+def test_a_line_of_a_word_each_beyond_a_file(documents, monkeypatch):
+    monkeypatch.setattr(m, "ROW_BITS", 8)
+    rows = [(k, f"word{k % 500}") for k in range(600)]
+    files = m.SetFiles("file:///tmp/unused")
+    monkeypatch.setattr(m, "put_bytes", lambda *_: 0)
+    places = files.write(*(np.arange(600, dtype=np.uint64) for _ in range(3)), np.ones(600, np.int64), np.arange(600, dtype=np.uint64))
+    assert len(rows) == len(set(places.tolist())) and files.written == 3

@@ -1,18 +1,18 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its words. Two lines match if the Jaccard similarity of their sets is 4/5 or more; a line goes if an earlier
+A line is the set of its words, each known by 40 bits of its hash throughout (two different words are taken for one by a chance of
+2**-40 a pair). Two lines match if the Jaccard similarity of their sets is 4/5 or more; a line goes if an earlier
 line (by doc_id, then line number) matches it. Equal sets are one class, which stands for its first line.
 
 The join: the words of every class are ordered by rarity (counts over all lines, in a table of fixed size). Two matching classes
 share a word among the first ones of both, so a class is posted under its first words only. Postings meet by word; pairs there
 pass a length filter, a positional filter (what can still follow the shared word) and a bitmap filter (set bits of the
-exclusive-or of word parities are at most the symmetric difference), and are then verified on the words themselves, which the
-posting tasks left in files in the shared folder. A class that has been found to match an earlier one needs no further pairs.
+exclusive-or of word parities are at most the symmetric difference), and are then verified on the whole sets, which the posting
+tasks left in files in the shared folder. A class that has been found to match an earlier one needs no further pairs.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +33,8 @@ POSTING_BYTES, CLASS_BYTES = 12 << 20, 48 << 20
 #: Words of a file of sets, classes in a word's group beyond which its earliest ones go first, and pairs of a step.
 SET_FILE_WORDS, CROWD, TILE, PAIRS = 2_000_000, 1024, 512, 2_000_000
 LAST = np.iinfo(np.int64).max
+#: A place in a file of sets: the attempt of the task that wrote it, the file's number in it, and the row.
+FILE_BITS, ROW_BITS = 10, 22
 _TOKEN = np.uint64((1 << 40) - 1)
 
 
@@ -89,22 +91,36 @@ def joined(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
 
 
 class SetFiles:
-    """Files of classes: class, doc_id, line, size and words; a place in them is file << 24 | row."""
+    """Files of classes: class, doc_id, line, size and words; a place in them is a file's name and a row.
+
+    A file is named by the attempt of the task that writes it, so that no two files share a name, and a repeated task never changes
+    a file that others read.
+    """
 
     def __init__(self, path: str):
-        self.path, self.open = path, {}
+        self.path, self.open, self.written = path, {}, 0
 
     def write(self, cls, doc, line, size, words) -> np.ndarray:
-        """Places of the rows of a new file. Its name is drawn, so that a repeated task never changes a file that others read."""
-        name = uuid.uuid4().int >> 88
+        """Places of the rows, in new files."""
+        from pyspark import TaskContext
+
+        task, places, upto = TaskContext.get(), [], np.concatenate([[0], np.cumsum(size)])
+        attempt = task.taskAttemptId() if task else 0
         low = words & _TOKEN
-        put_bytes(f"{self.path}/sets-{name:010x}", [len(cls).to_bytes(8, "little"), cls.astype("<u8").tobytes(), doc.astype("<i8").tobytes(), line.astype("<u4").tobytes(), size.astype("<u4").tobytes(), (low & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (low >> np.uint64(32)).astype("u1").tobytes()])
-        return np.uint64(name << 24) | np.arange(len(cls), dtype=np.uint64)
+        for lo in range(0, len(cls), 1 << ROW_BITS):
+            if self.written >> FILE_BITS or attempt >> (64 - FILE_BITS - ROW_BITS):
+                raise ValueError("a partition has too many words, or the application too many tasks, to name the files of sets")
+            hi = min(len(cls), lo + (1 << ROW_BITS))
+            name, own = attempt << FILE_BITS | self.written, low[upto[lo] : upto[hi]]
+            put_bytes(f"{self.path}/sets-{name:x}", [(hi - lo).to_bytes(8, "little"), cls[lo:hi].astype("<u8").tobytes(), doc[lo:hi].astype("<i8").tobytes(), line[lo:hi].astype("<u4").tobytes(), size[lo:hi].astype("<u4").tobytes(), (own & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (own >> np.uint64(32)).astype("u1").tobytes()])
+            self.written += 1
+            places.append(np.uint64(name << ROW_BITS) | np.arange(hi - lo, dtype=np.uint64))
+        return np.concatenate(places)
 
     def _file(self, name: int) -> list[np.ndarray]:
         got = self.open.get(name)
         if got is None:
-            raw = map_array(f"{self.path}/sets-{name:010x}", np.uint8)
+            raw = map_array(f"{self.path}/sets-{name:x}", np.uint8)
             n, at, got = int(raw[:8].view("<u8")[0]), 8, []
             for kind in ("<u8", "<i8", "<u4", "<u4"):
                 size = n * np.dtype(kind).itemsize
@@ -119,11 +135,11 @@ class SetFiles:
     def _by_file(self, places: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
         if not len(places):
             return
-        files = places >> np.uint64(24)
+        files = places >> np.uint64(ROW_BITS)
         order = np.argsort(files, kind="stable")
         names, first = np.unique(files[order], return_index=True)
         for name, i in zip(names.tolist(), np.split(order, first[1:]), strict=True):
-            yield self._file(name), i, (places[i] & np.uint64(0xFFFFFF)).astype(np.int64)
+            yield self._file(name), i, (places[i] & np.uint64((1 << ROW_BITS) - 1)).astype(np.int64)
 
     def heads(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(class, doc_id, line) at each place."""
@@ -327,7 +343,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     n_lines counts the \\n-split lines that have a word; removed lists the numbers (from 0) of those taken out. Lines without
     words stay, except that a text of which all lines with words go becomes empty. A null text stays null. Rows with the same
     doc_id count as one document: equal lines at the same place of theirs are one line. Null doc_ids come last, and count as one
-    such id. All other columns stay; a column _lines is replaced. An empty table gives an empty result. docs is read three times
+    such id. All other columns stay, whatever their names; a column _lines is replaced. An empty table gives an empty result. docs is read three times
     and has to give the same rows each time, as a table does.
     """
     spark, names = docs.sparkSession, [c for c in docs.columns if c != "_lines"]
@@ -394,7 +410,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     gone = gone.distinct().withColumn("b", F.shiftrightunsigned("cls", 64 - bits).cast("int"))
     gone.groupBy("b").applyInArrow(write_gone, "n long").agg(F.sum("n")).collect()
 
-    kept = docs.select(*(F.col(f"`{c}`") for c in names), F.coalesce(F.col(doc_id).cast("long"), F.lit(int(LAST))).alias("_id"))
+    kept = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(int(LAST))).alias("id"))
     kind = T.StructType().add("n_lines", T.IntegerType()).add("removed", T.ArrayType(T.IntegerType()))
     schema = docs.select(*(F.col(f"`{c}`") for c in names)).schema.add("_lines", kind)
     at = names.index(text)
