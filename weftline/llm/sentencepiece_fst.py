@@ -188,52 +188,10 @@ class Transducer:
             k -= len(last[k])
         return out[::-1]
 
-    def _ends(self, text: str, i: int) -> list[int]:
-        """Where the arcs from place i lead: the ends of pieces (and of a character that is none), the nearest first."""
-        node, ends = self.trie, [] if text[i] in self.score else [i + 1]
-        for k in range(i, len(text)):
-            node = node.get(text[k])
-            if node is None:
-                break
-            if "" in node:
-                ends.append(k + 1)
-        return ends
-
-    def path_of_neighbours(self, text: str) -> list[str]:
-        """path() for byte-pair models: all arcs weigh nothing, so that the first whole path found is the shortest.
-
-        Depth first, the longest arc first. At most one path of allowed neighbours leads to any place, so a place from which the
-        end can't be reached is tried once.
-        """
-        n, known, follow = len(text), self.neighbours.get, self.may_follow
-        out, left, dead = [], [self._ends(text, 0)], set()
-        at, starts = 0, [0]
-        while at < n:
-            ends, prior = left[-1], out[-1] if out else ""
-            while ends:
-                k = ends.pop()
-                if k in dead:
-                    continue
-                piece = text[at:k]
-                ok = known((prior, piece))
-                if follow(prior, piece) if ok is None else ok:
-                    out.append(piece)
-                    at = k
-                    starts.append(at)
-                    left.append(self._ends(text, at) if at < n else [])
-                    break
-            else:
-                dead.add(at)
-                left.pop()
-                starts.pop()
-                out.pop()
-                at = starts[-1]
-        return out
-
     def ids_of(self, text: str) -> list[int]:
         """The ids of a normalised text."""
         out: list[int] = []
-        for p in self.path_of_neighbours(text) if self.bpe else self.path(text):
+        for p in self.path(text):
             i = self.id_of.get(p)
             if i is not None:
                 out.append(i)
@@ -304,11 +262,11 @@ def encode_documents(docs: DataFrame, model: bytes, text: str = "text", keep: li
     """Add ids (array<int>), n_ids and round_trip (decoding gives the normalised text again) to the columns `keep` (all if None).
 
     model: the content of a model file (under a MB or so, sent with the tasks). A null or empty text has no ids. Columns of these
-    names are replaced. One row out for each row in; an empty table gives an empty result.
+    names are replaced, others stay whatever their names. One row out for each row in; an empty table gives an empty result.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "n_ids", "round_trip")]
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(text).cast("string").alias("_text"))
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)), F.col(f"`{text}`").cast("string").alias("text"))
     schema = docs.select(*(F.col(f"`{c}`") for c in keep)).schema.add("ids", T.ArrayType(T.IntegerType())).add("n_ids", T.IntegerType()).add("round_trip", T.BooleanType())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
