@@ -3,8 +3,8 @@
 Unit vectors with cosine c or more are at most sqrt(2 - 2c) apart. After a fixed random rotation the dimensions are split into
 blocks; the squared distances in the blocks sum up to the whole, so in at least one block it is within that block's share of the
 budget (in proportion to its dimensions). Each block is range-joined: vectors are dealt to grid cells over its leading
-coordinates, with cells as wide as the block's radius, and compared with the same and half of the adjoining cells. A pair is
-verified with the given vectors in double precision, in the first block where it is a candidate. Crowded cells are split into
+coordinates, with cells as wide as the block's radius, and compared with the same and half of the adjoining cells, in order of the
+block's last coordinate. A pair is verified with the given vectors in double precision, in the first block where it is a candidate. Crowded cells are split into
 tiles, and every two tiles meet in a task of their own.
 
 Links aren't returned one by one: a task returns how many each vector has, and a spanning forest of them.
@@ -26,8 +26,8 @@ from weftline.llm.shared import cut, map_array, put_bytes, shared_dir, small
 
 #: Dimensions of a block, and of its grid.
 BLOCK_DIMS, GRID_DIMS = 8, 2
-#: Vectors of a tile, and rows of one step of a comparison.
-TILE, STEP = 4096, 256
+#: Vectors of a tile, and rows and columns of one step of a comparison.
+TILE, STEP, SPAN = 4096, 256, 1024
 #: Room for rounding in the candidate search; candidates are verified without it.
 SLACK = 1e-6
 
@@ -66,19 +66,38 @@ def _forward(dims: int) -> list[tuple[int, ...]]:
     return [s for s in itertools.product((-1, 0, 1), repeat=dims) if next((x for x in s if x), 0) > 0]
 
 
+def near_in_block(x: np.ndarray, y: np.ndarray, radius2: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of x, rows of y) with a squared distance of at most radius2 and some slack, for coordinates of one block; each pair once if
+    both sides are the same.
+
+    Both sides are taken in order of the block's last coordinate, in steps of x against the stretch of y that is near enough in it.
+    Squared distances come from a single product of rows that carry their norms.
+    """
+    by_x, by_y = np.argsort(x[:, -1], kind="stable"), np.argsort(y[:, -1], kind="stable")
+    x, y = x[by_x], y[by_y]
+    reach, line_x, line_y = math.sqrt(radius2) + 1e-6, x[:, -1], y[:, -1]
+    one_x, one_y = np.ones((len(x), 1)), np.ones((len(y), 1))
+    left = np.hstack([-2 * x, (x * x).sum(axis=1, keepdims=True), one_x]).astype(np.float32)
+    right = np.ascontiguousarray(np.hstack([y, one_y, (y * y).sum(axis=1, keepdims=True)]).astype(np.float32).T)
+    most = np.float32(radius2 + 1e-5)
+    for lo in range(0, len(x), STEP):
+        hi = min(len(x), lo + STEP)
+        start, stop = np.searchsorted(line_y, [line_x[lo] - reach, line_x[hi - 1] + reach])
+        for at in range(max(start, lo) if same else start, stop, SPAN):
+            near = np.flatnonzero(left[lo:hi] @ right[:, at : min(stop, at + SPAN)] <= most)
+            if len(near):
+                i, j = np.divmod(near, min(stop, at + SPAN) - at)
+                i, j = i + lo, j + at
+                if same:
+                    i, j = i[i < j], j[i < j]
+                yield by_x[i], by_y[j]
+
+
 def link_pairs(a: np.ndarray, b: np.ndarray, plan: Plan, k: int, least: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows of a, rows of b) that link and whose first candidate block is k; unit vectors in double precision."""
     ta, tb = a @ plan.turn, b @ plan.turn
-    fa, fb = ta.astype(np.float32), tb.astype(np.float32)
     s = plan.blocks[k]
-    na, nb = (ta[:, s] ** 2).sum(axis=1).astype(np.float32), (tb[:, s] ** 2).sum(axis=1).astype(np.float32)
-    for lo in range(0, len(a), STEP):
-        hi = min(len(a), lo + STEP)
-        near = na[lo:hi, None] + nb[None] - 2 * (fa[lo:hi, s] @ fb[:, s].T) <= plan.radius2[k] + 1e-5
-        i, j = np.nonzero(near)
-        i += lo
-        if same:
-            i, j = i[i < j], j[i < j]
+    for i, j in near_in_block(ta[:, s], tb[:, s], plan.radius2[k], same):
         for at in range(0, len(i), 1 << 16):
             x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
             square = (ta[x] - tb[y]) ** 2
@@ -165,7 +184,8 @@ def find_links(classes: DataFrame, least: float, dims: int) -> DataFrame:
                 kind = np.concatenate([np.zeros(len(member), np.int32), np.ones(len(some), np.int32)])
                 yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([ids[member], ids[some]])), pa.array(np.concatenate([ids[root], count[some]]))], ["kind", "a", "b"])
 
-    parts = max(1, min(jobs.count(), 16 * spark.sparkContext.defaultParallelism + jobs.count() // 256))
+    n_jobs = jobs.count()
+    parts = max(1, min(n_jobs, 16 * spark.sparkContext.defaultParallelism + n_jobs // 256))
     return jobs.select("c1", "t1", "c2", "t2").repartition(parts).mapInArrow(compare, "kind int, a long, b long")
 
 
@@ -182,11 +202,13 @@ def near_vectors(rows: DataFrame, *, vec_id: str = "vec_id", vector: str = "embe
     # 0.0 and -0.0 are equal, so adding 0.0 makes equal vectors hash alike
     exact = F.transform(v, lambda x: x.cast("double") + F.lit(0.0))
     base = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(fine, exact).alias("v"))
-    base = base.withColumn("n", F.when(F.col("v").isNotNull(), F.xxhash64("v")))
-    classes = base.filter("n is not null").groupBy("n", "v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
-    classes = cut(classes, "vector-classes")
-    if classes.groupBy("n").count().filter("count > 1").limit(1).collect():
-        raise RuntimeError("two different vectors have the same 64-bit hash")
+    given = base
+    for salt in itertools.count():  # should two vectors have one hash, all are hashed anew
+        base = given.withColumn("n", F.when(F.col("v").isNotNull(), F.xxhash64("v", F.lit(salt))))
+        classes = base.filter("n is not null").groupBy("n", "v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"))
+        classes = cut(classes, "vector-classes")
+        if not classes.groupBy("n").count().filter("count > 1").limit(1).collect():
+            break
     found = None
     for size in [x[0] for x in classes.select(F.size("v")).distinct().collect()]:  # vectors' sizes, a few
         links = find_links(classes.filter(F.size("v") == size), least, size)
@@ -197,8 +219,8 @@ def near_vectors(rows: DataFrame, *, vec_id: str = "vec_id", vector: str = "embe
     counts = found.filter("kind = 1").groupBy(F.col("a").alias("n")).agg(F.sum("b").alias("others"))
     linked = components(found.filter("kind = 0").select("a", "b"))
     rooted = classes.join(linked, classes["n"] == linked["node"]).select("n", "root", "least")
-    best = rooted.groupBy("root").agg(F.min("least").alias("first"))
-    moved = rooted.join(best, "root").select("n", "first")
+    best = cut(rooted.groupBy("root").agg(F.min("least").alias("first")), "vector-roots")
+    moved = rooted.join(small(best), "root").select("n", "first")
     table = classes.join(counts, "n", "left").join(moved, "n", "left")
     table = cut(table.select("n", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("first", "least").alias("component_id")), "vector-classes")
     out = base.select("vec_id", "n").join(small(table), "n", "left")
