@@ -1,4 +1,5 @@
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -82,66 +83,107 @@ def test_clashing_names_come_through(spark, corpus):
     assert all(got[k][c] == f"{c}{k}" for k in got for c in CLASHES) and all(got[k]["_lang"] == want[k] for k in want)
 
 
-def brute_force(rows, least=0.5):
-    """identify() with loops: rows of (id, text, label, host, fold) to (language, confidence, text language, accepted)."""
-    def grams(text):
-        b = (" " + text + " ").lower().encode() if text else b"   "
-        b = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in b)
-        if b.isspace():
-            return []
-        codes = [(b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1 % 2**32 >> 16 for i in range(len(b) - 2)]
-        blank = 0x202020 * 0x9E3779B1 % 2**32 >> 16
-        return [c for c in codes if c != blank]
+def grams(text):
+    b = (" " + text + " ").lower().encode() if text else b"   "
+    b = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in b)
+    blank = 0x202020 * 0x9E3779B1 % 2**32 >> 16
+    codes = [(b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1 % 2**32 >> 16 for i in range(len(b) - 2)]
+    return [c for c in codes if c != blank]
 
-    langs = sorted({r[2] for r in rows if r[2] not in (None, "und")})
-    classes = [*langs, "und"]
-    counts = {(x, f): Counter() for x in langs for f in (0, 1)}
-    for _, text, label, _, fold in rows:
-        if label in langs:
-            counts[label, fold].update(grams(text))
-    logs = []
-    for _, text, _, _, fold in rows:
+
+def text_logs(texts, counts, langs):
+    """Tempered log likelihoods of texts under each language and und; counts(i, lang): the 3-grams that the i-th text is scored by."""
+    out = []
+    for n, text in enumerate(texts):
         g, one = grams(text), []
         for x in langs:
-            c = counts[x, 1 - fold] or counts[x, 0] + counts[x, 1]
+            c = counts(n, x)
             total = sum(c.values()) + 0.5 * m.BUCKETS
             one.append(sum(math.log((c[i] + 0.5) / total) for i in g))
         one.append(-len(g) * math.log(m.BUCKETS))
         one = [v * min(1, m.EFFECTIVE / max(len(g), 1)) for v in one]
         if not g:
             one[-1] += 50
-        logs.append(one)
+        out.append(one)
+    return out
 
+
+def fused(logs, hosts, values, classes, least=0.5):
+    """(language, confidence, text language, accepted) by loops, from texts' logs, hosts (tuples, the coarsest level first) and the
+    values of other evidence (a list for each kind)."""
     def shares(v):
         e = [math.exp(x - max(v)) for x in v]
         return [x / sum(e) for x in e]
 
     soft, k, a = [shares(v) for v in logs], len(classes), m.PRIOR_ROWS
-    total = [sum(p[i] for p in soft) for i in range(k)]
-    root = [(total[i] + a / k) / (sum(total) + a) for i in range(k)]
+
+    def prior(host):
+        own = [sum(p[i] for p, h in zip(soft, hosts, strict=True) if h[: len(host)] == host) for i in range(k)]
+        up = prior(host[:-1]) if host else [1 / k] * k
+        return [(own[i] + a * up[i]) / (sum(own) + a) for i in range(k)]
+
     out = []
-    declared = [i for i, r in enumerate(rows) if r[2] is not None]
-    said = [sum(soft[i][c] for i in declared) for c in range(k)]
-    for r, v in zip(rows, logs, strict=True):
-        host = [sum(p[i] for p, q in zip(soft, rows, strict=True) if q[3] == r[3]) for i in range(k)]
-        v = [x + math.log((host[i] + a * root[i]) / (sum(host) + a)) for i, x in enumerate(v)]
-        if r[2] is not None:
-            own = [sum(soft[j][i] for j in declared if rows[j][2] == r[2]) for i in range(k)]
+    for n, v in enumerate(logs):
+        p = prior(hosts[n])
+        v = [x + math.log(y) for x, y in zip(v, p, strict=True)]
+        for kind in values:
+            if kind[n] is None:
+                continue
+            have = [j for j, x in enumerate(kind) if x is not None]
+            said = [sum(soft[j][c] for j in have) for c in range(k)]
+            own = [sum(soft[j][i] for j in have if kind[j] == kind[n]) for i in range(k)]
             v = [x + math.log((own[i] + a * sum(own) / sum(said)) / (said[i] + a)) for i, x in enumerate(v)]
         p = shares(v)
         best = p.index(max(p))
-        text = logs[rows.index(r)]
-        out.append((classes[best], max(p), classes[text.index(max(text))], classes[best] != "und" and max(p) >= least))
+        out.append((classes[best], max(p), classes[logs[n].index(max(logs[n]))], classes[best] != "und" and max(p) >= least))
     return out
 
 
+def brute_force(rows):
+    """identify() with loops: rows of (id, text, label, host, fold)."""
+    langs = sorted({r[2] for r in rows if r[2] not in (None, "und")})
+    counts = {(x, f): Counter() for x in langs for f in (0, 1)}
+    for _, text, label, _, fold in rows:
+        if label in langs:
+            counts[label, fold].update(grams(text))
+    logs = text_logs([r[1] for r in rows], lambda n, x: counts[x, 1 - rows[n][4]] or counts[x, 0] + counts[x, 1], langs)
+    return fused(logs, [(r[3],) for r in rows], [[r[2] for r in rows]], [*langs, "und"])
+
+
+def check(got, want, row):
+    assert got[0::2] == want[0::2] and got[3] == want[3], row
+    assert got[1] == pytest.approx(want[1], abs=1e-4), row
+
+
 def test_equals_brute_force(spark, corpus):
     docs = corpus.filter("doc_id <> 105").unionByName(spark.createDataFrame([(200 + k, t, lab, h) for k, (t, lab, h) in enumerate([("in", "de", "h0"), ("in haus und house", None, "h1"), ("und", "und", "h2"), ("le chat noir " * 9, "fr", "h2"), ("le chien noir dort " * 7, "fr", None), ("le chat", None, None)])], SCHEMA))
     rows = [tuple(r) for r in docs.select("doc_id", "text", "lang", "source", m.fold_of(F.col("text"), 2)).collect()]
     got = {r["doc_id"]: tuple(r["_lang"]) for r in m.identify(docs).collect()}
     for row, want in zip(rows, brute_force(rows), strict=True):
-        assert got[row[0]][0::2] == want[0::2] and got[row[0]][3] == want[3], row
-        assert got[row[0]][1] == pytest.approx(want[1], abs=1e-4), row
+        check(got[row[0]], want, row)
+
+
+def test_pages_equal_brute_force(spark, corpus, sf):
+    """pages_language over the smallest table: markup, suffix and two levels of hosts against loops."""
+    docs, pages = spark.read.parquet(f"{sf}/documents.parquet").limit(150).cache(), spark.read.parquet(f"{sf}/pages.parquet")
+    pages = pages.limit(40).unionByName(spark.createDataFrame([(-1, None, None), (-2, "bad", "<HTML LANG=fr>le"), (-3, "http://u@www.x.de:80/a", "<script>x")], pages.schema)).cache()
+    langs, counts = sorted({r["lang"] for r in docs.collect()} - {None, "und"}), {}
+    for r in docs.collect():
+        if r["lang"] in langs:
+            counts.setdefault(r["lang"], Counter()).update(grams(r["text"]))
+    rows = []
+    for r in pages.collect():
+        html, url = r["html"] or "", r["url"] or ""
+        body = re.sub("<[^>]*>", " ", re.sub(r"(?is)<(script|style)\b.*?(?:</\1\s*>|\Z)", " ", html))
+        markup = re.search(r"""(?i)<html[^>]*\blang=["']?([A-Za-z]+)""", html)
+        host = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", url)
+        host = host[1].lower() if host else None
+        rows.append((r["page_id"], body, markup[1].lower() if markup else None, host and host.split(".")[-1], (host and ".".join(host.split(".")[-2:]), host)))
+    logs = text_logs([r[1] for r in rows], lambda n, x: counts[x], langs)
+    want = fused(logs, [r[4] for r in rows], [[r[2] for r in rows], [r[3] for r in rows]], [*langs, "und"])
+    got = {r["page_id"]: tuple(r["_lang"]) for r in m.identify_pages(pages, m.fit_profiles(docs, "text", "lang", sample=10**9)).collect()}
+    for row, w in zip(rows, want, strict=True):
+        check(got[row[0]], w, row[0])
 
 
 def test_a_label_counts_as_declared_language_only(spark):
