@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import assist as a
@@ -57,3 +58,13 @@ def test_supervisor():
 
     assert a.supervise(start) == "STOPPED" and len(runs) == 3
     assert a.supervise(lambda: Query(True), 1) == "FAILED"
+
+
+def test_tool_runners_come_from_variables(monkeypatch):
+    from weftline import config, providers
+
+    assert providers.tool_runner("rerank", {}) is providers.rerank
+    monkeypatch.setenv("WEFTLINE_RUNNER_RERANK", "weftline.config:budget")
+    assert providers.tool_runner("rerank") is config.budget
+    with pytest.raises(KeyError):
+        providers.tool_runner("absent", {})

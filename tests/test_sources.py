@@ -134,3 +134,26 @@ def test_caching(spark, tmp_path):
     memo.get("n", [e.orderBy("key", ascending=False)], make)
     assert (memo.hits, memo.misses) == (1, 1)
     assert memo.warm_up({"a": ([e], make), "b": ([e], make)}) == ["a", "b"] and memo.warm_up({"c": ([e], make)}, 0) == []
+
+
+def test_messages_round_trip_and_foreign_fields(spark):
+    from weftline.sources import wire
+
+    doc = {"relativePath": "a/ü.ts", "text": "", "symbols": [{"symbol": "s", "displayName": "S", "relationships": [{"symbol": "t", "isReference": False, "isImplementation": True, "isTypeDefinition": False, "isDefinition": False}]}], "occurrences": [{"range": [300, 1, 70_000], "symbol": "s", "symbolRoles": 9}]}
+    data = wire.encode({"documents": [doc]}, "Index")
+    assert wire.decode(data, "Index") == {"documents": [doc]}
+    foreign = wire.write_varint(99 << 3 | 5) + b"abcd" + wire.write_varint(98 << 3 | 1) + b"12345678" + wire.write_varint(1 << 3 | 2) + b"\x00"
+    assert wire.decode(foreign + data, "Index") == {"documents": [doc]}
+    assert wire.decode(wire.write_varint(1 << 3) + b"\x07" + wire.write_varint(1 << 3) + b"\x08", "Occurrence")["range"] == [7, 8]
+    with pytest.raises(ValueError, match="ends early"):
+        wire.decode(data[:-1], "Index")
+
+
+def test_binary_index_files(spark, tmp_path):
+    from weftline.sources import wire
+
+    doc = lambda k: {"relativePath": f"f{k}.ts", "symbols": [{"symbol": f"s{k}#"}], "occurrences": [{"range": [k], "symbol": "s0#", "symbolRoles": 1}]}
+    (tmp_path / "index.scip").write_bytes(wire.encode({"documents": [doc(k) for k in range(3)]}, "Index"))
+    nodes, edges = f.read_symbol_index(spark, f"file://{tmp_path}/index.scip")
+    assert nodes.filter("kind = 'class'").count() == 3 and nodes.filter("kind = 'file'").count() == 3
+    assert sorted((r["source_id"], r["line"]) for r in edges.filter("edge_type = 'DEFINES'").collect()) == [(f"file:f{k}.ts", k) for k in range(3)]

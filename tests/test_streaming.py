@@ -78,3 +78,15 @@ def test_windows_equal_batch(spark, tmp_path):
     assert sorted((r["start"], r["n"]) for r in seen) == [(datetime(2026, 1, 1, 0), 2), (datetime(2026, 1, 1, 1), 1)]
     signals = spark.createDataFrame([(100 * 86400,), (1,)], "timestamp long")
     assert jobs.retained(signals, lambda: 100 * 86400).count() == 1
+
+
+def test_a_full_queue_is_busy_across_batches(spark, tmp_path):
+    """One is served, one waits, the next is refused; state goes over from one run of the stream to the next."""
+    inbox, seen = tmp_path / "in", []
+    inbox.mkdir()
+    for k, rows in enumerate([[("1", 0), ("2", 10), ("3", 20)], [("4", 100), ("5", 250)]]):
+        write(inbox, f"{k}.json", [{"slot": "a", "id": i, "ts_ms": t, "cost_ms": 100} for i, t in rows])
+        stream = spark.readStream.schema("slot string, id string, ts_ms long, cost_ms long").json(f"file://{inbox}")
+        q = jobs.bounded_requests(stream, waiting=1).writeStream.foreachBatch(lambda df, i: seen.extend(df.collect())).option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert [(r["id"], r["status"], r["start_ms"]) for r in seen] == [("1", "accepted", 0), ("2", "accepted", 100), ("3", "busy", None), ("4", "accepted", 200), ("5", "accepted", 300)]

@@ -170,3 +170,10 @@ def test_empty_and_null_texts(spark):
     for op in (t.imports, t.symbols, t.anomalies, t.calls, t.contract_symbols, t.local_symbols, t.complexity):
         assert op(f).count() == 0
     assert t.skeleton(f).count() == 2
+
+
+def test_files_within_a_budget_of_lines(spark):
+    f = spark.createDataFrame([("a", "x\n\ny"), ("b", " \n"), ("c", "1\n2\n\n3\n4"), ("d", "never")], "file string, text string")
+    rows = lambda n: [(r["file"], r["used"], r["text"], r["truncated"]) for r in t.concatenated(f, n).orderBy("file").collect()]
+    assert rows(5) == [("a", 2, "x\n\ny", False), ("c", 6, "1\n2\n\n3", True)]
+    assert rows(1) == [("a", 2, "x", True)] and rows(0) == [] and len(rows(100)) == 3

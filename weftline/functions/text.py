@@ -43,13 +43,16 @@ BOUNDARY_RULES = [
 ]
 SEVERITIES = ["low", "moderate", "high", "critical"]
 #: Words too common to name anything (fixed values).
-STOP_WORDS = (
-    "the a an is are was were be been being have has had do does did will would could should may might must shall can need dare "
-    "ought used we our us they them their it its this that which who whom what where when why how and or but if then else for of "
-    "to from in on at by with about against between into through during before after above below up down out off over under again "
-    "further once all any both each few more most other some such no nor not only own same so than too very just also now here "
-    "there use using cache data system simple record mode make context decision status title file path type name"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will",
+    "would", "could", "should", "may", "might", "must", "shall", "can", "need", "dare", "ought", "used", "we", "our", "us",
+    "they", "them", "their", "it", "its", "this", "that", "which", "who", "whom", "what", "where", "when", "why", "how", "and",
+    "or", "but", "if", "then", "else", "for", "of", "to", "from", "in", "on", "at", "by", "with", "about", "against", "between",
+    "into", "through", "during", "before", "after", "above", "below", "up", "down", "out", "off", "over", "under", "again",
+    "further", "once", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only",
+    "own", "same", "so", "than", "too", "very", "just", "also", "now", "here", "there", "use", "using", "cache", "data", "system",
+    "simple", "record", "mode", "make", "context", "decision", "status", "title", "file", "path", "type", "name",
+]
 
 
 def glob_regex(glob: str) -> str:
@@ -152,3 +155,9 @@ def severity_icon(severity: Column) -> Column:
 def progress_bar(share: Column, width: int = 20) -> Column:
     full = F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * width).cast("int")
     return F.concat(F.repeat(F.lit("#"), full), F.repeat(F.lit("-"), F.lit(width) - full))
+
+
+def version_compatibility(ours: Column, theirs: Column) -> Column:
+    """compatible if two versions share what stands before their first dot, else incompatible; unknown if one isn't known."""
+    unsure = lambda v: v.isNull() | v.isin("", "unknown", "not-installed")
+    return F.when(unsure(ours) | unsure(theirs), "unknown").when(F.substring_index(ours, ".", 1) == F.substring_index(theirs, ".", 1), "compatible").otherwise("incompatible")

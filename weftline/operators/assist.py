@@ -19,6 +19,8 @@ MENTIONS = [
 ]
 #: Weights of the signals of a prompt (fixed values).
 SIGNALS = {"explicit": 0.8, "implicit": 0.6, "historical": 0.6, "code": 0.7}
+#: What a prompt that wants a repair says (fixed value).
+REPAIR = "(?i)(fix|bug|error|crash|fail|问题|错误|修复)"
 #: Tools of a plan by tier: (tier, tool, timeout in ms). Fixed values.
 PLAN = [(0, "index_status", 500), (1, "search", 2000), (1, "context", 3500)]
 
@@ -38,7 +40,7 @@ def error_mentions(errors: DataFrame, text: str = "text") -> DataFrame:
 def prompt_signals(text: Column, file: Column, history: Column, function: Column) -> Column:
     """The signals of a prompt as an array of struct(type, match, weight): a wish to repair, a file, a history, a function."""
     one = lambda cond, kind, match: F.when(cond, F.struct(F.lit(kind).alias("type"), match.alias("match"), F.lit(SIGNALS[kind]).alias("weight")))
-    repair = F.coalesce(text.rlike("(?i)(fix|bug|error|crash|fail|问题|错误|修复)"), F.lit(False))
+    repair = F.coalesce(text.rlike(REPAIR), F.lit(False))
     return F.array_compact(F.array(one(repair, "explicit", F.lit("fix/bug")), one(F.coalesce(file, F.lit("")) != "", "implicit", file), one(F.coalesce(history, F.lit(False)), "historical", F.lit("with-history")), one(F.coalesce(function, F.lit("")) != "", "code", function)))
 
 

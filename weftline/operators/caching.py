@@ -45,10 +45,47 @@ def cache_key(*parts):
 
 
 class Memo:
-    """Results of queries by the text of the query and the content that it read, as tables below a folder."""
+    """Results of queries by the text of the query and the content that it read, as tables below a folder.
 
-    def __init__(self, spark: SparkSession, path: str):
+    The folder is stamped with a version; one with another stamp is emptied when it is opened.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, version: str = "1"):
         self.spark, self.path, self.hits, self.misses = spark, path.rstrip("/"), 0, 0
+        stamp = self._at("VERSION")
+        if self._fs.exists(stamp) and spark.read.text(f"{self.path}/VERSION").first()[0] != version:
+            self.clear()
+        out = self._fs.create(stamp, True)
+        out.write(bytearray(version.encode()))
+        out.close()
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    @property
+    def _fs(self):
+        return self._at("").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def entries(self) -> DataFrame:
+        """key, created (seconds), size of every kept result."""
+        found = []
+        for x in self._fs.listStatus(self._at("")):  # a row for each result
+            if x.isDirectory():
+                size = self._fs.getContentSummary(x.getPath()).getLength()
+                found.append((x.getPath().getName(), x.getModificationTime() // 1000, size))
+        return self.spark.createDataFrame(found, "key string, created long, size long")
+
+    def clear(self) -> int:
+        """Drop all results; how many there were."""
+        return self.prune(None)
+
+    def prune(self, now: int | None, ttl: int = 86400) -> int:
+        """Drop the results older than ttl seconds (all if now is None); how many."""
+        e = self.entries()
+        old = [r["key"] for r in (e if now is None else e.join(alive(e, now, ttl).select("key"), "key", "left_anti")).collect()]
+        for key in old:
+            self._fs.delete(self._at(key), True)
+        return len(old)
 
     def get(self, name: str, inputs: list[DataFrame], make: Callable[[], DataFrame]) -> DataFrame:
         """The kept result for inputs of the same rows, else what make() gives, kept."""
@@ -58,8 +95,7 @@ class Memo:
 
         key = hashlib.md5(repr((name, [(sorted(d.dtypes), checksum(d)) for d in inputs])).encode()).hexdigest()
         at = f"{self.path}/{key}"
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(at).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")):
+        if self._fs.exists(self._at(f"{key}/_SUCCESS")):
             self.hits += 1
         else:
             self.misses += 1

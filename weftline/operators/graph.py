@@ -55,7 +55,7 @@ def neighbours(nodes: DataFrame, edges: DataFrame, node: str, upstream: bool = F
     """The nodes one edge away."""
     near, far = ("target_id", "source_id") if upstream else ("source_id", "target_id")
     hit = edges.filter((F.col(near) == node) & (F.col("edge_type") == edge_type)).select(F.col(far).alias("id")).distinct()
-    return nodes.join(small(hit), "id")
+    return nodes.join(small(cut(hit, "neighbours")), "id")
 
 
 #: Steps after which a long walk's pairs are cut again, so that their plan stays short.

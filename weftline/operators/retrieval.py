@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.storage import small
+from weftline.storage import cut, small
 
 #: Fusion weights and constant, and priority weights (defaults).
 FUSION = {"keyword": 0.3, "vector": 0.5, "graph": 0.2}
@@ -117,7 +117,7 @@ def heuristic_score(now: int) -> Column:
 def apply_scores(candidates: DataFrame, scores: DataFrame, limit: int = 10) -> DataFrame:
     """Order candidates (position from 0) by scores (index, score) that a reranker gave; unknown positions are dropped, the others
     come after the scored ones in their order."""
-    out = candidates.filter(F.col("position") < limit).join(small(scores), F.col("position") == F.col("index"), "left")
+    out = candidates.filter(F.col("position") < limit).join(small(cut(scores, "scores")), F.col("position") == F.col("index"), "left")
     return out.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "position"))).drop("index")
 
 

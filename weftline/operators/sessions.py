@@ -42,3 +42,21 @@ def sessionised(events: DataFrame, gap: str = "30 minutes", key: str = "user_id"
     """key, session_start, session_end, n: events of a key with less than a gap between them."""
     out = events.groupBy(F.col(key), F.session_window(F.col(ts).cast("timestamp"), gap).alias("w")).agg(F.count("*").alias("n"))
     return out.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+
+
+def session_list(turns: DataFrame, window: int = 10, most: int = 50) -> DataFrame:
+    """conv_id, turns (kept in the window), focus_count (symbols in the accumulated focus) of every conversation."""
+    kept = last_turns(turns, window).groupBy("conv_id").agg(F.count("*").alias("turns"))
+    focus = accumulated_focus(turns, window, most).groupBy("conv_id").agg(F.count("*").alias("focus_count"))
+    return kept.join(focus, "conv_id", "left").select("conv_id", "turns", F.coalesce("focus_count", F.lit(0)).alias("focus_count"))
+
+
+def resume(turns: DataFrame, wanted: DataFrame) -> DataFrame:
+    """conv_id, status of the conversations asked for (a column conv_id): resumed, or not_found."""
+    known = turns.select("conv_id", F.lit(1).alias("_k")).distinct()
+    return wanted.select("conv_id").distinct().join(known, "conv_id", "left").select("conv_id", F.when(F.col("_k").isNotNull(), "resumed").otherwise("not_found").alias("status"))
+
+
+def clear(turns: DataFrame, gone: DataFrame) -> DataFrame:
+    """The turns of all conversations but those in gone (a column conv_id)."""
+    return turns.join(gone.select("conv_id").distinct(), "conv_id", "left_anti")

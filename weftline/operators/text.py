@@ -13,11 +13,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.functions.text import STOP_WORDS, camel_case, dirname, matches_any, stem
-from weftline.storage import small
+from weftline.storage import cut, small
 
 JS = r"\.(ts|tsx|js|jsx|mjs|cjs)$"
 SHELL = r"\.(sh|bash)$"
 EXTENSIONS = [".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js"]
+#: Patterns of what a script line defines or refers to, by edge type (fixed values).
+SYMBOL_RULES = [
+    ("DEFINES", r"(?:export\s+)?(?:async\s+)?function\s+(\w+)"),
+    ("DEFINES", r"(?:export\s+)?(?:abstract\s+)?class\s+(\w+)"),
+    ("IMPORTS", r"""import\b.*from\s+['"]([^'"]+)['"]"""),
+    ("IMPLEMENTS", r"class\s+\w+.*\bimplements\s+(\w+)"),
+    ("EXTENDS", r"class\s+\w+\s+extends\s+(\w+)"),
+    ("RETURNS_TYPE", r"\)\s*:\s*([A-Z]\w*)"),
+]
+#: Patterns of the symbols of a contract, by file name (fixed values).
+CONTRACT_RULES = [
+    (r"\.proto$", r"^\s*(?:service|message|enum|rpc)\s+(\w+)"),
+    (r"\.(graphql|gql)$", r"^\s*(?:type|input|interface|enum)\s+(\w+)"),
+    (r"\.(graphql|gql)$", r"^\s*(?:query|mutation|subscription)\s+(\w+)"),
+    (r"\.ts$", r"^\s*(?:export\s+)?(?:declare\s+)?(?:interface|type|class|enum)\s+(\w+)"),
+]
+#: Patterns of what a decision record may name (fixed values).
+NAME_RULES = [
+    "`([^`]+)`",
+    r"\b([A-Z][a-z]+(?:[A-Z][a-z0-9]+)+)\b",
+    r"\b([a-z]+(?:[A-Z][a-z0-9]+)+)\b",
+    r"\b([A-Z][a-z]{3,})\b",
+    r"\b([A-Z]{2,}(?:_[A-Z0-9]+)+)\b",
+    r"\b([\w-]+\.(?:ts|tsx|js|jsx|sh|py|go|md|json|yaml|yml))\b",
+    r"\b((?:[\w.-]+/)+[\w.-]+)",
+]
 KEYWORDS = ["if", "for", "while", "switch", "catch", "function", "return", "typeof", "new", "await", "async", "super", "import", "require"]
 
 
@@ -80,8 +106,7 @@ def import_map(files: DataFrame) -> DataFrame:
 def symbols(files: DataFrame) -> DataFrame:
     """file, line_no, edge_type, name: functions and classes defined, modules imported, types implemented, extended and returned."""
     ln = lines(files).filter(F.col("file").rlike(JS))
-    rules = [("DEFINES", r"(?:export\s+)?(?:async\s+)?function\s+(\w+)"), ("DEFINES", r"(?:export\s+)?(?:abstract\s+)?class\s+(\w+)"), ("IMPORTS", r"""import\b.*from\s+['"]([^'"]+)['"]"""), ("IMPLEMENTS", r"class\s+\w+.*\bimplements\s+(\w+)"), ("EXTENDS", r"class\s+\w+\s+extends\s+(\w+)"), ("RETURNS_TYPE", r"\)\s*:\s*([A-Z]\w*)")]
-    found = F.array(*(F.struct(F.lit(t).alias("edge_type"), F.regexp_extract("line", rx, 1).alias("name")) for t, rx in rules))
+    found = F.array(*(F.struct(F.lit(t).alias("edge_type"), F.regexp_extract("line", rx, 1).alias("name")) for t, rx in SYMBOL_RULES))
     return ln.select("file", "line_no", F.explode(found).alias("f")).select("file", "line_no", "f.*").filter("name <> ''")
 
 
@@ -133,9 +158,8 @@ def calls(files: DataFrame) -> DataFrame:
 
 def contract_symbols(files: DataFrame) -> DataFrame:
     """file, symbol of proto, GraphQL and TypeScript contracts."""
-    rules = [(r"\.proto$", r"^\s*(?:service|message|enum|rpc)\s+(\w+)"), (r"\.(graphql|gql)$", r"^\s*(?:type|input|interface|enum)\s+(\w+)"), (r"\.(graphql|gql)$", r"^\s*(?:query|mutation|subscription)\s+(\w+)"), (r"\.ts$", r"^\s*(?:export\s+)?(?:declare\s+)?(?:interface|type|class|enum)\s+(\w+)")]
     ln, out = lines(files), None
-    for ext, rx in rules:
+    for ext, rx in CONTRACT_RULES:
         hit = ln.filter(F.col("file").rlike(ext)).select("file", F.regexp_extract("line", rx, 1).alias("symbol")).filter("symbol <> ''")
         out = hit if out is None else out.unionByName(hit)
     return out.distinct()
@@ -192,8 +216,7 @@ def decision_records(files: DataFrame) -> DataFrame:
 def record_keywords(text: Column) -> Column:
     """What a text names: code spans, CamelCase and camelCase names, capitalised words, CONSTANTS, files and paths; stop words and
     names under three letters left out, each once."""
-    rules = ["`([^`]+)`", r"\b([A-Z][a-z]+(?:[A-Z][a-z0-9]+)+)\b", r"\b([a-z]+(?:[A-Z][a-z0-9]+)+)\b", r"\b([A-Z][a-z]{3,})\b", r"\b([A-Z]{2,}(?:_[A-Z0-9]+)+)\b", r"\b([\w-]+\.(?:ts|tsx|js|jsx|sh|py|go|md|json|yaml|yml))\b", r"\b((?:[\w.-]+/)+[\w.-]+)"]
-    all_ = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(rx), F.lit(1)) for rx in rules)))
+    all_ = F.flatten(F.array(*(F.regexp_extract_all(text, F.lit(rx), F.lit(1)) for rx in NAME_RULES)))
     clean = F.transform(all_, lambda w: F.regexp_replace(w, r"^[^\w]+|[^\w)]+$", ""))
     return F.array_distinct(F.filter(clean, lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(STOP_WORDS)))
 
@@ -251,6 +274,13 @@ RULE_TYPES = {
     "var_use": ("deprecated_pattern", "warning"),
 }
 CONFIDENCE = {"error": 0.9, "warning": 0.7, "info": 0.6}
+#: Patterns of the rules over lines (fixed values).
+TRY, CATCH, THEN, CAUGHT = r"try\s*\{", r"catch\s*\(", r"\.then\s*\(", r"\.catch\s*\("
+LOGGER_IMPORT = "(import|require).*logger"
+LOG_CALL = r"(console\.|logger\.|log\.)(info|warn|error|debug|log)"
+LOG_OR_THROW = r"console\.|logger\.|log\.|throw"
+CONSOLE_CALL = r"console\.(log|warn|error|info|debug)"
+CRITICAL = r"(?i)function\s+\w*(payment|auth|login|delete|transfer|withdraw)\w*|\w*(payment|auth|login|delete|transfer|withdraw)\w*\s*=\s*(async\s*)?\("
 
 
 def anomalies(files: DataFrame) -> DataFrame:
@@ -261,30 +291,30 @@ def anomalies(files: DataFrame) -> DataFrame:
     ln = with_function(lines(files).filter(F.col("file").rlike(JS)))
     line = F.col("line")
     code = F.regexp_replace(line, "//.*$", "")
-    tries = F.sum(F.regexp_count(code, F.lit(r"try\s*\{")) - F.regexp_count(code, F.lit(r"catch\s*\("))).over(_upto())
+    tries = F.sum(F.regexp_count(code, F.lit(TRY)) - F.regexp_count(code, F.lit(CATCH))).over(_upto())
     some = lambda rx, a, b: F.coalesce(F.max(code.rlike(rx).cast("int")).over(_ahead(a, b)), F.lit(0)) == 1
     ln = ln.withColumns({
         "_open": tries > 0,
-        "_logger": F.max(line.rlike("(import|require).*logger").cast("int")).over(Window.partitionBy("file")) == 1,
-        "_catch5": some(r"\.catch\s*\(", 0, 5),
-        "_thens": F.sum(F.regexp_count(code, F.lit(r"\.then\s*\("))).over(_ahead(0, 9)),
-        "_log20": some(r"(console\.|logger\.|log\.)(info|warn|error|debug|log)", 0, 19),
-        "_log5": some(r"console\.|logger\.|log\.|throw", 0, 4),
+        "_logger": F.max(line.rlike(LOGGER_IMPORT).cast("int")).over(Window.partitionBy("file")) == 1,
+        "_catch5": some(CAUGHT, 0, 5),
+        "_thens": F.sum(F.regexp_count(code, F.lit(THEN))).over(_ahead(0, 9)),
+        "_log20": some(LOG_CALL, 0, 19),
+        "_log5": some(LOG_OR_THROW, 0, 4),
         "_var": F.regexp_extract("line", r"(?:const|let|var)\s+([a-z][a-z0-9]*_\w+)", 1),
         "_fun": F.regexp_extract("line", r"function\s+([a-z][a-z0-9]*_\w+)", 1),
     })
     loose = ~F.col("_open")
-    then = code.rlike(r"\.then\s*\(")
-    critical = code.rlike(r"(?i)function\s+\w*(payment|auth|login|delete|transfer|withdraw)\w*|\w*(payment|auth|login|delete|transfer|withdraw)\w*\s*=\s*(async\s*)?\(")
+    then = code.rlike(THEN)
+    critical = code.rlike(CRITICAL)
     rules = [
         ("unhandled_await", code.rlike(r"\bawait\s") & loose & ~code.contains(".catch("), F.lit("wrap in try/catch")),
         ("promise_without_catch", then & ~F.col("_catch5") & loose, F.lit("add .catch()")),
         ("bare_fetch", code.rlike(r"\bfetch\s*\(") & ~code.rlike(r"await\s+fetch|\.then|\.catch") & loose, F.lit("await it, and handle errors")),
-        ("console_use", code.rlike(r"console\.(log|warn|error|info|debug)"), F.when(F.col("_logger"), "use the file's logger").otherwise("use a logger")),
+        ("console_use", code.rlike(CONSOLE_CALL), F.when(F.col("_logger"), "use the file's logger").otherwise("use a logger")),
         ("snake_variable", F.col("_var") != "", F.concat(F.lit("rename to "), camel_case(F.col("_var")))),
         ("snake_function", F.col("_fun") != "", F.concat(F.lit("rename to "), camel_case(F.col("_fun")))),
         ("critical_without_log", critical & ~F.col("_log20"), F.lit("log the operation")),
-        ("catch_without_log", code.rlike(r"catch\s*\(") & ~F.col("_log5"), F.lit("log or rethrow the error")),
+        ("catch_without_log", code.rlike(CATCH) & ~F.col("_log5"), F.lit("log or rethrow the error")),
         ("promise_chain", then & (F.col("_thens") >= 2), F.lit("use async/await")),
         ("var_use", code.rlike(r"\bvar\b"), F.lit("use const or let")),
     ]
@@ -325,7 +355,7 @@ def pattern_violations(files: DataFrame, learned: DataFrame, threshold: float =
     ln, line = lines(files), F.col("line")
     rules = [("async_try_catch", line.rlike(r"async\s+function") & ~line.rlike(r"try\s*\{")), ("error_logging", line.rlike(r"catch\s*\([^)]*\)\s*\{\s*\}"))]
     hits = ln.select("file", "line_no", F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in rules)))).alias("pattern"))
-    return hits.join(small(learned.filter(F.col("confidence") >= threshold).select("pattern")), "pattern")
+    return hits.join(small(cut(learned.filter(F.col("confidence") >= threshold).select("pattern"), "patterns")), "pattern")
 
 
 def complexity(files: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline import config, providers, schemas
 from weftline.functions import text as x
-from weftline.operators import assist, caching, rules, scoring, store
+from weftline.operators import assist, caching, rules, scoring, sessions, store
 from weftline.operators import retrieval as r
 from weftline.operators import text as t
 from weftline.plans.graph_queries import impact_reverse
@@ -408,7 +408,71 @@ def line_texts(spark: SparkSession, d: str) -> DataFrame:
     return ln.groupBy((F.length("line") == 0).alias("empty")).agg(F.count("*").alias("n"), F.max("line_no").alias("most"))
 
 
-QUERIES = {f.__name__: f for f in (store_upsert, store_deletes, store_point_lookup, store_import, store_migration, store_passthrough, schema_probes, staged_files, changed_files, freshness, index_modes, hot_files, hotspot_shares, impact_summary, impact_boosts, action_history, saved_turns, prefix_preferences, signal_boosts, decayed_frequencies, merged_patterns, cache_eviction, cache_statistics, cached_results, cache_keys, tool_results, claim_conflicts, time_budget, reranked, keyword_search, vector_index, embedded_search, anomaly_feedback, query_set, severity_map, prompt_signals, unsafe_prompts, symbol_functions, display_functions, null_functions, settings, tool_plan, input_checks, subgraph_edges, entropy_bars, error_lines, line_texts)}
+def session_listing(spark: SparkSession, d: str) -> DataFrame:
+    return sessions.session_list(tables.table(spark, d, "conversations"), 3, 20)
+
+
+def session_resume(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations asked for, half of which there aren't, when every third one has been cleared."""
+    turns = tables.table(spark, d, "conversations")
+    ids = turns.select("conv_id").distinct()
+    left = sessions.clear(turns, ids.filter("conv_id % 3 = 0"))
+    return sessions.resume(left, ids.unionByName(ids.select((-F.col("conv_id") - 1).alias("conv_id"))))
+
+
+def cache_maintenance(spark: SparkSession, d: str) -> DataFrame:
+    """Three results kept; how many a day's pruning, a later one and a new version drop."""
+    path, n = _folder(spark, "memo"), tables.table(spark, d, "nation")
+    memo = caching.Memo(spark, path)
+    for k in range(3):
+        some = n.filter(F.col("n_regionkey") == k)
+        memo.get("nations", [some], lambda some=some: some.select("n_name"))
+    kept = memo.entries()
+    now = kept.agg(F.max("created")).first()[0]
+    said = [("kept", kept.count()), ("sized", kept.filter("size > 0").count()), ("pruned today", memo.prune(now, 86_400)), ("pruned later", memo.prune(now + 100_000, 86_400))]
+    memo.get("nations", [n], lambda: n)
+    said += [("same version", caching.Memo(spark, path).entries().count()), ("new version", caching.Memo(spark, path, "2").entries().count())]
+    return spark.createDataFrame(said, "what string, n long")
+
+
+def version_checks(spark: SparkSession, d: str) -> DataFrame:
+    p = tables.table(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    ours = F.when(F.col("k") % 6 != 0, F.concat(F.col("k") % 3, F.lit("."), F.col("k") % 5))
+    return p.groupBy(x.version_compatibility(ours, F.when(F.col("k") % 7 == 0, "unknown").otherwise("1.4.2")).alias("status")).agg(F.count("*").alias("n"))
+
+
+def tool_runners(spark: SparkSession, d: str) -> DataFrame:
+    """Which function runs a tool: the registered one, or one that a variable names."""
+    env = {"WEFTLINE_RUNNER_MY_TOOL": "weftline.config:budget", "WEFTLINE_RUNNER_RERANK": "weftline.config:scalar"}
+    rows = [(t, providers.runner_variable(t), providers.tool_runner(t, env).__name__) for t in ("search", "rerank", "my-tool")]
+    return spark.createDataFrame(rows, "tool string, variable string, function string")
+
+
+def anomaly_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The anomalies of all customers' files written as JSON lines with a confidence by severity, and read back."""
+    from weftline.plans.tree_queries import files
+
+    path = _folder(spark, "anomalies")
+    sinks.append_json(t.anomalies(files(spark, d)).select("file", "line_no", "severity", "confidence"), path)
+    got = spark.read.schema("file string, line_no int, severity string, confidence double").json(path)
+    return got.groupBy("severity", "confidence").agg(F.count("*").alias("n"))
+
+
+def report_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The nations as a JSON array, a markdown table and lines of text."""
+    n = tables.table(spark, d, "nation").select("n_name", "n_regionkey")
+    return spark.createDataFrame([(k, f(n, ["n_name"], None)) for k, f in (("json", sinks.to_json), ("markdown", sinks.to_markdown), ("text", sinks.to_text))], "kind string, report string")
+
+
+def graph_document(spark: SparkSession, d: str) -> DataFrame:
+    """The regions' graph as the JSON that a drawing program reads."""
+    from weftline.operators import graph
+
+    e = tables.edges(spark, d).filter("edge_type = 'DEFINES'")
+    return graph.d3(tables.nodes(spark, d).filter("kind in ('nation', 'region')"), e, "source_id", "target_id")
+
+
+QUERIES = {f.__name__: f for f in (store_upsert, store_deletes, store_point_lookup, store_import, store_migration, store_passthrough, schema_probes, staged_files, changed_files, freshness, index_modes, hot_files, hotspot_shares, impact_summary, impact_boosts, action_history, saved_turns, prefix_preferences, signal_boosts, decayed_frequencies, merged_patterns, cache_eviction, cache_statistics, cached_results, cache_keys, tool_results, claim_conflicts, time_budget, reranked, keyword_search, vector_index, embedded_search, anomaly_feedback, query_set, severity_map, prompt_signals, unsafe_prompts, symbol_functions, display_functions, null_functions, settings, tool_plan, input_checks, subgraph_edges, entropy_bars, error_lines, line_texts, session_listing, session_resume, cache_maintenance, version_checks, tool_runners, anomaly_lines, report_documents, graph_document)}
 
 N, E = tables.NODES_SQL, tables.EDGES_SQL
 _IMPACT = f"""RECURSIVE n AS ({N}), e AS ({E}), rr(id, depth) AS (SELECT 'R:1', 0 UNION SELECT e.source_id, depth + 1 FROM rr JOIN e ON e.target_id = rr.id WHERE depth < 5),
@@ -471,4 +535,16 @@ SELECT turn, count(*) FILTER (regexp_matches(text, 'IGNORE\\s+PREVIOUS\\s+INSTRU
 SELECT c_mktsegment, round(e, 4) AS entropy, repeat('#', CAST(floor(e / 4 * 10) AS INT)) || repeat('-', 10 - CAST(floor(e / 4 * 10) AS INT)) AS bar FROM e""",
     "error_lines": "SELECT 'file' AS kind, 'src/f' || c_custkey || '.ts' AS name, CAST(c_custkey % 90 + 1 AS INT) AS line, count(*) AS n FROM customer GROUP BY ALL UNION ALL SELECT 'symbol', 'loadUser', NULL, count(*) FROM customer",
     "line_texts": "WITH l AS (SELECT unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents) SELECT length(line) = 0 AS empty, count(*) AS n, CAST(max(i) AS INT) AS most FROM l GROUP BY 1",
+    "session_listing": """WITH c AS (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3), w AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '([a-z]{3,})', 1)) AS symbol FROM c),
+f AS (SELECT conv_id, least(count(DISTINCT symbol), 20) AS n FROM w GROUP BY 1) SELECT conv_id, count(*) AS turns, coalesce(any_value(f.n), 0) AS focus_count FROM c LEFT JOIN f USING (conv_id) GROUP BY conv_id""",
+    "session_resume": "WITH i AS (SELECT DISTINCT conv_id FROM conversations) SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'not_found' ELSE 'resumed' END AS status FROM i UNION ALL SELECT -conv_id - 1, 'not_found' FROM i",
+    "cache_maintenance": "SELECT * FROM (VALUES ('kept', CAST(3 AS BIGINT)), ('sized', 3), ('pruned today', 0), ('pruned later', 3), ('same version', 1), ('new version', 0)) AS v(what, n)",
+    "version_checks": "SELECT CASE WHEN p_partkey % 6 = 0 OR p_partkey % 7 = 0 THEN 'unknown' WHEN p_partkey % 3 = 1 THEN 'compatible' ELSE 'incompatible' END AS status, count(*) AS n FROM part GROUP BY 1",
+    "tool_runners": "SELECT * FROM (VALUES ('search', 'WEFTLINE_RUNNER_SEARCH', 'semantic_search'), ('rerank', 'WEFTLINE_RUNNER_RERANK', 'scalar'), ('my-tool', 'WEFTLINE_RUNNER_MY_TOOL', 'budget')) AS v(tool, variable, function)",
+    "anomaly_lines": "SELECT 'warning' AS severity, CAST(0.7 AS DOUBLE) AS confidence, 2 * count(*) AS n FROM customer UNION ALL SELECT 'info', 0.6, 5 * count(*) FROM customer",
+    "report_documents": """SELECT 'json' AS kind, '[' || string_agg('{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}', ',' ORDER BY n_name) || ']' AS report FROM nation
+UNION ALL SELECT 'markdown', '| n_name | n_regionkey |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || n_regionkey || ' |', chr(10) ORDER BY n_name) FROM nation
+UNION ALL SELECT 'text', string_agg('n_name: ' || n_name || ', n_regionkey: ' || n_regionkey, chr(10) ORDER BY n_name) FROM nation""",
+    "graph_document": """WITH n AS (SELECT 'N:' || n_nationkey AS id FROM nation UNION ALL SELECT 'R:' || r_regionkey FROM region)
+SELECT '{"nodes":[' || (SELECT string_agg('"' || id || '"', ',' ORDER BY id) FROM n) || '],"links":[' || (SELECT string_agg('{"source":"N:' || n_nationkey || '","target":"R:' || n_regionkey || '"}', ',' ORDER BY 'N:' || n_nationkey) FROM nation) || ']}' AS json""",
 }

@@ -5,6 +5,9 @@ The tables hold no source code: TREE makes a file for every customer, by the sam
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from weftline.operators import assist, graph, rules, scoring
 from weftline.operators import retrieval as r
 from weftline.operators import text as t
 from weftline.sources import files as src
-from weftline.sources import sinks, tables
+from weftline.sources import sinks, tables, wire
 from weftline.storage import shared_root
 
 #: A script file for every customer: k, file, text. {t}: the table.
@@ -297,6 +300,24 @@ def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return src.symbol_index(spark.read.schema(src.SYMBOL_INDEX).json(path))
 
 
+def _binary_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The same index as messages, each of one document, read as such."""
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"content": [wire.encode(json.loads(x), "Index") for x in pdf["json"]]})
+
+    rows = spark.sql(INDEX, t=tables.table(spark, d, "supplier")).select(F.to_json(F.struct("documents")).alias("json"))
+    return src.symbol_index(wire.decoded_indexes(rows.mapInPandas(run, "content binary"), src.SYMBOL_INDEX))
+
+
+def binary_index_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return _binary_index(spark, d)[0]
+
+
+def binary_index_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _binary_index(spark, d)[1].select("source_id", "target_id", "edge_type", "line")
+
+
 def index_nodes(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d)[0]
 
@@ -309,7 +330,7 @@ def index_stats(spark: SparkSession, d: str) -> DataFrame:
     return src.symbol_index_stats(*_index(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (corpus_scan, tree_imports, definition_search, usage_search, parameter_flow, usage_kinds, tree_symbols, tree_complexity, skeletons, compression_ratio, budgeted_context, function_signatures, syntax_check, file_orphans, orphan_summary, file_coupling, layer_violations, import_snapshot, module_metrics, package_usage, learned_patterns, pattern_violations, code_components, path_classes, tree_definitions_store, import_expansion, name_rerank, unused_imports, openapi_json, openapi_yaml, contract_index, contract_listing, contract_search, federation_totals, virtual_edge_search, record_statuses, record_table, record_folder, record_keywords, record_links, component_table, dependency_table, profile_values, old_audit, index_nodes, index_edges, index_stats)}
+QUERIES = {f.__name__: f for f in (corpus_scan, tree_imports, definition_search, usage_search, parameter_flow, usage_kinds, tree_symbols, tree_complexity, skeletons, compression_ratio, budgeted_context, function_signatures, syntax_check, file_orphans, orphan_summary, file_coupling, layer_violations, import_snapshot, module_metrics, package_usage, learned_patterns, pattern_violations, code_components, path_classes, tree_definitions_store, import_expansion, name_rerank, unused_imports, openapi_json, openapi_yaml, contract_index, contract_listing, contract_search, federation_totals, virtual_edge_search, record_statuses, record_table, record_folder, record_keywords, record_links, component_table, dependency_table, profile_values, old_audit, index_nodes, index_edges, index_stats, binary_index_nodes, binary_index_edges)}
 
 _ORPHANS = f"{RESOLVED}, own AS (SELECT file FROM f WHERE NOT regexp_matches(split_part(file, '/', -1), '^(main|index|entry|app|server)\\.') AND NOT regexp_matches(file, 'test|spec|mock|fixture') AND file NOT LIKE 'vendor/%'), orp AS (SELECT file FROM own WHERE file NOT IN (SELECT resolved FROM res WHERE resolved IS NOT NULL))"
 _LAYER = f"{RESOLVED}, inn AS (SELECT regexp_replace(source, '^src/', '') AS source, regexp_replace(resolved, '^src/', '') AS target, line_no FROM res WHERE resolved IS NOT NULL), bad AS (SELECT * FROM inn WHERE (split_part(source, '/', 1), split_part(target, '/', 1)) IN (('m0', 'm1'), ('m3', 'm4')))"
@@ -384,6 +405,8 @@ SELECT DISTINCT record AS source_id, id AS target_id, 'ADR_RELATED' AS edge_type
     "profile_values": f"WITH {_MD} SELECT file, 'Profile' AS section, unnest(['Language', 'Build']) AS key, unnest(['Scala ' || (k % 3), 'sbt']) AS value FROM md",
     "old_audit": "SELECT 'pkg' || s_suppkey AS package, ['low', 'moderate', 'high', 'critical'][s_suppkey % 4 + 1] AS severity, 'T' || s_suppkey AS title, s_suppkey % 2 = 1 AS fixable FROM supplier WHERE s_suppkey % 4 > 0",
     "index_nodes": f"WITH {_IX} SELECT * FROM inodes",
+    "binary_index_nodes": f"WITH {_IX} SELECT * FROM inodes",
+    "binary_index_edges": f"WITH {_IX} SELECT DISTINCT source_id, target_id, edge_type, line FROM iedges",
     "index_edges": f"WITH {_IX} SELECT DISTINCT source_id, target_id, edge_type, line FROM iedges",
     "index_stats": f"WITH {_IX} SELECT (SELECT count(*) FROM ix) AS documents, (SELECT count(*) FROM ix) AS symbols, count(*) AS edges, " + ", ".join(f"count(*) FILTER (edge_type = '{e}') AS {e.lower()}" for e in ("DEFINES", "IMPORTS", "CALLS", "MODIFIES", "IMPLEMENTS", "EXTENDS")) + " FROM (SELECT DISTINCT source_id, target_id, edge_type FROM iedges)",
 }

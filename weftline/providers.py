@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import importlib
+import os
+import re
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pandas as pd
@@ -72,3 +75,23 @@ def semantic_search(files: DataFrame, index: DataFrame | None, query: str, provi
         row = embed(spark.createDataFrame([("q", query)], "hash string, text string")).first()
         return retrieval.vector_topk(index, row["embedding"], k, threshold, key="file").select("file", "score", F.lit("vector").alias("source"))
     return retrieval.keyword_topk(files, query, k, key="file").select("file", "score", F.lit("keyword").alias("source"))
+
+
+#: Tools by name; an environment variable may name another one for each (see runner_variable).
+TOOLS: dict[str, Callable] = {"search": semantic_search, "rerank": rerank}
+
+
+def runner_variable(tool: str) -> str:
+    """The environment variable that replaces a tool: its name in capitals, with _ for all but letters, digits and _."""
+    return "WEFTLINE_RUNNER_" + re.sub("[^A-Z0-9_]", "_", tool.upper())
+
+
+def tool_runner(tool: str, env: Mapping[str, str] | None = None) -> Callable:
+    """What runs a tool: the function that its variable names as module:function, else the registered one."""
+    named = (os.environ if env is None else env).get(runner_variable(tool))
+    if not named:
+        if tool not in TOOLS:
+            raise KeyError(f"no tool {tool}")
+        return TOOLS[tool]
+    module, _, function = named.partition(":")
+    return getattr(importlib.import_module(module), function)

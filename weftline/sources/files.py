@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions.text import contract_type, matches_any, role_edge_type, symbol_kind
 from weftline.operators.store import edge_id
 from weftline.operators.text import contract_symbols, lines, openapi_json, openapi_yaml
+from weftline.sources import wire
 
 #: Folders that may hold decision records, in the order in which they count (fixed values).
 RECORD_FOLDERS = ["docs/adr", "doc/adr", "ADR", "adr"]
@@ -84,14 +85,13 @@ def symbol_index(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes.unionByName(files).dropDuplicates(["id"]), edges.withColumn("id", edge_id()).dropDuplicates(["id"])
 
 
-def read_symbol_index(spark: SparkSession, path: str, descriptor: bytes | None = None, message: str = "Index") -> tuple[DataFrame, DataFrame]:
-    """symbol_index() of a file: JSON, or protocol buffers with the descriptor set of the message's definition."""
-    if descriptor is None:
+def read_symbol_index(spark: SparkSession, path: str, fields: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """symbol_index() of files: JSON by their ending, else protocol buffers, with the field numbers of the published format or others
+    (see wire.FIELDS)."""
+    if path.endswith(".json"):
         return symbol_index(spark.read.schema(SYMBOL_INDEX).option("multiLine", True).json(path))
-    from pyspark.sql.protobuf.functions import from_protobuf
-
     raw = spark.read.format("binaryFile").load(path)
-    return symbol_index(raw.select(from_protobuf("content", message, binaryDescriptorSet=descriptor).alias("i")).select("i.*"))
+    return symbol_index(wire.decoded_indexes(raw, SYMBOL_INDEX, fields or wire.FIELDS))
 
 
 def symbol_index_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
