@@ -75,9 +75,10 @@ def retrieval_quality(spark: SparkSession, d: str) -> DataFrame:
     items = t.table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("head"))
     docs = t.table(spark, d, "documents").select(F.col("doc_id").alias("item"), F.col("text").alias("body"))
     # every three words that follow one another are looked up among the heads
-    words = F.split("body", " ")
-    three = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    places = docs.select("item", F.explode(F.when(F.size(words) >= 3, F.array_distinct(three))).alias("head")).join(small(items.select("head").distinct()), "head")
+    # (the words are bound once, else they would be split anew for each place)
+    three = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    found = F.element_at(F.transform(F.array(F.split("body", " ")), lambda w: F.when(F.size(w) >= 3, F.array_distinct(three(w)))), 1)
+    places = docs.select("item", F.explode(found).alias("head")).join(small(items.select("head").distinct()), "head")
     hits = places.join(docs, "item").join(small(items), "head")
     found = hits.select("query", "item", F.expr("row_number() over (partition by query order by instr(body, head), item)").alias("rank"))
     return r.retrieval_metrics(found, hits.filter(F.col("body").contains(F.col("text"))).select("query", "item"))
