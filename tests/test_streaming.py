@@ -90,3 +90,20 @@ def test_a_full_queue_is_busy_across_batches(spark, tmp_path):
         q = jobs.bounded_requests(stream, waiting=1).writeStream.foreachBatch(lambda df, i: seen.extend(df.collect())).option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
         q.awaitTermination(120)
     assert [(r["id"], r["status"], r["start_ms"]) for r in seen] == [("1", "accepted", 0), ("2", "accepted", 100), ("3", "busy", None), ("4", "accepted", 200), ("5", "accepted", 300)]
+
+
+def test_cache_requests_are_in_order_over_batches(spark, tmp_path):
+    """A space's requests come in several Arrow batches, the earliest of them last."""
+    inbox, seen, most = tmp_path / "in", [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    inbox.mkdir()
+    rows = [{"space": "s", "key": "k", "op": "set" if i % 3 == 0 else "get", "value": str(i) if i % 3 == 0 else None, "ts_ms": i} for i in range(30)]
+    write(inbox, "1.json", rows[::-1])
+    was = spark.conf.get(most)
+    spark.conf.set(most, "4")
+    try:
+        stream = spark.readStream.schema("space string, key string, op string, value string, ts_ms long").json(f"file://{inbox}")
+        q = jobs.cache(stream).writeStream.foreachBatch(lambda df, i: seen.extend(df.collect())).option("checkpointLocation", f"file://{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    finally:
+        spark.conf.set(most, was)
+    assert [(r["op"], r["hit"], r["value"]) for r in seen] == [(x["op"], i > 0, str(i - i % 3)) for i, x in enumerate(rows)]

@@ -59,12 +59,15 @@ def start(out: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: st
 #: What a cached key's state holds: its keys in the order of their last use, with value, creation and last use in ms.
 CACHE_STATE = "keys array<string>, vals array<string>, created array<long>, used array<long>"
 CACHE_OUT = "space string, key string, op string, hit boolean, value string"
+#: Answers that are given on at once.
+OUT_ROWS = 10_000
 
 
 def cache(requests: DataFrame, capacity: int = 50, ttl_ms: int = 30 * 86_400_000, evict: float = 0.2) -> DataFrame:
     """A stream of cache requests (space, key, op get or set, value, ts_ms) answered from state: space, key, op, hit, value.
 
-    Every space has its own state of at most `capacity` keys. A request first drops what is older than the TTL; a get marks its key
+    Requests are answered in order of ts_ms over all that a micro-batch has of a space, which one task holds for the sort. Every space
+    has its own state of at most `capacity` keys. A request first drops what is older than the TTL; a get marks its key
     as used; a set beyond capacity first drops the least recently used fifth. Setting a known key keeps its creation time.
     """
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -72,9 +75,11 @@ def cache(requests: DataFrame, capacity: int = 50, ttl_ms: int = 30 * 86_400_000
         if state.exists:
             k, v, c, u = state.get
             entries = {a: [b, x, y] for a, b, x, y in zip(k, v, c, u, strict=True)}
-        for pdf in batches:
+        # a space's requests come in several batches, whose times overlap
+        rows = pd.concat([pdf[["key", "op", "value", "ts_ms"]] for pdf in batches], ignore_index=True).sort_values("ts_ms", kind="stable")
+        for at in range(0, len(rows), OUT_ROWS):
             out = []
-            for row in pdf.sort_values("ts_ms", kind="stable").itertuples():
+            for row in rows.iloc[at : at + OUT_ROWS].itertuples():
                 out.append((key[0], row.key, row.op, *answer(entries, row.op, row.key, row.value, row.ts_ms, capacity, ttl_ms, evict)))
             yield pd.DataFrame(out, columns=["space", "key", "op", "hit", "value"])
         state.update(([*entries], [x[0] for x in entries.values()], [int(x[1]) for x in entries.values()], [int(x[2]) for x in entries.values()]))
