@@ -228,3 +228,7 @@ def broadcasts_nothing(spark, sf, name):
 
 def test_unused_imports_broadcast_nothing(spark, sf):
     assert len(broadcasts_nothing(spark, sf, "unused_imports")) == 5
+
+
+def test_anomaly_lines_broadcast_nothing(spark, sf):
+    assert len(broadcasts_nothing(spark, sf, "anomaly_lines")) == 2
