@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -88,3 +89,33 @@ def test_a_line_of_a_word_each_beyond_a_file(documents, monkeypatch):
     monkeypatch.setattr(m, "put_bytes", lambda *_: 0)
     places = files.write(*(np.arange(600, dtype=np.uint64) for _ in range(3)), np.ones(600, np.int64), np.arange(600, dtype=np.uint64))
     assert len(rows) == len(set(places.tolist())) and files.written == 3
+
+
+def peak(run):
+    """Most MB that numpy held while run() ran."""
+    tracemalloc.start()
+    run()
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return most
+
+
+def test_a_word_of_many_pairs_is_matched_in_little_memory():
+    class Files:
+        def heads(self, places):
+            return places.astype(np.uint64), places.astype(np.int64), places.astype(np.int64)
+
+    r, n = np.random.default_rng(1), 60_000
+    token, place = np.sort(r.integers(0, 100, n)).astype(np.uint64), np.arange(n).astype(np.uint64)
+    bits = [r.integers(0, 1 << 63, n).astype(np.uint64) for _ in range(2)]  # far apart: no pair passes the filters
+    assert peak(lambda: m.Matcher(Files(), token, place, np.full(n, 20), np.zeros(n, np.int64), *bits).run()) < 80
+
+
+def test_groups_give_their_memory_back(documents, monkeypatch):
+    """Workers that wait hold nothing of the groups they were given."""
+    from pyspark.sql.group import GroupedData
+
+    own, seen = GroupedData.applyInArrow, []
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, f, schema: seen.append(f.__qualname__) or own(self, f, schema))
+    assert actual(documents((1, "a b"), (2, "a b"))) == expected([(1, "a b"), (2, "a b")])
+    assert len(seen) == 3 and all(x.startswith("released_group") for x in seen)

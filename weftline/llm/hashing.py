@@ -70,13 +70,13 @@ def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
-def steps(batch: pa.RecordBatch, text: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
-    """Slices of a batch with about STEP_BYTES of text each, and their texts."""
+def steps(batch: pa.RecordBatch, text: int, size: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of a batch with about `size` characters of text each, and their texts."""
     lo, n, texts = 0, 0, []
     for k, t in enumerate(batch.column(text)):
         texts.append(t.as_py())
         n += len(texts[-1] or "")
-        if n >= STEP_BYTES:
+        if n >= size:
             yield batch.slice(lo, k + 1 - lo), texts
             lo, n, texts = k + 1, 0, []
     if texts:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.llm.hashing import BLOCKS, blocks, mix, steps, unpacked, words_of
-from weftline.llm.shared import cut, map_array, put_bytes, released, shared_dir, small_batches
+from weftline.llm.shared import cut, map_array, put_bytes, released, released_group, shared_dir, small_batches
 
 #: The least Jaccard similarity, as a fraction.
 NUM, DEN = 4, 5
@@ -31,7 +31,9 @@ COUNTERS_BITS, COUNTERS_BLOCK_BITS = 20, 14
 #: Text bytes that a group of postings is for, and that a file of classes is for.
 POSTING_BYTES, CLASS_BYTES = 12 << 20, 48 << 20
 #: Words of a file of sets, classes in a word's group beyond which its earliest ones go first, and pairs of a step.
-SET_FILE_WORDS, CROWD, TILE, PAIRS = 2_000_000, 1024, 512, 2_000_000
+SET_FILE_WORDS, CROWD, TILE, PAIRS = 2_000_000, 1024, 512, 500_000
+#: Text of a step: its arrays take some 25 times as much.
+STEP = 1 << 19
 LAST = np.iinfo(np.int64).max
 #: A place in a file of sets: the attempt of the task that wrote it, the file's number in it, and the row.
 FILE_BITS, ROW_BITS = 10, 22
@@ -279,7 +281,7 @@ def rarity_levels(rows: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for _, texts in steps(batch, 1):
+            for _, texts in steps(batch, 1, STEP):
                 total += np.bincount((words_of(texts)[0] >> np.uint64(64 - COUNTERS_BITS)).astype(np.int64), minlength=size)
         some = np.flatnonzero(total)
         yield from blocks(some >> COUNTERS_BLOCK_BITS, size // per, some.astype(np.uint64), *halves(total[some]))
@@ -294,7 +296,7 @@ def rarity_levels(rows: DataFrame) -> np.ndarray:
         return pa.table({"bucket": pa.array([b], pa.int32()), "levels": pa.array([levels.tobytes()], pa.binary())})
 
     out = np.zeros(size, np.uint8)
-    for row in rows.mapInArrow(released(count), BLOCKS).groupBy("bucket").applyInArrow(add, "bucket int, levels binary").collect():  # a byte a counter
+    for row in rows.mapInArrow(released(count), BLOCKS).groupBy("bucket").applyInArrow(released_group(add), "bucket int, levels binary").collect():  # a byte a counter
         out[row["bucket"] * per : (row["bucket"] + 1) * per] = np.frombuffer(row["levels"], np.uint8)
     return out
 
@@ -373,7 +375,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
             held.clear()
 
         for batch in batches:
-            for part, texts in steps(batch, 1):
+            for part, texts in steps(batch, 1, STEP):
                 lines = Lines(texts, table)
                 if not len(lines.cls):
                     continue
@@ -406,9 +408,9 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
         put_bytes(f"{path}/gone-{b}", [len(cls).to_bytes(8, "little"), cls.astype("<u8").tobytes()])
         return pa.table({"n": pa.array([len(cls)], pa.int64())})
 
-    gone = cut(rows.mapInArrow(released(post), BLOCKS).groupBy("kind", "bucket").applyInArrow(meet, "cls long"), "line-matches")
+    gone = cut(rows.mapInArrow(released(post), BLOCKS).groupBy("kind", "bucket").applyInArrow(released_group(meet), "cls long"), "line-matches")
     gone = gone.distinct().withColumn("b", F.shiftrightunsigned("cls", 64 - bits).cast("int"))
-    gone.groupBy("b").applyInArrow(write_gone, "n long").agg(F.sum("n")).collect()
+    gone.groupBy("b").applyInArrow(released_group(write_gone), "n long").agg(F.sum("n")).collect()
 
     kept = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(int(LAST))).alias("id"))
     kind = T.StructType().add("n_lines", T.IntegerType()).add("removed", T.ArrayType(T.IntegerType()))
@@ -418,7 +420,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, verdicts = np.frombuffer(levels.value, np.uint8), Verdicts(path, bits)
         for batch in batches:
-            for part, texts in steps(batch, at):
+            for part, texts in steps(batch, at, STEP):
                 lines = Lines(texts, table)
                 doc = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False)[lines.text]
                 first_doc, first_line, out = verdicts.first(lines.cls)

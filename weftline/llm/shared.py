@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 from weftline.storage import cut, drop_cut, shared_root, small
 
-__all__ = ["KEPT", "cut", "drop_cut", "drop_kept", "few_parts", "filesystem", "get_bytes", "map_array", "put_bytes", "released", "shared_dir", "shared_root", "small", "small_batches"]
+__all__ = ["KEPT", "cut", "drop_cut", "drop_kept", "few_parts", "filesystem", "get_bytes", "map_array", "put_bytes", "release", "released", "released_group", "shared_dir", "shared_root", "small", "small_batches"]
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Send texts to Python in batches of fewer rows than the default, which would hold tens of MB; a setting of the user's own stays."""
@@ -37,6 +37,17 @@ def drop_kept(but: str | None) -> None:
         KEPT.pop(name)()
 
 
+def release() -> None:
+    """Give the memory that numpy and Arrow buffers held back to the system."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def released(run, keeps: str | None = None):
     """run(batches), which drops what the worker kept for operators other than `keeps` when it starts, and gives the memory that its
     numpy and Arrow buffers held back to the system when it ends.
@@ -45,19 +56,28 @@ def released(run, keeps: str | None = None):
     """
 
     def held(batches):
-        import ctypes
-
         from weftline.llm import shared  # the worker's own module, not a copy that came with this function
 
         shared.drop_kept(keeps)
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            shared.release()
+
+    return held
+
+
+def released_group(run):
+    """run(group) for applyInArrow, with what released() does before and after each group."""
+
+    def held(group: pa.Table) -> pa.Table:
+        from weftline.llm import shared
+
+        shared.drop_kept(None)
+        try:
+            return run(group)
+        finally:
+            shared.release()
 
     return held
 
